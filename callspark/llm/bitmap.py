@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 27
 
 
-def bitmap(keys: DataFrame, column: str, count: int) -> np.ndarray:
-    """The bits of the keys in ``column`` (long), as uint64 words; gathered word by word."""
+def bitmap(keys: DataFrame, column: str, count: int, each: int = 8) -> np.ndarray:
+    """The bits of the keys in ``column`` (long), as uint64 words: ``each`` or more of them per key."""
     bits = 1 << 13
-    while bits < min(MOST_BITS, 32 * count):
+    while bits < min(MOST_BITS, each * count):
         bits *= 2
     at = keys.select(F.pmod(F.col(column), F.lit(bits)).alias("at"))
     words = at.select(F.expr("int(at div 64)").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bit"].to_numpy()
+    out[found.column("word").to_numpy()] = found.column("bit").to_numpy()
     return out.view(np.uint64)
 
 

@@ -2,10 +2,10 @@
 
 Every text becomes the set of its distinct n-word shingles (64-bit hashes). Texts of equal sets
 are one node, so copies are never compared. Each node's set is cut vertically into fragments of
-the hashed n-gram order. Two sets within the threshold differ in at most d n-grams, and with
-d + 1 fragments one of them is untouched: nodes that share no fragment are never paired. Sets so
-small or uneven that a fragment is empty are also keyed by their prefix n-grams, which restores
-the guarantee. n-grams that no other candidate holds then bound each node's distance from below,
+the hashed n-gram order. Two sets within the threshold differ in at most d n-grams, so of m fragments
+at least m - d are the same in both: nodes that share fewer with others are never paired. Sets so
+small or uneven that too many fragments are empty are also keyed by their prefix n-grams, which
+restores the guarantee. n-grams that no other candidate holds then bound each node's distance from below,
 and nodes beyond the threshold go. What is left is linked in rounds: first each node with the
 best representative of its fragments, then only pairs that lie in different groups so far. For
 each pair, overlaps are counted fragment by fragment and summed.
@@ -27,6 +27,9 @@ from .textops import U, mix, shingle_sets
 
 #: Fragments of the n-gram order over which a pair's overlap is summed.
 PARTS = 4
+#: Keys that a task sends at a time, and rows whose sets it holds.
+KEYS, ROWS = 100_000, 1000
+LAST = np.iinfo(np.int64).max
 
 
 def _node(grams: np.ndarray) -> int:
@@ -36,39 +39,48 @@ def _node(grams: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, words: int, keep: bool, only=None) -> DataFrame:
-    """(doc_id, node, n) of each row; if ``keep``, distinct sets as bytes instead of doc_id.
+def _sets(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
+    """(doc_id, node, n, need0, need1) of each row: its set's id, size and least shared keys.
 
-    ``only``: the broadcast bitmap of the nodes wanted; some others may come through.
+    With ``only``, the broadcast bitmap of the nodes wanted, the sets themselves as bytes instead
+    (node, n, grams); some others may come through.
     """
+    keep, starts = only is not None, np.array(size_classes(percent))
 
     def run(batches):
         for batch in batches:
-            ids, n, node, blob = batch.column(0), [], [], []
-            for g in shingle_sets(batch.column(1), words):
-                n.append(len(g))
-                node.append(_node(g))
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                n, node, blob, need0, need1 = [], [], [], [], []
+                for g in shingle_sets(part.column(1), words):
+                    n.append(len(g))
+                    node.append(_node(g))
+                    if keep:
+                        blob.append(g.tobytes())
+                    else:
+                        need = _keys(g, percent, starts)[1:] if len(g) else (0, 0)
+                        need0.append(need[0])
+                        need1.append(need[1])
+                node, n = pa.array(node, pa.int64()), pa.array(n, pa.int64())
                 if keep:
-                    blob.append(g.tobytes())
-            out = [ids, pa.array(node, pa.int64()), pa.array(n, pa.int64())]
-            if keep:
-                yield from _once(pa.array(node, pa.int64()), pa.array(n, pa.int64()), blob, only)
-            else:
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "node", "n"])
-
-    schema = "node long, n long, grams binary" if keep else "doc_id long, node long, n long"
+                    yield _once(part.column(0), node, n, blob, only)
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), node, n, pa.array(need0, pa.int64()), pa.array(need1, pa.int64())], ["doc_id", "node", "n", "need0", "need1"])
+
+    schema = "node long, n long, grams binary" if keep else "doc_id long, node long, n long, need0 long, need1 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _once(node, n, blob, only):
-    """One row for each distinct non-empty node of a batch."""
-    nodes, at = np.unique(node.to_numpy(), return_index=True)
-    if only is not None:
-        at = at[held(only.value, nodes.view(U))]
+def _chosen(doc: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A key for a node at one of its documents."""
+    return mix(doc.view(U)) ^ node.view(U)
+
+
+def _once(doc, node, n, blob, only):
+    """The rows whose set speaks for its node, and few others."""
+    at = np.flatnonzero(held(only.value, _chosen(doc.fill_null(LAST).to_numpy(), node.to_numpy())))
     at = [i for i in at.tolist() if blob[i]]
-    for i in range(0, len(at), 500):
-        part = at[i : i + 500]
-        yield pa.RecordBatch.from_arrays([node.take(part), n.take(part), pa.array([blob[j] for j in part], pa.binary())], ["node", "n", "grams"])
+    return pa.RecordBatch.from_arrays([node.take(pa.array(at, pa.int64())), n.take(pa.array(at, pa.int64())), pa.array([blob[i] for i in at], pa.binary())], ["node", "n", "grams"])
 
 
 def size_classes(percent: int, most: int = 1 << 40) -> list[int]:
@@ -79,43 +91,78 @@ def size_classes(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def _keys(grams: np.ndarray, percent: int, starts: np.ndarray) -> np.ndarray:
-    """The fragment keys of one set, as one of the larger and of the smaller sets of a class."""
-    n, out = len(grams), []
+def _keys(grams: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The fragment keys of one set, as one of the larger (even) and of the smaller (odd) sets of a
+    class, and how many of each it shares at least with any set within the threshold."""
+    n, out, need = len(grams), [], []
     own = int(np.searchsorted(starts, n, "right")) - 1
-    for c in (own, own + 1):
+    # The larger of a pair is at most n * 100 // percent, and lies in the class that names the key.
+    for side, c, largest in ((0, own, int(starts[own + 1]) - 1), (1, own + 1, n * 100 // percent)):
         most = 2 * (int(starts[c + 1]) - 1) * (100 - percent) // (100 + percent)
-        m = most + 1
+        m = most + most // 12 + 1
         at = (grams % U(m)).astype(np.int64)
         held = np.bincount(at, minlength=m)
         summed = np.zeros(m, U)
         np.add.at(summed, at, mix(grams))
         full = np.flatnonzero(held)
-        out.append(mix(summed[full] + full.astype(U) * U(0xA0761D6478BD642F) + U(2 * c)))
-        if len(full) < m:
-            prefix = grams[: n - (percent * n + 99) // 100 + 1]
-            out.append(mix(prefix * U(0xE7037ED1A0B428DB) + U(2 * c + 1)))
-    return np.concatenate(out)
+        keys = [summed[full] + full.astype(U) * U(0xA0761D6478BD642F) + U(2 * c)]
+        same = len(full) - (n + largest) * (100 - percent) // (100 + percent)
+        if same < 1:
+            keys.append(grams[: n - (percent * n + 99) // 100 + 1] * U(0xE7037ED1A0B428DB) + U(2 * c + 1))
+        # The class is part of the key; its last bit tells the set's side in what counts it.
+        out.append(mix(np.concatenate(keys)) & ~U(1))
+        need.append(max(same, 1))
+    sides = np.repeat(np.array([0, 1], U), [len(k) for k in out])
+    return np.concatenate(out) | sides, *need
+
+
+def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names: list[str]):
+    """Batches of (key, *columns of batch) for the fragments of ``sets``, pairs of row and set."""
+    keys, rows, total = [], [], 0
+
+    def flush():
+        at = pa.array(np.repeat(np.array(rows, np.int64), [len(k) for k in keys]))
+        key = pa.array(np.concatenate(keys).view(np.int64))
+        return pa.RecordBatch.from_arrays([key, *(c.take(at) for c in batch.columns)], ["key", *names])
+
+    for row, grams in sets:
+        keys.append(_keys(grams, percent, starts)[0])
+        rows.append(row)
+        total += len(keys[-1])
+        if total > KEYS:
+            yield flush()
+            keys, rows, total = [], [], 0
+    if keys:
+        yield flush()
+
+
+def _text_fragments(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, node) for each fragment of each document's set; equal sets of a batch go once."""
+    starts = np.array(size_classes(percent))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                sets = list(shingle_sets(batch.column(0)[at : at + ROWS], words))
+                node = np.array([_node(g) for g in sets], np.int64)
+                first = np.unique(node, return_index=True)[1].tolist()
+                named = pa.RecordBatch.from_arrays([pa.array(node)], ["node"])
+                yield from _keyed(named, ((i, sets[i]) for i in first if len(sets[i])), percent, starts, ["node"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
 
 
-def _fragments(sets: DataFrame, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """(key, node, *more) for each fragment of each set in ``sets(node, grams, *more)``."""
+def _fragments(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, own) for each fragment of each set in ``sets(node, n, own, grams)``."""
     starts = np.array(size_classes(percent))
 
     def run(batches):
         for batch in batches:
-            blobs, at = batch.column(1), 0
-            while at < len(blobs):
-                keys, first, total = [], at, 0
-                while at < len(blobs) and total < 500_000:
-                    keys.append(_keys(np.frombuffer(blobs[at].as_py(), U), percent, starts))
-                    total += len(keys[-1])
-                    at += 1
-                rows = pa.array(np.repeat(np.arange(first, at), [len(k) for k in keys]))
-                key = pa.array(np.concatenate(keys).view(np.int64))
-                yield pa.RecordBatch.from_arrays([key, *(batch.column(i).take(rows) for i in (0, *range(2, 2 + len(more))))], ["key", "node", *more])
+            named = pa.RecordBatch.from_arrays(batch.columns[:3], ["node", "n", "own"])
+            grams = ((i, np.frombuffer(batch.column(3)[i].as_py(), U)) for i in range(len(batch)))
+            yield from _keyed(named, grams, percent, starts, ["node", "n", "own"])
 
-    return sets.select("node", "grams", *more).mapInArrow(run, ", ".join(["key long", "node long", *(f"{c} long" for c in more)]))
+    return sets.select("node", "n", "own", "grams").mapInArrow(run, "key long, node long, n long, own long")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,12 +210,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     link. A null doc_id is never a component's smallest unless all are null. An empty table gives
     an empty table.
     """
-    rows = settle(_sets(docs, words, False), "rows")
-    # Nodes that share a fragment with another node: all others link with nothing.
-    keys = _fragments(_sets(docs, words, True), percent)
+    rows = settle(_sets(docs, words, percent), "rows")
+    # Nodes that share enough fragments with other nodes: all others link with nothing.
+    keys = _text_fragments(docs, words, percent).withColumn("side", F.col("key").bitwiseAND(1)).withColumn("key", F.shiftright("key", 1))
     whole = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-    able = settle(shared.where("low < high").select("node").distinct(), "able")
+    shared = settle(shared.where("low < high").groupBy("node", "side").agg(F.countDistinct("key").alias("shared")), "shared")
+    named = rows.where("n > 0").groupBy("node", "need0", "need1").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
+    able = shared.join(named, "node").where("shared >= if(side = 0, need0, need1)")
+    able = settle(able.select("node", "doc").distinct(), "able")
     count = able.count()
     groups = None
     if count:
@@ -186,8 +236,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int) -> DataFrame | None:
     """The groups (node, root) among the candidate nodes."""
-    only = docs.sparkSession.sparkContext.broadcast(bitmap(able, "node", count))
-    sets = _sets(docs, words, True, only).join(able, "node", "left_semi")
+    def choose(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_chosen(batch.column(1).to_numpy(), batch.column(0).to_numpy()).view(np.int64))], ["key"])
+
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(able.mapInArrow(choose, "key long"), "key", count, 32))
+    sets = _sets(docs, words, percent, only).join(able, "node", "left_semi")
     sets = settle(sets.dropDuplicates(["node"]), "sets")
 
     def members(batches):
@@ -204,7 +258,7 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     if near.isEmpty():
         return None
     sets = settle(sets.drop("n").join(near, "node"), "sets")
-    keys = settle(_fragments(sets, percent, ("n", "own")), "keys")
+    keys = settle(_fragments(sets, percent).withColumn("key", F.shiftright("key", 1)), "keys")
     # First round: the node with the fewest n-grams of its own represents each fragment.
     first = Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     led = keys.select("node", "n", "own", F.first(F.struct("node", "n", "own")).over(first).alias("lead")).where("node <> lead.node")

@@ -25,7 +25,7 @@ from .textops import LINES, SPACED, U, chunks, grams, hashes, mix, words
 KINDS = {"word": (SPACED, " "), "line": (LINES, "\n")}
 LAST = np.iinfo(np.int64).max
 #: Windows that a task gathers before it settles their repeats.
-GATHER = 1_500_000
+GATHER = 500_000
 
 
 def _windows(column: pa.Array, kind: np.ndarray, window: int, seed: int):

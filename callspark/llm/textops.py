@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 
 
@@ -93,8 +93,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     size = ends - starts
     total = int(size.sum())
     first = np.cumsum(size) - size
-    within = np.arange(total) - np.repeat(first, size)
-    value = _BYTE[data[within + np.repeat(starts, size)]] * powers(int(size.max()) + 1)[within]
+    small = np.int32 if len(data) < 1 << 30 else np.int64
+    within = np.arange(total, dtype=small) - np.repeat(first.astype(small), size)
+    value = _BYTE[data[within + np.repeat(starts.astype(small), size)]]
+    value *= powers(int(size.max()) + 1)[within]
     summed = np.zeros(total + 1, U)
     np.cumsum(value, out=summed[1:])
     return mix(summed[first + size] - summed[first] + size.astype(U) * U(0xA0761D6478BD642F))
