@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .lexicons import FOREIGN_PHRASES
 
@@ -29,7 +30,7 @@ def low_vocabulary(text: Column) -> Column:
     return (F.size(w) > 5) & (F.size(F.array_distinct(w)) <= 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bigram_share(text: pd.Series) -> pd.Series:
     """Share of the most frequent word pair among all pairs of texts of over ten words, else 0."""
 
@@ -42,7 +43,7 @@ def bigram_share(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ngram_coverage(text: pd.Series) -> pd.Series:
     """Largest n * count / length over n-grams of 2 to 6 characters, of texts of over 12 without spaces."""
 
@@ -88,7 +89,7 @@ def clock(seconds: Column, digits: int = 3) -> Column:
     return F.format_string(f"%02d:%0{digits + 3}.{digits}f", F.floor(seconds / 60).cast("int"), seconds % 60)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(text: pd.Series) -> pd.Series:
     """The text if it is one strict JSON value, else null."""
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .segments import overlapping
 
-SPEAKER = Window.partitionBy("call_id", "speaker")
+
+def _of_speaker():
+    return Window.partitionBy("call_id", "speaker")
 
 
 def level(x: Column, low: float, high: float, names=("low", "normal", "high")) -> Column:
@@ -39,12 +41,12 @@ def segment_prosody(frames: DataFrame, segments: DataFrame, least: int = 2) -> D
 
 def with_baselines(measured: DataFrame) -> DataFrame:
     """Exact medians of pitch, std and energy of each speaker, beside the segments: no join."""
-    return measured.withColumns({f"base_{c}": F.median(c).over(SPEAKER) for c in ("pitch", "std", "energy")})
+    return measured.withColumns({f"base_{c}": F.median(c).over(_of_speaker()) for c in ("pitch", "std", "energy")})
 
 
 def enriched(measured: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_jump: float = 0.4) -> DataFrame:
     """Segments against their baseline and the ``before`` earlier ones of the same speaker."""
-    recent = SPEAKER.orderBy("seg_idx").rowsBetween(-before, -1)
+    recent = _of_speaker().orderBy("seg_idx").rowsBetween(-before, -1)
     m = with_baselines(measured).withColumns({f"ref_{c}": F.coalesce(F.avg(c).over(recent), F.col(f"base_{c}")) for c in ("pitch", "energy")})
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.when(F.col(b) > 0, F.col(b))).otherwise(1.0)
     jump = lambda c, most: F.when(F.col(f"ref_{c}") > 0, F.abs(F.col(c) - F.col(f"ref_{c}")) / F.when(F.col(f"ref_{c}") > 0, F.col(f"ref_{c}")) >= most).otherwise(False)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip_to_duration, is_hallucination, strip_phrases, words
 
-ORDER = Window.partitionBy("call_id").orderBy("seg_idx")
+
+def _in_order():
+    return Window.partitionBy("call_id").orderBy("seg_idx")
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:
@@ -70,11 +72,11 @@ def merge_adjacent(segments: DataFrame, gap_ms: int = 1500, short_ms: int = 2000
 
 def drop_repeats(segments: DataFrame, likeness: float = 0.8, keep: int = 2) -> DataFrame:
     """Drops the third and later of neighbours that say the same (word sets over ``likeness``)."""
-    before = F.coalesce(F.lag("text").over(ORDER), F.lit(""))
+    before = F.coalesce(F.lag("text").over(_in_order()), F.lit(""))
     a, b = words(F.col("text")), words(before)
     jaccard = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))).otherwise(0.0)
     rows = segments.withColumn("same", (F.col("text") == before) | (jaccard > likeness))
-    rows = rows.withColumn("run", F.sum((~F.col("same")).cast("int")).over(ORDER))
+    rows = rows.withColumn("run", F.sum((~F.col("same")).cast("int")).over(_in_order()))
     place = F.row_number().over(Window.partitionBy("call_id", "run").orderBy("seg_idx")) + (F.col("run") == 0).cast("int")
     return rows.withColumn("place", place).where(F.col("place") <= keep).drop("same", "run", "place")
 
