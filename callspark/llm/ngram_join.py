@@ -29,6 +29,8 @@ from .textops import U, mix, shingle_sets
 PARTS = 4
 #: Keys that a task sends at a time, and rows whose sets it holds.
 KEYS, ROWS = 100_000, 1000
+#: Nodes of a group, and nodes asked about it, that meet in one task.
+BLOCK, ASKED = 512, 2048
 LAST = np.iinfo(np.int64).max
 
 
@@ -196,8 +198,48 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(na, ua, nb, ub, percent: int):
-    """Whether sizes and n-grams of their own leave two sets a chance to link."""
-    return ((ua + ub) * (100 + percent) <= (100 - percent) * (na + nb)) & (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    """Whether sizes and n-grams of their own leave two sets the shared n-grams that a link needs."""
+    least = (na + nb) * percent
+    return ((na - ua) * (100 + percent) >= least) & ((nb - ub) * (100 + percent) >= least) & (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+
+
+def _against(asks: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between ``asks(node, root)`` and the nodes of those groups: one per node and block.
+
+    A group's nodes and those that ask are dealt into blocks of bounded size; each pair of blocks
+    meets once and counts overlaps by an index of its n-grams.
+    """
+    sizes = named.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = asks.groupBy("root").agg(F.ceil(F.count("*") / ASKED).alias("calls")).join(sizes, "root")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = named.join(asked, "root").select("root", "node", deal("blocks").alias("block"), every("calls").alias("call"))
+    calls = asks.join(asked, "root").select("root", "node", every("blocks").alias("block"), deal("calls").alias("call"))
+    dealt = calls.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+
+    def meet(group: pa.Table) -> pa.Table:
+        a, b, asks = [], [], group.column("asks").to_numpy()
+        calls, held = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
+        if len(calls) and len(held):
+            n, node = (held.column(c).to_numpy() for c in ("n", "node"))
+            flat = np.concatenate([np.frombuffer(x.as_py(), U) for x in held.column("grams")])
+            row = np.repeat(np.arange(len(held)), n)
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            for x in calls.select(["node", "n", "grams"]).to_batches():
+                for i, m, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), strict=True):
+                    g = np.frombuffer(blob.as_py(), U)
+                    low, high = np.searchsorted(flat, g), np.searchsorted(flat, g, "right")
+                    size = high - low
+                    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    shared = np.bincount(row[at], minlength=len(held))
+                    hit = np.flatnonzero(shared * (100 + percent) >= percent * (m + n))
+                    if len(hit):
+                        a.append(i)
+                        b.append(int(node[hit[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets.select("node", "n", "grams"), "node").groupBy("root", "block", "call").applyInArrow(meet, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,18 +310,21 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     pairs = led.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
     links = settle(_overlaps(pairs, sets, percent), "links")
     groups = settle(components(links), "groups")
-    # Second round: what shares a fragment across groups. The largest group of a fragment is
-    # compared only with the other groups' nodes, never within itself.
+    # Second round: what shares a fragment across groups. The largest group of a fragment meets
+    # only the other groups' nodes, in blocks; those others meet each other as pairs.
     named = keys.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    named = settle(named.join(main, "key").select("key", "node", "n", "own", "root", (F.col("root") == F.col("main")).alias("main")), "named")
-    x, y = named.where("not main").alias("x"), named.alias("y")
-    unequal = (F.col("x.root") != F.col("y.root")) & (F.col("y.main") | (F.col("x.node") < F.col("y.node")))
-    near = _near(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & unequal & near)
+    named = settle(named.join(main, "key").select("key", "node", "n", "own", "root", "main"), "named")
+    others = named.where("root <> main")
+    asks = settle(others.select("node", F.col("main").alias("root")).distinct(), "asks")
+    members = near.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    more = _against(asks, members.join(asks.select("root").distinct(), "root", "left_semi"), sets, percent)
+    x, y = others.alias("x"), others.alias("y")
+    close = _near(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    more = settle(_overlaps(pairs, sets, percent), "links")
+    more = settle(_overlaps(pairs, sets, percent).union(more), "links")
     return settle(components(links.union(more)), "groups")
 
 
