@@ -103,7 +103,8 @@ def mix_plan(docs: DataFrame, shards: int = 64, block: int = BLOCK) -> DataFrame
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     pieces = pieces.withColumn("low", low).withColumn("high", high)
     drawn = slots(targets, shards, block).select(*source, "block", "words")
-    met = pieces.join(drawn, [*source, "block"], "left")
+    # The size of exploded slots can't be estimated from their sources, so neither side is broadcast.
+    met = pieces.join(drawn.hint("merge"), [*source, "block"], "left")
     taken = F.when(F.col("words") > F.col("low"), F.least("words", "high") - F.col("low"))
     met = met.groupBy("doc_id", *source, "tie", "size", "start").agg(F.sum(F.coalesce(taken, F.lit(0))).cast("long").alias("taken")).drop("start")
     out = met.unionByName(rows.where("size = 0").select("doc_id", *source, "tie", "size", F.lit(0).cast("long").alias("taken")))
