@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its lower-cased words and their first letters, hashed; each counts once. On a
-bounded sample of labelled rows the terms that tell the labels apart are kept, and a
+bounded sample of labelled rows the terms that tell the labels apart are counted and kept (in
+Spark; the driver gets counts of at most SPACE terms and each row's kept ones), and a
 factorization machine learns their weights and, as products of short vectors, their pairs: an
 insult beside a group's name weighs more than both alone. All documents are scored whole, in one
 pass without a shuffle; the model's size is a parameter.
@@ -13,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from .shared import settle
 from .textops import ALNUM, U, chunks, hashes, words
 
 #: Hash space of terms, terms kept, and length of their vectors.
@@ -46,12 +48,14 @@ def _predict(model: dict, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(model["bias"] + linear + 0.5 * ((total**2).sum(1) - square), -30, 30)))
 
 
-def _select(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A table from hashed terms to indexes of those that tell the labels apart best; -1 elsewhere."""
-    n1, n = np.bincount(term, y[row], SPACE), np.bincount(term, minlength=SPACE)
-    rate = n / len(y)
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    z = np.abs(n1 / y.sum() - (n - n1) / (len(y) - y.sum())) / spread
+def _select(n1: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
+    """A table from hashed terms to indexes of those that tell the labels apart best; -1 elsewhere.
+
+    n and n1 count the rows, and the toxic rows, that hold each term.
+    """
+    rate = n / rows
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / toxic + 1 / (rows - toxic)))
+    z = np.abs(n1 / toxic - (n - n1) / (rows - toxic)) / spread
     z[n < 3] = 0
     best = np.argsort(-z, kind="stable")[:TERMS]
     table = np.full(SPACE, -1, np.int64)
@@ -60,18 +64,14 @@ def _select(row: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
     return table
 
 
-def train(texts: pa.Array, y: np.ndarray, epochs: int = 25, step: float = 0.1, decay: float = 1e-4) -> dict:
-    """A model from labelled texts. Without both labels its score is the labels' smoothed rate."""
-    y = np.asarray(y, float)
-    base = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
-    model = {"bias": float(np.log((base + 1e-9) / (1 - base))), "weight": np.zeros(0), "vectors": np.zeros((0, RANK)), "table": np.full(SPACE, -1, np.int64)}
-    if not 0 < y.sum() < len(y):
-        return model
-    parts = [(first + row, term) for first, _, row, term in _terms(texts, None)]
-    row, term = (np.concatenate(x) for x in zip(*parts, strict=True))
-    table = model["table"] = _select(row, term, y)
-    term = table[term]
-    row, term = row[term >= 0], term[term >= 0]
+def _bias(toxic: int, rows: int) -> float:
+    base = (toxic + 0.5) / (rows + 1) if rows else 0.0
+    return float(np.log((base + 1e-9) / (1 - base)))
+
+
+def train(row: np.ndarray, term: np.ndarray, y: np.ndarray, table: np.ndarray, epochs: int = 25, step: float = 0.1, decay: float = 1e-4) -> dict:
+    """A model from labels y and the chosen terms of each row, sorted by row."""
+    model = {"bias": _bias(y.sum(), len(y)), "table": table}
     count = int(table.max()) + 1
     random = np.random.default_rng(7)
     model["weight"], model["vectors"] = np.zeros(count), random.normal(0, 0.05, (count, RANK))
@@ -115,8 +115,53 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The sample is bounded, so its ids may be broadcast.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    taken = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    return train(taken.column("text").combine_chunks(), taken.column("toxic").to_numpy())
+    taken = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
+    held = settle(_listed(taken), "terms")
+    labelled = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows, toxic = sum(labelled.values()), labelled.get(1, 0)
+    if not 0 < toxic < rows:
+        return {"bias": _bias(toxic, rows), "weight": np.zeros(0), "vectors": np.zeros((0, RANK)), "table": np.full(SPACE, -1, np.int64)}
+    # At most SPACE rows: the driver never sees a text or its whole list of terms.
+    counts = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).toArrow()
+    n1, n = np.zeros(SPACE), np.zeros(SPACE)
+    at = counts.column("term").to_numpy()
+    n1[at], n[at] = counts.column("n1").to_numpy(), counts.column("n").to_numpy()
+    table = _select(n1, n, toxic, rows)
+    chosen = _chosen(held, table).orderBy("doc_id").toArrow().combine_chunks()
+    terms = chosen.column("terms").combine_chunks()
+    row = np.repeat(np.arange(len(chosen)), np.diff(terms.offsets.to_numpy()))
+    return train(row, terms.flatten().to_numpy().astype(np.int64), chosen.column("toxic").to_numpy().astype(float), table)
+
+
+def _listed(taken: DataFrame) -> DataFrame:
+    """(doc_id, toxic, terms) of ``taken(doc_id, toxic, text)``: the distinct hashed terms of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for first, last, row, term in _terms(batch.column(2), None):
+                bounds = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in (0, 1)), lists], ["doc_id", "toxic", "terms"])
+
+    schema = StructType([*taken.schema.fields[:2], StructField("terms", ArrayType(IntegerType()))])
+    return taken.mapInArrow(run, schema)
+
+
+def _chosen(held: DataFrame, table: np.ndarray) -> DataFrame:
+    """The rows of ``held`` with the indexes that ``table`` gives their terms; terms below 0 go."""
+    table = table.astype(np.int32)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            term = table[lists.flatten().to_numpy()]
+            row = np.repeat(np.arange(len(batch)), size)[term >= 0]
+            bounds = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term[term >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], ["doc_id", "toxic", "terms"])
+
+    return held.mapInArrow(run, held.schema)
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
