@@ -52,14 +52,13 @@ def low_vocab(spark, d):
     return C.lines(spark, d).select("call_id", "seg_idx", T.too_short(F.col("text")).alias("short"), T.low_vocabulary(F.col("text")).alias("low"))
 
 
-@query(f"""WITH {C.LINES_SQL}, s AS (SELECT call_id, seg_idx, replace(text, ' ', '') AS t FROM lines WHERE length(replace(text, ' ', '')) BETWEEN 13 AND 400),
-g AS (SELECT call_id, seg_idx, n, length(t) AS len, t[i:i+n-1] AS gram FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM s, range(2, 7) r(n))),
-c AS (SELECT call_id, seg_idx, n, len, gram, count(*) AS k FROM g GROUP BY ALL)
-SELECT call_id, seg_idx, max(k * n / len) > 0.5 AS repeats FROM c GROUP BY 1, 2""")
+@query(f"""WITH {C.LINES_SQL}, s AS (SELECT call_id, seg_idx, replace(coalesce(text, ''), ' ', '') AS t FROM lines),
+ch AS (SELECT call_id, seg_idx, length(t) AS len, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM s WHERE length(t) > 12),
+g AS ({' UNION ALL '.join(f"SELECT call_id, seg_idx, len, {n} AS n, {' || '.join(['c', *(f'lead(c, {k}) OVER w' for k in range(1, n))])} AS gram FROM ch WINDOW w AS (PARTITION BY call_id, seg_idx ORDER BY i)" for n in range(2, 7))}),
+r AS (SELECT call_id, seg_idx, max(k * n / len) > 0.5 AS repeats FROM (SELECT call_id, seg_idx, len, n, count(*) AS k FROM g WHERE gram IS NOT NULL GROUP BY call_id, seg_idx, len, n, gram) GROUP BY 1, 2)
+SELECT call_id, seg_idx, coalesce(repeats, false) AS repeats FROM s LEFT JOIN r USING (call_id, seg_idx)""")
 def ngram_repetition(spark, d):
-    """Lines of up to 400 characters: the operator's domain is an utterance."""
-    rows = C.lines(spark, d).where(F.length(F.replace("text", F.lit(" "), F.lit(""))).between(13, 400))
-    return rows.select("call_id", "seg_idx", (T.ngram_coverage(F.col("text")) > 0.5).alias("repeats"))
+    return C.lines(spark, d).select("call_id", "seg_idx", (F.coalesce(T.ngram_coverage(F.col("text")), F.lit(0.0)) > 0.5).alias("repeats"))
 
 
 @query(f"WITH {C.SEGMENTS_SQL} SELECT call_id, seg_idx, trim(regexp_replace(replace(replace(text, 'the', ''), 'en', ''), '\\s+', ' ', 'g')) AS text FROM seg")
