@@ -7,3 +7,10 @@ DANGER_KEYWORDS = {"폭언": ["씨발", "개새끼", "죽여", "꺼져"], "낙
 POLITE_SUFFIXES = ["요?", "죠?"]
 EMOTIONS = ["기쁨", "당황", "분노", "불안", "슬픔", "중립"]
 TONES = {"기쁨": "밝음, 긍정적", "당황": "당혹감, 혼란", "분노": "격앙됨, 불만", "불안": "불안, 두려움", "슬픔": "우울함, 침울함", "중립": "차분함, 담담함"}
+
+
+# Words for levels, as results show them.
+RELATIVE_PITCH = {"much_lower": "훨씬낮음", "lower": "낮음", "normal": "평소", "higher": "높음", "much_higher": "훨씬높음"}
+VARIABILITY = {"low": "안정", "normal": "보통", "high": "큼"}
+ENERGY_TONES = {"low": "기력 없는 톤", "normal": "안정적인 톤", "high": "활기찬 톤"}
+RATES = {"slow": "느린 말속도", "normal": "보통 속도", "fast": "빠른 말속도"}

@@ -85,7 +85,19 @@ def clip_to_duration(text: Column, seconds: Column, fastest: float = 15, speed:
 
 
 def clock(seconds: Column, digits: int = 3) -> Column:
-    """mm:ss with decimals; the seconds may round up to 60."""
+    """mm:ss with decimals; the seconds may round up to 60.
+
+    One decimal is rounded from the exact binary value (0.95 s is just under, so 0.9), where
+    format_string would round its shortest decimal form; milliseconds never lie between three.
+    """
+    if digits == 1:
+        # Under 60 s, a double times 2^57 is a whole long.
+        n = ((seconds % 60) * F.lit(2.0**57)).cast("long").cast("decimal(20,0)") * F.lit(10)
+        one = F.lit(1 << 57).cast("decimal(20,0)")
+        over = (n % one) * F.lit(2)
+        below = ((n - n % one) / one).cast("int")
+        tenths = below + F.when((over > one) | ((over == one) & (below % 2 == 1)), 1).otherwise(0)
+        return F.format_string("%02d:%02d.%d", F.floor(seconds / 60).cast("int"), F.floor(tenths / 10).cast("int"), tenths % 10)
     return F.format_string(f"%02d:%0{digits + 3}.{digits}f", F.floor(seconds / 60).cast("int"), seconds % 60)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as X
 from ..functions import text as T
 from ..operators import emotion, prosody, report, segments, speakers
 from ..sources import calls as C
@@ -261,3 +263,64 @@ def result_envelope(spark, d):
     rows = segments.call_spans(C.segments(spark, d)).join(transcript_plain(spark, d), "call_id")
     rows = rows.withColumn("success", F.when(F.col("call_id") % 7 == 0, False).when(F.col("call_id") % 7 == 1, True)).withColumn("error", F.when(F.col("call_id") % 14 == 0, "x"))
     return report.envelope(rows, ["transcript", "n_segments", "seconds"])
+
+
+def _words(names: dict[str, str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+def _signed(c: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN '-' ELSE '+' END || printf('%.0f', CAST(abs({c}) AS DOUBLE))"
+
+
+SHORT_CLOCK = "printf('%02d:%04.1f', {0} // 60000, ({0} % 60000) / 1000.0)"
+TAG_SQL = f"""concat_ws(', ', '피치=' || pitch || 'Hz(' || {_words(X.RELATIVE_PITCH, 'relative_pitch')} || ',' || {_signed('pitch_pct')} || '%)', '변동=' || {_words(X.VARIABILITY, 'pitch_var_level')} || '(std=' || std || ')',
+  '에너지=' || energy_level || '(' || {_signed('energy_pct')} || '%)', '말속도=' || speech_rate, CASE WHEN change_hint <> '' THEN '급변=' || change_hint END)"""
+VOICES_SQL = f"""vo AS (SELECT call_id, speaker, '평소피치 ' || printf('%.0f', base) || 'Hz, 전체 ' || {_words(X.RELATIVE_PITCH, 'relative_pitch')} || ', 변동 ' || {_words(X.VARIABILITY, 'pitch_var_level')} || ', ' || {_words(X.ENERGY_TONES, 'energy_level')} || ', ' || {_words(X.RATES, 'speech_rate')}
+  || CASE WHEN n > 0 THEN ', 급변 ' || n || '회' ELSE '' END AS voice_description FROM (SELECT call_id, speaker, median(pitch) AS base, count(*) FILTER (change_hint <> '') AS n FROM en GROUP BY 1, 2) """ + " ".join(f"JOIN {_mode(c)} USING (call_id, speaker)" for c in ("relative_pitch", "pitch_var_level", "energy_level", "speech_rate")) + ")"
+
+
+def _voices(spark, d):
+    return prosody.voice_descriptions(prosody.speaker_summary(prosody.enriched(C.measured(spark, d))), speaker_baselines(spark, d))
+
+
+@query(f"""{ENRICHED_SQL}, {C.SEGMENTS_SQL}, tg AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) - 1 AS seg_idx, {TAG_SQL} AS tag FROM en)
+SELECT s.call_id, s.seg_idx, '[' || {SHORT_CLOCK.format('start_ms')} || '~' || {SHORT_CLOCK.format('end_ms')} || '] [' || coalesce(speaker, 'UNKNOWN') || '] ' || text || coalesce('  |운율: ' || tag || '|', '') AS line FROM seg s LEFT JOIN tg ON s.call_id = tg.call_id AND s.seg_idx = tg.seg_idx""")
+def tagged_lines(spark, d):
+    order = Window.partitionBy("call_id").orderBy("seg_idx")
+    rows = prosody.enriched(C.measured(spark, d)).withColumn("seg_idx", F.row_number().over(order) - 1)
+    return prosody.tagged_lines(C.segments(spark, d), rows)
+
+
+@query(f"{ENRICHED_SQL}, {VOICES_SQL} SELECT * FROM vo")
+def voice_descriptions(spark, d):
+    return _voices(spark, d)
+
+
+@query(f"""{ROLES_SQL}, {ENRICHED_SQL.removeprefix('WITH ')}, {VOICES_SQL}, {PROBABILITIES_SQL}, t AS (SELECT call_id, speaker, i, sum(CAST(round(p[i] * 1e6) AS BIGINT)) AS s FROM pr, range(1, 7) r(i) GROUP BY ALL),
+h AS (SELECT call_id, speaker, i, floor(s * 1000 / sum(s) OVER (PARTITION BY call_id, speaker) + 0.5) / 1000 AS share FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, i) AS k, {_words(X.TONES, LABELS_SQL + '[i]')} AS tone FROM h),
+mo AS (SELECT call_id, speaker, CASE WHEN max(share) FILTER (k = 1) - max(share) FILTER (k = 2) < 0.1 THEN max(tone) FILTER (k = 1) || ' + ' || max(tone) FILTER (k = 2) || ' 혼합' ELSE max(tone) FILTER (k = 1) END AS tone FROM k GROUP BY 1, 2)
+SELECT ro.call_id, role, CASE WHEN voice_description IS NULL THEN coalesce(tone, '미상') ELSE coalesce(tone, '미상') || ' (' || voice_description || ')' END AS tone FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) WHERE ro.rank <= 2""")
+def tone_override(spark, d):
+    roles = speakers.role_ranks(C.segments(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+    return report.tone_overrides(roles, emotion.emotion_by_speaker(_emotions(spark, d)), _voices(spark, d), F.lit("미상"))
+
+
+@query(f"WITH {C.MEASURED_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY seg_idx) AS k FROM mea WHERE std * 100 > 2000) SELECT call_id, speaker, sum(pitch) / count(*) AS avg_pitch, sum(energy) / count(*) AS avg_energy FROM f WHERE k <= 3 GROUP BY 1, 2")
+def sample_averages(spark, d):
+    rows = C.measured(spark, d).withColumn("start_ms", F.lit(0)).withColumn("end_ms", F.col("std") * 100)
+    return prosody.sample_averages(segments.first_per_speaker(rows))
+
+
+@query(f"WITH {C.SEGMENTS_SQL} SELECT call_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) - 1 AS INT) AS chunk_idx, CASE WHEN seg_idx % 3 = 0 THEN 0.0 ELSE start_ms / 1000 END AS start, end_ms / 1000 AS end, trim(text) AS text FROM seg")
+def explode_chunks(spark, d):
+    chunk = F.struct("seg_idx", F.when(F.col("seg_idx") % 3 != 0, F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
+    calls = C.segments(spark, d).groupBy("call_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    return segments.explode_chunks(calls)
+
+
+@query(f"WITH {C.SEGMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) AS k FROM seg) SELECT call_id, count(*) AS num_segments, string_agg(seg_idx || ':' || text, chr(10) ORDER BY seg_idx) FILTER (k <= 3) AS sample FROM n GROUP BY 1")
+def run_report(spark, d):
+    out = segments.run_report(C.segments(spark, d), 3)
+    return out.select("call_id", "num_segments", F.array_join(F.transform("segments_sample", lambda x: F.concat(x["seg_idx"].cast("string"), F.lit(":"), x["text"])), "\n").alias("sample"))

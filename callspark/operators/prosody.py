@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import ENERGY_TONES, RATES, RELATIVE_PITCH, VARIABILITY
+from ..functions.text import clock
 from .segments import overlapping
 
 
@@ -76,3 +78,49 @@ def prosody_flags(summary: DataFrame) -> DataFrame:
     loud = summary.where((F.col("energy_level") == "high") & F.col("relative_pitch").isin("higher", "much_higher")).select("call_id", F.concat("speaker", F.lit(" 고성 가능성")).alias("flag"))
     often = summary.where("sudden_change_count >= 3").select("call_id", F.format_string("%s 운율 급변 다발 (%d회)", "speaker", "sudden_change_count").alias("flag"))
     return loud.unionByName(often)
+
+
+def _word(names: dict[str, str], key: str, default: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col(key)), F.lit(default))
+
+
+def _whole(x: Column, signed: bool = False) -> Column:
+    """A number without decimals, halves to even; with its sign, if ``signed``."""
+    text = F.format_string("%.0f", F.bround(F.abs(x).cast("double"), 0))
+    return F.concat(F.when(x < 0, "-").otherwise("+" if signed else ""), text)
+
+
+def inline_tag() -> Column:
+    """The short note on pitch, energy and rate beside an utterance; null where nothing was measured."""
+    pitch = F.concat(F.lit("피치="), _whole(F.col("pitch")), F.lit("Hz("), _word(RELATIVE_PITCH, "relative_pitch", "평소"), F.lit(","), _whole(F.col("pitch_pct"), True), F.lit("%)"))
+    spread = F.concat(F.lit("변동="), _word(VARIABILITY, "pitch_var_level", "보통"), F.lit("(std="), _whole(F.col("std")), F.lit(")"))
+    energy = F.concat(F.lit("에너지="), "energy_level", F.lit("("), _whole(F.col("energy_pct"), True), F.lit("%)"))
+    sudden = F.when(F.col("sudden_change"), F.concat(F.lit("급변="), "change_hint"))
+    return F.when(F.col("pitch").isNotNull(), F.concat_ws(", ", pitch, spread, energy, F.concat(F.lit("말속도="), "speech_rate"), sudden))
+
+
+def tagged_lines(segments: DataFrame, measured: DataFrame) -> DataFrame:
+    """(call_id, seg_idx, line): segments with clocks, who speaks and the inline tag, if measured.
+
+    ``measured`` is a result of :func:`enriched` for the same call_id and seg_idx.
+    """
+    tags = measured.select("call_id", "seg_idx", inline_tag().alias("tag"))
+    told = F.when(F.col("tag").isNotNull(), F.concat(F.lit("  |운율: "), "tag", F.lit("|")))
+    line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000, 1), F.lit("~"), clock(F.col("end_ms") / 1000, 1), F.lit("] ["), F.coalesce("speaker", F.lit("UNKNOWN")), F.lit("] "), "text", F.coalesce(told, F.lit("")))
+    return segments.join(tags, ["call_id", "seg_idx"], "left").select("call_id", "seg_idx", line.alias("line"))
+
+
+def voice_descriptions(summary: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(call_id, speaker, voice_description) of a :func:`speaker_summary` and base_pitch of each speaker."""
+    text = F.concat(
+        F.lit("평소피치 "), _whole(F.coalesce("base_pitch", F.lit(0.0))), F.lit("Hz, 전체 "), _word(RELATIVE_PITCH, "relative_pitch", "평소"), F.lit(", 변동 "), _word(VARIABILITY, "pitch_var_level", "보통"),
+        F.lit(", "), _word(ENERGY_TONES, "energy_level", ""), F.lit(", "), _word(RATES, "speech_rate", ""),
+    )
+    sudden = F.when(F.col("sudden_change_count") > 0, F.format_string(", 급변 %d회", "sudden_change_count")).otherwise("")
+    return summary.join(baselines, ["call_id", "speaker"], "left").select("call_id", "speaker", F.concat(text, sudden).alias("voice_description"))
+
+
+def sample_averages(sample: DataFrame) -> DataFrame:
+    """(call_id, speaker, avg_pitch, avg_energy) of sampled segments; pitch 0 is unvoiced and not counted."""
+    voiced = F.when(F.col("pitch") > 0, F.col("pitch"))
+    return sample.groupBy("call_id", "speaker").agg(F.coalesce(F.avg(voiced), F.lit(0.0)).alias("avg_pitch"), F.coalesce(F.avg("energy"), F.lit(0.0)).alias("avg_energy"))

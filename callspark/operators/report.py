@@ -79,3 +79,10 @@ def envelope(results: DataFrame, fields: list[str]) -> DataFrame:
     bad = F.struct((~failed).alias("success"), message.alias("message"), data.alias("data"), F.coalesce("error", F.lit("알 수 없는 오류")).alias("error"))
     good = F.struct((~failed).alias("success"), message.alias("message"), data.alias("data"))
     return results.select("call_id", F.when(failed, F.to_json(bad, {"ignoreNullFields": "false"})).otherwise(F.to_json(good, {"ignoreNullFields": "false"})).alias("document"))
+
+
+def tone_overrides(roles: DataFrame, moods: DataFrame, voices: DataFrame, existing: Column | None = None) -> DataFrame:
+    """(call_id, role, tone) of the two main roles: what is known of their speakers replaces ``existing``."""
+    rows = roles.where("rank <= 2").select("call_id", "speaker", "role")
+    rows = rows.join(moods.select("call_id", "speaker", "tone_description"), ["call_id", "speaker"], "left").join(voices, ["call_id", "speaker"], "left")
+    return rows.select("call_id", "role", toned(F.col("tone_description"), F.col("voice_description"), F.lit(None).cast("string") if existing is None else existing).alias("tone"))

@@ -91,3 +91,22 @@ def call_spans(segments: DataFrame) -> DataFrame:
     """Segments, speakers and whole seconds of each call, by its last segment in order."""
     named = F.coalesce("speaker", F.lit("UNKNOWN"))
     return segments.groupBy("call_id").agg(F.count("*").alias("n_segments"), F.countDistinct(named).alias("n_speakers"), F.floor(F.max_by("end_ms", "seg_idx") / 1000).cast("long").alias("seconds"))
+
+
+def explode_chunks(results: DataFrame) -> DataFrame:
+    """``results(call_id, chunks)`` to a row for each chunk: trimmed text, and 0 for null bounds.
+
+    chunks is an array of structs (start, end, text). A call without chunks has no rows.
+    """
+    rows = results.select("call_id", F.posexplode("chunks").alias("chunk_idx", "c"))
+    return rows.select("call_id", "chunk_idx", *(F.coalesce(F.col(f"c.{x}"), F.lit(0.0)).alias(x) for x in ("start", "end")), F.trim("c.text").alias("text"))
+
+
+def run_report(segments: DataFrame, first: int = 20) -> DataFrame:
+    """(call_id, num_segments, segments_sample): all segments counted, the ``first`` ones shown in order.
+
+    Later segments are nulled before they are gathered, so a call's sample stays bounded.
+    """
+    place = F.row_number().over(_in_order())
+    shown = F.when(F.col("place") <= first, F.struct("seg_idx", "start_ms", "end_ms", "speaker", "text"))
+    return segments.withColumn("place", place).groupBy("call_id").agg(F.count("*").alias("num_segments"), F.array_sort(F.collect_list(shown)).alias("segments_sample"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from callspark.functions import text as T
-from callspark.operators import emotion, report, segments, speakers
+from callspark.operators import emotion, prosody, report, segments, speakers
+from callspark.streaming.calls import SCHEMA, stream_alerts
 
 
 def one(spark, values, kind, f):
@@ -76,3 +77,38 @@ def test_range_joins_are_equi_joins(spark):
     with contextlib.redirect_stdout(io.StringIO()) as shown:
         segments.assign_speakers(rows, rows.drop("seg_idx")).explain()
     assert "NestedLoop" not in shown.getvalue() and "Cartesian" not in shown.getvalue()
+
+
+def test_short_clock_rounds_binary_values(spark):
+    x = [75.5, 0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 26.25, 59.96, 61.45]
+    assert one(spark, x, "double", lambda c: T.clock(c, 1)) == [f"{int(v // 60):02d}:{v % 60:04.1f}" for v in x]
+
+
+def test_explode_and_report(spark):
+    rows = spark.createDataFrame([(1, [(None, 1.5, " a "), (1.5, None, "b")]), (2, [])], "call_id long, chunks array<struct<start double, end double, text string>>")
+    assert [tuple(r) for r in segments.explode_chunks(rows).orderBy("chunk_idx").collect()] == [(1, 0, 0.0, 1.5, "a"), (1, 1, 1.5, 0.0, "b")]
+    rows = spark.createDataFrame([(1, i, i, i + 1, "A", str(i)) for i in (2, 0, 1)], "call_id long, seg_idx long, start_ms long, end_ms long, speaker string, text string")
+    out = segments.run_report(rows, 2).first()
+    assert out.num_segments == 3 and [x.text for x in out.segments_sample] == ["0", "1"]
+
+
+def test_inline_tag(spark):
+    row = (1, 0, 122.0, 55.0, "much_lower", "normal", -30.5, -0.4, "normal", "fast", True, "피치↓")
+    rows = spark.createDataFrame([row, (1, 1, *[None] * 10)], "call_id long, seg_idx long, pitch double, std double, relative_pitch string, pitch_var_level string, pitch_pct double, energy_pct double, energy_level string, speech_rate string, sudden_change boolean, change_hint string")
+    tags = [r.t for r in rows.select("seg_idx", prosody.inline_tag().alias("t")).orderBy("seg_idx").collect()]
+    assert tags == ["피치=122Hz(훨씬낮음,-30%), 변동=보통(std=55), 에너지=normal(-0%), 말속도=fast, 급변=피치↓", None]
+
+
+def test_sample_without_voice(spark):
+    rows = spark.createDataFrame([(1, "A", 0, 4), (1, "A", 100, 6), (1, "B", 0, None)], "call_id long, speaker string, pitch long, energy long")
+    assert {tuple(r) for r in prosody.sample_averages(rows).collect()} == {(1, "A", 100.0, 5.0), (1, "B", 0.0, 0.0)}
+
+
+def test_stream_alerts(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.createDataFrame([(1, 0, 0.0, 3.0, "어제 넘어졌어요 많이"), (1, 1, 3.0, 5.0, "날씨가 좋아요"), (1, 2, 5.0, None, "또 넘어졌어요")], SCHEMA).write.parquet(source)
+    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}).awaitTermination()
+    assert [(r.seg_idx, r.keyword) for r in spark.read.parquet(target).collect()] == [(0, "넘어졌")]
+    spark.createDataFrame([(2, 0, 0.0, 3.0, "그만 넘어졌어요")], SCHEMA).write.mode("append").parquet(source)
+    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}).awaitTermination()
+    assert sorted(r.call_id for r in spark.read.parquet(target).collect()) == [1, 2]
