@@ -1,11 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its lower-cased words and their first letters, hashed; each counts once. On a
-bounded sample of labelled rows the terms that tell the labels apart are counted and kept (in
-Spark; the driver gets counts of at most SPACE terms and each row's kept ones), and a
-factorization machine learns their weights and, as products of short vectors, their pairs: an
-insult beside a group's name weighs more than both alone. All documents are scored whole, in one
-pass without a shuffle; the model's size is a parameter.
+bounded sample of labelled rows (the driver gets each row's hashed terms, never a text) a
+factorization machine learns a weight of every term and, as products of short vectors, those of
+pairs: an insult beside a group's name weighs more than both alone. No term is chosen beforehand;
+shrinking weights (L1) and vectors (L2) decides. Terms of no sampled row weigh nothing. All
+documents are scored whole, in one pass without a shuffle; the model's size is a parameter.
 """
 
 from __future__ import annotations
@@ -19,49 +19,36 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from .shared import settle
 from .textops import ALNUM, U, chunks, hashes, words
 
-#: Hash space of terms, terms kept, and length of their vectors.
-SPACE, TERMS, RANK = 1 << 18, 2048, 8
+#: Hash space of terms, and length of their vectors.
+SPACE, RANK = 1 << 18, 8
 #: The most labelled rows that are fitted on: those with the smallest hashes of their doc_id.
 SAMPLE = 12_000
 PREFIX = 5
 
 
-def _terms(column: pa.Array, table: np.ndarray | None):
-    """(first row, rows, terms) of groups of rows: distinct terms of each, mapped by ``table``; below 0 go."""
+def _terms(column: pa.Array):
+    """(first row, last row, rows, terms) of groups of rows: distinct terms of each, sorted by row."""
     lowered = pa.array([t.lower() if t else "" for t in column.to_pylist()], pa.string())
     for first, last, data, offsets in chunks(lowered):
         starts, ends, row = words(data, offsets, ALNUM)
         term = np.concatenate([hashes(data, starts, ends), hashes(data, starts, np.minimum(ends, starts + PREFIX)) + U(PREFIX)])
-        term, row = (term % U(SPACE)).astype(np.int64), np.concatenate([row, row])
-        if table is not None:
-            term = table[term]
-            row, term = row[term >= 0], term[term >= 0]
-        key = np.unique(row * SPACE + term)
+        key = np.unique(np.concatenate([row, row]) * SPACE + (term % U(SPACE)).astype(np.int64))
         yield first, last, key // SPACE, key % SPACE
 
 
-def _predict(model: dict, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    linear = np.bincount(row, model["weight"][term], n)
-    v = model["vectors"][term]
-    total = np.stack([np.bincount(row, v[:, f], n) for f in range(v.shape[1])], 1)
-    square = np.bincount(row, (v * v).sum(1), n)
-    return 1 / (1 + np.exp(-np.clip(model["bias"] + linear + 0.5 * ((total**2).sum(1) - square), -30, 30)))
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of so many ``values``."""
+    out = np.zeros((len(size), *values.shape[1:]))
+    if len(values):
+        out[size > 0] = np.add.reduceat(values, (np.cumsum(size) - size)[size > 0], axis=0)
+    return out
 
 
-def _select(n1: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
-    """A table from hashed terms to indexes of those that tell the labels apart best; -1 elsewhere.
-
-    n and n1 count the rows, and the toxic rows, that hold each term.
-    """
-    rate = n / rows
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / toxic + 1 / (rows - toxic)))
-    z = np.abs(n1 / toxic - (n - n1) / (rows - toxic)) / spread
-    z[n < 3] = 0
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    table = np.full(SPACE, -1, np.int64)
-    best = best[z[best] > 4]
-    table[best] = np.arange(len(best))
-    return table
+def _predict(bias: float, weight: np.ndarray, vectors: np.ndarray, size: np.ndarray):
+    """Scores of rows with so many terms, given the weight and vector of each term; and the rows' sums of vectors."""
+    total = _sums(vectors, size)
+    pairs = (total**2).sum(1) - _sums((vectors * vectors).sum(1), size)
+    return 1 / (1 + np.exp(-np.clip(bias + _sums(weight, size) + 0.5 * pairs, -30, 30))), total
 
 
 def _bias(toxic: int, rows: int) -> float:
@@ -69,37 +56,55 @@ def _bias(toxic: int, rows: int) -> float:
     return float(np.log((base + 1e-9) / (1 - base)))
 
 
-def train(row: np.ndarray, term: np.ndarray, y: np.ndarray, table: np.ndarray, epochs: int = 25, step: float = 0.1, decay: float = 1e-4) -> dict:
-    """A model from labels y and the chosen terms of each row, sorted by row."""
-    model = {"bias": _bias(y.sum(), len(y)), "table": table}
-    count = int(table.max()) + 1
+def train(size: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 25, step: float = 0.2, turn: float = 0.003, l1: float = 0.05, l2: float = 1e-2) -> dict:
+    """A model from labels y and the terms of each row, so many a row; AdaGrad with steps ``step`` for weights and ``turn`` for vectors."""
+    bias, bias_seen = _bias(y.sum(), len(y)), 1e-2
+    known, term = np.unique(term, return_inverse=True)
     random = np.random.default_rng(7)
-    model["weight"], model["vectors"] = np.zeros(count), random.normal(0, 0.05, (count, RANK))
-    seen = {k: np.full_like(model[k], 1e-2) for k in ("weight", "vectors")}
-    bias_seen = 1e-2
-    begin = np.searchsorted(row, np.arange(len(y) + 1))
-    for _ in range(epochs):
+    weight, vectors = np.zeros(len(known)), random.normal(0, 0.01, (len(known), RANK))
+    weight_seen, vectors_seen = np.full(len(known), 1e-4), np.full(len(known), 1e-4)
+    begin, where = np.cumsum(size) - size, np.zeros(len(known), np.int64)
+    # Chance makes a term differ by as much as the root of 1 / rows.
+    least, batch = l1 / np.sqrt(len(y)), min(512, max(32, len(y) // 24))
+    mean = [0.0, 0.0, 0.0]
+    for epoch in range(epochs):
         order = random.permutation(len(y))
-        for a in range(0, len(y), 256):
-            rows = order[a : a + 256]
-            size = begin[rows + 1] - begin[rows]
-            at = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            r, t = np.repeat(np.arange(len(rows)), size), term[at]
-            g = (_predict(model, r, t, len(rows)) - y[rows]) / len(rows)
-            v = model["vectors"][t]
-            total = np.stack([np.bincount(r, v[:, f], len(rows)) for f in range(RANK)], 1)
-            used = np.unique(t)
-            grad = np.zeros((count, RANK))
-            np.add.at(grad, t, g[r][:, None] * (total[r] - v))
-            for name, d in (("weight", np.bincount(t, g[r], count)), ("vectors", grad)):
-                d = d[used] + decay * model[name][used]
-                seen[name][used] += d * d
-                model[name][used] -= step * d / np.sqrt(seen[name][used])
+        for a in range(0, len(y), batch):
+            rows = order[a : a + batch]
+            n = size[rows]
+            t = term[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            seen = np.zeros(len(known), bool)
+            seen[t] = True
+            used = np.flatnonzero(seen)
+            where[used] = np.arange(len(used))
+            at, v = where[t], vectors[used]
+            p, total = _predict(bias, weight[t], v[at], n)
+            g = (p - y[rows]) / len(rows)
+            each = np.repeat(g, n)
+            d = np.bincount(at, each, len(used))
+            dv = np.stack([np.bincount(at, each * np.repeat(total[:, f], n), len(used)) for f in range(RANK)], 1) - d[:, None] * v
+            weight_seen[used] += d * d
+            vectors_seen[used] += (dv * dv).mean(1)
+            weight[used] -= step * d / np.sqrt(weight_seen[used])
+            vectors[used] -= turn * dv / np.sqrt(vectors_seen[used])[:, None]
+            # Every term shrinks in every step, those absent from its rows too.
+            weight = np.sign(weight) * np.maximum(np.abs(weight) - step * least / np.sqrt(weight_seen), 0)
+            vectors /= (1 + turn * l2 / np.sqrt(vectors_seen))[:, None]
             bias_seen += g.sum() ** 2
-            model["bias"] -= step * g.sum() / np.sqrt(bias_seen)
+            bias -= step * g.sum() / np.sqrt(bias_seen)
+        # Single steps are noisy: the model is the mean of the later epochs.
+        if epoch >= epochs // 2:
+            mean = [m + x / (epochs - epochs // 2) for m, x in zip(mean, (bias, weight, vectors), strict=True)]
+    model = _blank(mean[0])
+    model["weight"][known], model["vectors"][known] = mean[1:]
     return model
 
 
+def _blank(bias: float) -> dict:
+    """A model in which no term weighs anything."""
+    return {"bias": bias, "weight": np.zeros(SPACE, np.float32), "vectors": np.zeros((SPACE, RANK), np.float32)}
+
+
 def held_out():
     """Rows that no model may learn from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
@@ -120,17 +125,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     labelled = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows, toxic = sum(labelled.values()), labelled.get(1, 0)
     if not 0 < toxic < rows:
-        return {"bias": _bias(toxic, rows), "weight": np.zeros(0), "vectors": np.zeros((0, RANK)), "table": np.full(SPACE, -1, np.int64)}
-    # At most SPACE rows: the driver never sees a text or its whole list of terms.
-    counts = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).toArrow()
-    n1, n = np.zeros(SPACE), np.zeros(SPACE)
-    at = counts.column("term").to_numpy()
-    n1[at], n[at] = counts.column("n1").to_numpy(), counts.column("n").to_numpy()
-    table = _select(n1, n, toxic, rows)
-    chosen = _chosen(held, table).orderBy("doc_id").toArrow().combine_chunks()
-    terms = chosen.column("terms").combine_chunks()
-    row = np.repeat(np.arange(len(chosen)), np.diff(terms.offsets.to_numpy()))
-    return train(row, terms.flatten().to_numpy().astype(np.int64), chosen.column("toxic").to_numpy().astype(float), table)
+        return _blank(_bias(toxic, rows))
+    # At most SAMPLE rows of int hashes: the driver never sees a text.
+    listed = held.orderBy("doc_id").toArrow().combine_chunks()
+    terms = listed.column("terms").combine_chunks()
+    return train(np.diff(terms.offsets.to_numpy()).astype(np.int64), terms.flatten().to_numpy(), listed.column("toxic").to_numpy().astype(float))
 
 
 def _listed(taken: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def _listed(taken: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, last, row, term in _terms(batch.column(2), None):
+            for first, last, row, term in _terms(batch.column(2)):
                 bounds = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in (0, 1)), lists], ["doc_id", "toxic", "terms"])
@@ -147,23 +146,6 @@ def _listed(taken: DataFrame) -> DataFrame:
     return taken.mapInArrow(run, schema)
 
 
-def _chosen(held: DataFrame, table: np.ndarray) -> DataFrame:
-    """The rows of ``held`` with the indexes that ``table`` gives their terms; terms below 0 go."""
-    table = table.astype(np.int32)
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            size = np.diff(lists.offsets.to_numpy())
-            term = table[lists.flatten().to_numpy()]
-            row = np.repeat(np.arange(len(batch)), size)[term >= 0]
-            bounds = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term[term >= 0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], ["doc_id", "toxic", "terms"])
-
-    return held.mapInArrow(run, held.schema)
-
-
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with a column score (0 to 1), which replaces a column of that name.
 
@@ -177,8 +159,9 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         for batch in batches:
             score = np.zeros(len(batch))
-            for first, last, row, term in _terms(batch.column(at).cast(pa.string()), sent.value["table"]):
-                score[first:last] = _predict(sent.value, row, term, last - first)
+            bias, weight, vectors = (sent.value[k] for k in ("bias", "weight", "vectors"))
+            for first, last, row, term in _terms(batch.column(at).cast(pa.string())):
+                score[first:last] = _predict(bias, weight[term], vectors[term], np.bincount(row, minlength=last - first))[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])

@@ -169,6 +169,29 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, toxicity.fitted(docs, labels.limit(0))).where("score >= 0.5").count() == 0
 
 
+def test_toxicity_keeps_every_term(spark):
+    """Context clears a text: "autopsy" is in 100 of 900 clean rows and no toxic one, a difference of z 3.5."""
+    rng = random.Random(2)
+    extra = lambda i: {0: ["awful"], 1: ["awful", "autopsy"]}.get(i % 10, [])
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=20) + extra(i))) for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()}
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    toxic, cleared = ([out[i] for i in held if i % 10 == k] for k in (0, 1))
+    assert min(toxic) > max(cleared)
+
+
+def test_toxicity_learns_pairs(spark):
+    """Each of four words is as frequent in toxic rows as in others; only pairs tell."""
+    rng = random.Random(4)
+    pairs = [("red", "dog"), ("blue", "cat"), ("red", "cat"), ("blue", "dog")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=4) + list(pairs[i % 4]))) for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(6000)], "doc_id long, toxic int")
+    rows = toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 < 2) for r in held) > 0.75 * len(held)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://WWW.Example.COM/en/1", "https://a.example.com/en/x?q", "http://b.net/es/1", "ftp://b.net/esx", "http://com", "x://q.com/?a#b", "http://b.net?/es/"]
     urls += [f"http://good{i}.com/news/{i}" for i in range(60)] + [f"http://bad{i}.net/es/casino{i}" for i in range(60)] + ["http://z.org/news/7", "http://z.org/casino7"]
