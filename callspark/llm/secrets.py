@@ -71,8 +71,8 @@ def scanned(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     ``docs`` needs doc_id and text; other columns are ignored. Spans are
     struct(start, rank, end, kind) in code points, end exclusive, by start and then kind. Matches
-    of one kind don't overlap, leftmost first. A weak span inside a sure one is not reported
-    again. Null texts count as empty: no spans. Rows that repeat are scanned each; an empty table
+    of one kind don't overlap, leftmost first. A weak span that overlaps a sure one is not reported
+    again, but is a partner of others. Null texts count as empty: no spans. Rows that repeat are scanned each; an empty table
     gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -80,12 +80,12 @@ def scanned(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = rows.select("doc_id", *(_spans(F.col(f"m_{k}"), F.split("text", p, -1), k, p, g, n).alias(k) for k, p, g, n in _patterns()))
     sure = F.concat(*(F.col(k) for k, _, _, _ in SURE))
     outside = lambda k: F.filter(k, lambda w: ~F.exists("sure", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    rows = rows.withColumn("sure", sure).withColumns({k: outside(k) for k, _, _, _ in WEAK})
+    rows = rows.withColumn("sure", sure)
 
     def linked(kind: str) -> Column:
         partners = F.concat(*(F.col(k) for k in PARTNERS[kind]))
         near = lambda w: F.exists(partners, lambda p: (p["start"] - scope < w["end"]) & (w["start"] < p["end"] + scope))
-        return F.filter(kind, near)
+        return F.filter(outside(kind), near)
 
     weak = [linked(k) for k, _, _, _ in WEAK]
     return rows.select("doc_id", F.array_sort("sure").alias("base"), F.array_sort(F.concat("sure", *weak)).alias("spans"))

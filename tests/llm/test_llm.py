@@ -156,6 +156,13 @@ def test_secrets(spark):
     assert spans[4] == ["secret", "identifier", "endpoint"] and spans[5] == [] and spans[6] == []
 
 
+def test_secrets_partners_overlap_sure(spark):
+    """An endpoint and an identifier that hold a hex run still link a password."""
+    texts = ["https://api.example.com/v1/deadbeefdeadbeef password=hunter22", "user_id=deadbeefdeadbeef password=hunter22", "deadbeefdeadbeef password=hunter22"]
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scanned(frame(spark, texts)).collect()}
+    assert spans == {0: ["hex", "secret"], 1: ["hex", "secret"], 2: ["hex"]}
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=40) + (["Awful"] if i % 4 == 0 else [])), "en", "s", 0) for i in range(400)]
