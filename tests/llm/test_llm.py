@@ -124,6 +124,53 @@ def test_fingerprints(spark):
     assert fingerprints.compared(frame(spark, [])).count() == 0
 
 
+def mixed_by_hand(rows, shards, block):
+    """Taken words and output shards of rows (doc_id, text, source) with distinct ids, by the documented rule."""
+    number = lambda x, k=12: int(hashlib.md5(x.encode()).hexdigest()[:k], 16)
+    docs = [(i, s is None, s or "", len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), number(t or "", 15)) for i, t, s in rows]
+    sources = sorted({d[1:3] for d in docs})
+    size = {s: sum(d[3] for d in docs if d[1:3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * size[s]}
+        for s in over or open_:
+            target[s] = min(2 * size[s], weight[s] * level)
+        left -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    taken, where = {d[0]: 0 for d in docs}, {d[0]: set() for d in docs}
+    chunks = len(docs) // mixing.CHUNK + 1
+    for s in sources:
+        stream = [d for d in sorted(docs, key=lambda d: (number(f"chunk/{d[0]}/{d[4]}") % chunks, d[0])) if d[1:3] == s for _ in range(d[3])]
+        goal, key = round(target[s]), f"{s[1]}/{str(s[0]).lower()}"
+        blocks = -(-size[s] // block)
+        passes, rest = divmod(goal, size[s]) if size[s] else (0, 0)
+        count = passes * blocks + -(-rest // block)
+        thrown = sorted(number(f"shard/{key}/{i}") % shards for i in range(count))
+        n = max(blocks - 1, 1)
+        for slot in range(count):
+            k, i = divmod(slot, blocks)
+            x = i
+            for r in range(mixing.ROUNDS):
+                y = (number(f"turn/{key}/{k * mixing.ROUNDS + r}") % n - x) % n
+                x = y if hashlib.md5(f"{key}/{k}/{r}/{max(x, y)}".encode()).hexdigest()[0] >= "8" else x
+            at = i if i == blocks - 1 else x
+            words = stream[at * block : (at + 1) * block]
+            for d in words[: max(rest - i * block, 0)] if k == passes else words:
+                taken[d[0]] += 1
+                where[d[0]].add(thrown[slot])
+    return {i: (taken[i], sorted(where[i])) for i in taken}
+
+
+def test_mixing_by_hand(spark):
+    texts = [(i, t) for i, t in enumerate(corpus(4))]
+    rows = frame(spark, texts)
+    want = mixed_by_hand([(r.doc_id, r.text, r.source) for r in rows.collect()], 5, 16)
+    got = {r.doc_id: (r.taken, list(r.shards)) for r in mixing.mix_plan(rows, 5, 16).collect()}
+    assert got == want
+
+
 def test_mixing(spark):
     texts = corpus(4)
     rows = frame(spark, [*texts, (3, "two words here"), (3, "two words here"), (None, "no id")])
@@ -132,11 +179,21 @@ def test_mixing(spark):
     each = out.groupby(["none", "name"]).agg({"size": "sum", "target": "max", "taken": "sum"})
     assert ((each.taken - each.target).abs() <= 1).all() and (each.target <= 2 * each["size"] + 1e-6).all()
     assert abs(each.target.sum() - 1.5 * each["size"].sum()) < 1e-6
-    again = mixing.mix_plan(rows.repartition(7)).toPandas()
-    assert sorted(map(str, out.values.tolist())) == sorted(map(str, again.values.tolist()))
     assert mixing.mixed(rows).columns == rows.columns and mixing.mix_plan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_mixing_is_the_same_however_it_is_partitioned(spark, partitions):
+    rows = frame(spark, [*corpus(4), (3, "two words here"), (3, "two words here"), (None, "no id")])
+    want = sorted(map(str, mixing.mix_plan(rows).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert sorted(map(str, mixing.mix_plan(rows.repartition(5)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_sharding(spark):
     table = sharding.lookup_table(7, 101)
     assert sorted(set(table)) == list(range(7)) and max(map(table.count, range(7))) - min(map(table.count, range(7))) <= 1
@@ -163,6 +220,27 @@ def test_secrets_partners_overlap_sure(spark):
     assert spans == {0: ["hex", "secret"], 1: ["hex", "secret"], 2: ["hex"]}
 
 
+def test_secret_links_by_hand(spark):
+    """Random credentials in parts, linked by comparing every candidate with every other."""
+    rng = random.Random(6)
+    parts = ["user=bob99x", "client_id: app-7", "password=hunter22", "pwd = 'abc'", "https://db.example/x", "me@mail.example.org", "AKIA" + "B7" * 8, "deadbeefdeadbeef", "token=" + "k" * 14, "Zz9+/" * 9, "𝄞"]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.05 else "pad" for _ in range(rng.choice([30, 300, 3000]))) for _ in range(40)] + [" ".join(parts * 300), None]
+    rows = secrets.scanned(frame(spark, texts)).collect()
+    assert len(rows) == len(texts) and sum(len(r.spans) - len(r.base) for r in rows) > 100
+    for r in rows:
+        found = [(m.start(), rank, m.end(), kind) for rank, (kind, p, group, least) in enumerate(secrets.SURE + secrets.WEAK) for m in re.finditer(p, texts[r.doc_id] or "") if len(m.group(group)) >= least]
+        sure = [x for x in found if x[1] < 3]
+        near = lambda a, b, d: b[0] - d < a[2] and a[0] < b[2] + d
+        weak = [w for w in found if w[1] >= 3 and not any(near(w, x, 0) for x in sure) and any(near(w, p, secrets.SCOPE) for p in found if p[3] in secrets.PARTNERS[w[3]])]
+        assert [tuple(x) for x in r.spans] == sorted(sure + weak)
+
+
+def test_secrets_edges(spark):
+    assert secrets.scanned(frame(spark, [])).count() == 0
+    again = secrets.scanned(frame(spark, [(1, "user=bob99x password=abc12"), (1, "user=bob99x password=abc12"), (None, "user=bob99x password=abc12")])).collect()
+    assert [len(r.spans) for r in again] == [2, 2, 2]
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=40) + (["Awful"] if i % 4 == 0 else [])), "en", "s", 0) for i in range(400)]
