@@ -13,6 +13,13 @@ from pyspark.sql.types import DoubleType, StringType
 from .lexicons import FOREIGN_PHRASES
 
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
+#: Code points that n-grams are counted over at a time.
+PIECE = 1 << 20
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, line ends and U+001C to U+001F included."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
 
 
 def words(text: Column) -> Column:
@@ -30,40 +37,62 @@ def low_vocabulary(text: Column) -> Column:
     return (F.size(w) > 5) & (F.size(F.array_distinct(w)) <= 2)
 
 
-@F.pandas_udf(DoubleType())
-def bigram_share(text: pd.Series) -> pd.Series:
-    """Share of the most frequent word pair among all pairs of texts of over ten words, else 0."""
+def bigram_share(text: Column) -> Column:
+    """Share of the most frequent word pair among all pairs of texts of over ten words, else 0.
 
-    def one(t):
-        w = (t or "").split()
-        if len(w) <= 10:
-            return 0.0
-        return float(pd.Series([f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]).value_counts().iloc[0]) / (len(w) - 1)
+    Sorted pairs are counted run by run, so a text costs one sort.
+    """
+    w = words(text)
+    pairs = F.array_sort(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
-    return text.map(one)
+    def count(state: Column, pair: Column) -> Column:
+        run = F.when(pair == state["last"], state["run"] + 1).otherwise(1)
+        return F.struct(pair.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    return F.when(F.size(w) > 10, F.aggregate(pairs, start, count, lambda state: state["most"]) / F.greatest(F.size(w) - 1, F.lit(1))).otherwise(0.0)
 
 
 @F.pandas_udf(DoubleType())
 def ngram_coverage(text: pd.Series) -> pd.Series:
-    """Largest n * count / length over n-grams of 2 to 6 characters, of texts of over 12 without spaces."""
+    """Largest n * count / length over n-grams of 2 to 6 characters, of texts of over 12 without spaces.
 
-    def one(t):
-        s = np.frombuffer((t or "").replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if len(s) <= 12:
-            return 0.0
-        best, symbols = 0.0, np.unique(s, return_inverse=True)[1].astype(np.int64)
-        code = symbols
-        for n in range(2, 7):
-            code = code[: len(s) - n + 1] * (int(symbols.max()) + 1) + symbols[n - 1 :]
-            code, count = np.unique(code, return_inverse=True, return_counts=True)[1:]
-            best = max(best, float(count.max()) * n / len(s))
+    Texts are joined to pieces of about PIECE code points; each n-gram length is one sort of a piece.
+    """
+    texts = [(t or "").replace(" ", "") for t in text]
+    size = np.array([len(t) for t in texts])
+    out, ends = np.zeros(len(texts)), np.cumsum(size)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+        out[first:last] = _coverage(texts[first:last], size[first:last])
+        first = last
+    return pd.Series(out)
+
+
+def _coverage(texts: list[str], size: np.ndarray) -> np.ndarray:
+    best = np.zeros(len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
         return best
-
-    return text.map(one)
+    symbols = np.unique(code, return_inverse=True)[1].astype(np.int64)
+    row, kinds, code = np.repeat(np.arange(len(texts)), size), int(symbols.max()) + 1, symbols
+    for n in range(2, 7):
+        if len(symbols) < n:
+            break
+        code = np.unique(code[: len(symbols) - n + 1] * kinds + symbols[n - 1 :], return_inverse=True)[1].astype(np.int64)
+        inside = row[: len(code)] == row[n - 1 :]
+        key, count = np.unique(row[: len(code)][inside] * (int(code.max()) + 1) + code[inside], return_counts=True)
+        most = np.zeros(len(texts))
+        np.maximum.at(most, key // (int(code.max()) + 1), count)
+        best = np.maximum(best, most * n / np.maximum(size, 1))
+    return np.where(size > 12, best, 0.0)
 
 
 def is_hallucination(text: Column) -> Column:
-    return too_short(text) | low_vocabulary(text) | (bigram_share(text) > 0.6) | (ngram_coverage(text) > 0.5)
+    """Short, of few words, or repeating itself; only texts that no cheap rule takes go to Python."""
+    cheap = too_short(text) | low_vocabulary(text) | (bigram_share(text) > 0.6)
+    return cheap | (ngram_coverage(F.when(~cheap, text)) > 0.5)
 
 
 def strip_phrases(text: Column, phrases: list[str] = FOREIGN_PHRASES) -> Column:
@@ -109,7 +138,7 @@ def json_object(text: pd.Series) -> pd.Series:
         try:
             json.loads(t)
             return t
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return text.map(one)

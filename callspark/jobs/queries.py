@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as X
 from ..functions import text as T
 from ..operators import emotion, prosody, report, segments, speakers
+from ..schemas import REPORT, RESULT_FIELDS
 from ..sources import calls as C
+from . import workloads
 
 MANAGER, SUFFIXES = ["the", "and", "der", "les"], ["er.", "en."]
 DANGER = {"a": ["er.", "the"], "b": ["ion"]}
@@ -76,38 +78,86 @@ def clip_to_duration(spark, d):
     return rows.select("call_id", "seg_idx", T.clip_to_duration(F.col("text"), F.col("sec")).alias("text"))
 
 
-@query()
+SPLIT = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+SHORTER = "CASE WHEN sec > 0 AND length(replace({0}, ' ', '')) / sec > 15 AND m < length({0}) THEN CASE WHEN {1} > m * 0.5 THEN left({0}, {1}) ELSE left({0}, m) END ELSE {0} END"
+CLEAN_SQL = f"""{C.SEGMENTS_SQL}, {C.CHUNKS_SQL},
+c0 AS (SELECT call_id, chunk_idx, coalesce(start, 0) AS start, coalesce(stop, 0) AS stop, trim(text) AS text, replace(trim(text), ' ', '') AS t, {SPLIT.format('text')} AS w FROM ch),
+c1 AS (SELECT call_id, chunk_idx, length(t) AS len, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM c0 WHERE length(t) > 12),
+c2 AS ({' UNION ALL '.join(f"SELECT call_id, chunk_idx, len, {n} AS n, {' || '.join(['c', *(f'lead(c, {k}) OVER w' for k in range(1, n))])} AS gram FROM c1 WINDOW w AS (PARTITION BY call_id, chunk_idx ORDER BY i)" for n in range(2, 7))}),
+c3 AS (SELECT call_id, chunk_idx, max(k * n / len) > 0.5 AS again FROM (SELECT call_id, chunk_idx, len, n, count(*) AS k FROM c2 WHERE gram IS NOT NULL GROUP BY call_id, chunk_idx, len, n, gram) GROUP BY 1, 2),
+c4 AS (SELECT call_id, chunk_idx, max(k) / any_value(n) > 0.6 AS pairs FROM (SELECT call_id, chunk_idx, p, len(w) - 1 AS n, count(*) AS k
+  FROM (SELECT call_id, chunk_idx, w, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM c0 WHERE len(w) > 10) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+c5 AS (SELECT c0.*, coalesce(length(text), 0) < 3 OR (len(w) > 5 AND len(list_distinct(w)) <= 2) OR coalesce(again, false) OR coalesce(pairs, false) AS bad, stop - start AS sec, CAST(trunc((stop - start) * 10) AS INT) AS m,
+  trim(regexp_replace({''.join('replace(' for _ in X.FOREIGN_PHRASES)}text{''.join(f", '{p}', '')" for p in X.FOREIGN_PHRASES)}, '\\s+', ' ', 'g')) AS u FROM c0 LEFT JOIN c3 USING (call_id, chunk_idx) LEFT JOIN c4 USING (call_id, chunk_idx)),
+c6 AS (SELECT *, CASE WHEN contains(left(u, greatest(m, 0)), ' ') THEN length(left(u, m)) - strpos(reverse(left(u, m)), ' ') ELSE -1 END AS sp FROM c5),
+c7 AS (SELECT *, {SHORTER.format('u', 'sp')} AS cut FROM c6),
+cc AS (SELECT call_id, chunk_idx, start, stop, cut AS text, CASE WHEN bad THEN 'hallucination' WHEN length(u) < 3 THEN 'phrases' WHEN stop <= start THEN 'time' WHEN length(cut) < 3 THEN 'clipped' END AS reason FROM c7)"""
+
+
+@query(f"WITH {CLEAN_SQL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM cc GROUP BY 1")
 def drop_reasons(spark, d):
-    rows = C.segments(spark, d).selectExpr("call_id", "seg_idx AS chunk_idx", "start_ms / 1000 AS start", "end_ms / 1000 AS end", "text")
-    return segments.clean_chunks(rows).groupBy("reason").agg(F.count("*").alias("n"))
+    rows = segments.clean_chunks(C.chunks(spark, d))
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f'WITH {CLEAN_SQL} SELECT call_id, chunk_idx, start, stop AS "end", text FROM cc WHERE reason IS NULL')
 def clean_chunks(spark, d):
-    rows = C.segments(spark, d).selectExpr("call_id", "seg_idx AS chunk_idx", "start_ms / 1000 AS start", "end_ms / 1000 AS end", "text")
-    return segments.clean_chunks(rows).where("reason IS NULL").drop("reason")
+    return segments.clean_chunks(C.chunks(spark, d)).where("reason IS NULL").drop("reason")
+
+
+@query(f"""WITH {C.LINES_SQL}, w AS (SELECT call_id, seg_idx, {SPLIT.format('text')} AS w FROM lines),
+p AS (SELECT call_id, seg_idx, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM w WHERE len(w) > 10),
+g AS (SELECT call_id, seg_idx, max(k) / any_value(n) AS share FROM (SELECT call_id, seg_idx, n, p, count(*) AS k FROM p GROUP BY ALL) GROUP BY 1, 2)
+SELECT w.call_id, w.seg_idx, coalesce(share, 0) AS share FROM w LEFT JOIN g ON w.call_id = g.call_id AND w.seg_idx = g.seg_idx""")
+def bigram_share(spark, d):
+    return C.lines(spark, d).select("call_id", "seg_idx", T.bigram_share(F.col("text")).alias("share"))
 
 
-@query(f"""WITH RECURSIVE {C.SEGMENTS_SQL}, num AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) AS k FROM seg),
-f(call_id, k, o, s, e, t, sp) AS (SELECT call_id, k, CAST(0 AS BIGINT), start_ms, end_ms, text, speaker FROM num WHERE k = 1
+@query(f"WITH {C.SEGMENTS_SQL} SELECT call_id, seg_idx, end_ms - start_ms >= 1500 AS voice, end_ms - start_ms >= 1000 AS mood FROM seg WHERE end_ms - start_ms >= 1000")
+def min_lengths(spark, d):
+    rows = segments.at_least(C.segments(spark, d), 1000)
+    return rows.join(segments.at_least(rows, 1500).select("call_id", "seg_idx", F.lit(True).alias("voice")), ["call_id", "seg_idx"], "left").select("call_id", "seg_idx", F.coalesce("voice", F.lit(False)).alias("voice"), F.lit(True).alias("mood"))
+
+
+def _merged(source: str) -> str:
+    """mg(call_id, seg_idx, start_ms, end_ms, text, speaker): ``source`` merged, one segment after the other."""
+    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) AS k FROM {source}),
+fd(call_id, k, o, s, e, t, sp) AS (SELECT call_id, k, CAST(0 AS BIGINT), start_ms, end_ms, text, speaker FROM num WHERE k = 1
   UNION ALL SELECT call_id, k, o + (NOT m)::INT, CASE WHEN m THEN s ELSE start_ms END, end_ms, CASE WHEN NOT m THEN text WHEN text = '' OR text = t THEN t ELSE t || ' ' || text END, speaker
-  FROM (SELECT n.*, f.o, f.s, f.t, n.speaker IS NOT DISTINCT FROM f.sp AND (n.start_ms - f.e < 1500 OR f.e - f.s < 2000 OR n.end_ms - n.start_ms < 2000) AS m FROM f JOIN num n ON n.call_id = f.call_id AND n.k = f.k + 1))
-SELECT call_id, o AS seg_idx, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(t, k) AS text, any_value(sp) AS speaker FROM f GROUP BY 1, 2""")
+  FROM (SELECT n.*, f.o, f.s, f.t, n.speaker IS NOT DISTINCT FROM f.sp AND (n.start_ms - f.e < 1500 OR f.e - f.s < 2000 OR n.end_ms - n.start_ms < 2000) AS m
+    FROM fd f JOIN num n ON n.call_id = f.call_id AND n.k = f.k + 1)),
+mg AS (SELECT call_id, o AS seg_idx, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(t, k) AS text, any_value(sp) AS speaker FROM fd GROUP BY 1, 2)"""
+
+
+def _thinned(source: str) -> str:
+    """kp: the rows of ``source`` that :func:`drop_repeats` keeps."""
+    return f"""t0 AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY call_id ORDER BY seg_idx), '') AS b FROM {source}),
+t1 AS (SELECT *, list_distinct({SPLIT.format('text')}) AS x, list_distinct({SPLIT.format('b')}) AS y FROM t0),
+t2 AS (SELECT *, text = b OR (len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) > 0.8) AS same FROM t1),
+t3 AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY call_id ORDER BY seg_idx) AS run FROM t2),
+t4 AS (SELECT *, row_number() OVER (PARTITION BY call_id, run ORDER BY seg_idx) + (run = 0)::INT AS place FROM t3), kp AS (SELECT * FROM t4 WHERE place <= 2)"""
+
+
+@query(f"WITH RECURSIVE {C.SEGMENTS_SQL}, {_merged('seg')} SELECT * FROM mg")
 def merge_adjacent(spark, d):
     return segments.merge_adjacent(C.segments(spark, d))
 
 
-@query(f"""WITH {C.LINES_SQL}, w AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY call_id ORDER BY seg_idx), '') AS b FROM lines),
-l AS (SELECT *, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(b, '\\s+'), lambda x: x <> '')) AS y FROM w),
-s AS (SELECT *, text = b OR (len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) > 0.8) AS same FROM l),
-r AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY call_id ORDER BY seg_idx) AS run FROM s),
-p AS (SELECT *, row_number() OVER (PARTITION BY call_id, run ORDER BY seg_idx) + (run = 0)::INT AS place FROM r) SELECT call_id, seg_idx, text FROM p WHERE place <= 2""")
+@query(f"WITH ln AS (WITH {C.LINES_SQL} SELECT call_id, seg_idx, text AS raw, trim(text, ' \t\r\n') AS text FROM lines), {_thinned('ln')} SELECT call_id, seg_idx, raw AS text FROM kp")
 def drop_repeats(spark, d):
     return segments.drop_repeats(C.lines(spark, d))
 
 
-@query(f"""WITH {C.SPANS_SQL}, o AS (SELECT s.call_id, seg_idx, speaker, sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS ms FROM sg s JOIN tn t ON s.call_id = t.call_id AND s.start_ms < t.end_ms AND t.start_ms < s.end_ms GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY call_id, seg_idx ORDER BY ms DESC, speaker) AS k FROM o) SELECT sg.call_id, sg.seg_idx, sg.start_ms, sg.end_ms, b.speaker FROM sg LEFT JOIN b ON sg.call_id = b.call_id AND sg.seg_idx = b.seg_idx AND k = 1""")
+def _given(source: str, turns: str, name: str) -> str:
+    """``name``: the segments of ``source`` with the speaker that ``turns`` gives them."""
+    return f"""gv AS (SELECT s.call_id, seg_idx, t.speaker, sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS ms
+  FROM {source} s JOIN {turns} t ON s.call_id = t.call_id AND s.start_ms < t.end_ms AND t.start_ms < s.end_ms GROUP BY ALL),
+gb AS (SELECT *, row_number() OVER (PARTITION BY call_id, seg_idx ORDER BY ms DESC, speaker) AS k FROM gv),
+{name} AS (SELECT s.*, gb.speaker FROM (SELECT COLUMNS(lambda c: c <> 'speaker') FROM {source}) s
+  LEFT JOIN gb ON s.call_id = gb.call_id AND s.seg_idx = gb.seg_idx AND k = 1)"""
+
+
+@query(f"WITH {C.SPANS_SQL}, {_given('sg', 'tn', 'given')} SELECT * FROM given")
 def assign_speakers(spark, d):
     return segments.assign_speakers(C.spans(spark, d, "segments"), C.spans(spark, d, "turns"))
 
@@ -115,12 +165,22 @@ def assign_speakers(spark, d):
 LEVEL = "CASE WHEN {0} < {1} THEN '{3}' WHEN {0} > {2} THEN '{4}' ELSE 'normal' END"
 
 
-@query(f"""WITH {C.SPANS_SQL}, {C.FRAMES_SQL}, j AS (SELECT s.call_id, seg_idx, end_ms - start_ms AS dur, CASE WHEN f0 > 50 AND f0 < 500 THEN f0 END AS f0, rms, onset FROM sg s JOIN fr f ON s.call_id = f.call_id AND t_ms >= start_ms AND t_ms < end_ms),
-a AS (SELECT call_id, seg_idx, max(dur) AS dur, count(*) AS n, count(f0) AS nv, sum(f0) AS s, sum(f0 * f0) AS q, sum(rms) / count(rms) AS e, sum(onset::INT) AS o FROM j GROUP BY 1, 2),
-b AS (SELECT *, CASE WHEN nv > 0 THEN s / nv ELSE 0 END AS p, CASE WHEN nv > 0 THEN sqrt(nv * q - s * s) / nv ELSE 0 END AS sd, o * 1000 / dur AS r FROM a WHERE n >= 2)
-SELECT call_id, seg_idx, floor(p * 10 + 0.5) / 10 AS pitch_mean, floor(sd * 10 + 0.5) / 10 AS pitch_std, {LEVEL.format('p', 100, 250, 'low', 'high')} AS pitch_level, floor(e + 0.5) / 1 AS energy_mean, {LEVEL.format('e', 100, 800, 'low', 'high')} AS energy_level, {LEVEL.format('r', 3, 7, 'slow', 'fast')} AS speech_rate FROM b""")
+PROSODY_SQL = f"""{C.SPANS_SQL}, {C.FRAMES_SQL},
+pj AS (SELECT s.call_id, seg_idx, CASE WHEN f0 > 50 AND f0 < 500 THEN f0 END AS f0, rms, onset
+  FROM sg s JOIN fr f ON s.call_id = f.call_id AND t_ms >= start_ms AND t_ms < end_ms WHERE end_ms - start_ms >= 1500),
+pa AS (SELECT call_id, seg_idx, count(*) AS n, count(f0) AS nv, sum(f0) AS s, sum(f0 * f0) AS q, sum(rms) / count(rms) AS e, sum(onset::INT) AS o FROM pj GROUP BY 1, 2),
+pb AS (SELECT sg.*, end_ms - start_ms AS dur, coalesce(n, 0) >= 2 AS known, CASE WHEN nv > 0 THEN s / nv ELSE 0 END AS p,
+  CASE WHEN nv > 0 THEN sqrt(greatest(nv * q - s * s, 0)) / nv ELSE 0 END AS sd, coalesce(e, 0) AS e, o * 1000 / (end_ms - start_ms) AS r FROM sg LEFT JOIN pa USING (call_id, seg_idx)),
+sp AS (SELECT call_id, seg_idx, speaker, CASE WHEN dur >= 1500 THEN CASE WHEN known THEN round_even(p, 1) ELSE 0 END END AS pitch_mean, CASE WHEN dur >= 1500 THEN CASE WHEN known THEN round_even(sd, 1) ELSE 0 END END AS pitch_std,
+  CASE WHEN dur >= 1500 THEN CASE WHEN known THEN {LEVEL.format('p', 100, 250, 'low', 'high')} ELSE 'unknown' END END AS pitch_level,
+  CASE WHEN dur >= 1500 THEN CASE WHEN known THEN round_even(e, 0) ELSE 0 END END AS energy_mean, CASE WHEN dur >= 1500 THEN CASE WHEN known THEN {LEVEL.format('e', 100, 800, 'low', 'high')} ELSE 'unknown' END END AS energy_level,
+  CASE WHEN dur >= 1500 THEN CASE WHEN known THEN {LEVEL.format('r', 3, 7, 'slow', 'fast')} ELSE 'unknown' END END AS speech_rate FROM pb)"""
+
+
+@query(f"WITH {PROSODY_SQL} SELECT * EXCLUDE (speaker) FROM sp")
 def segment_prosody(spark, d):
-    return prosody.segment_prosody(C.frames(spark, d), C.spans(spark, d, "segments"))
+    """Events are far apart, so two frames are enough here."""
+    return prosody.segment_prosody(C.frames(spark, d), C.spans(spark, d, "segments"), 2)
 
 
 @query(f"WITH {C.MEASURED_SQL} SELECT call_id, speaker, median(pitch) AS base_pitch, median(std) AS base_std, median(energy) AS base_energy FROM mea GROUP BY 1, 2")
@@ -128,26 +188,52 @@ def speaker_baselines(spark, d):
     return C.measured(spark, d).groupBy("call_id", "speaker").agg(*(F.median(c).alias(f"base_{c}") for c in ("pitch", "std", "energy")))
 
 
-ENRICHED_SQL = f"""WITH {C.MEASURED_SQL}, bs AS (SELECT *, median(pitch) OVER (PARTITION BY call_id, speaker) AS bp, median(std) OVER (PARTITION BY call_id, speaker) AS bsd, median(energy) OVER (PARTITION BY call_id, speaker) AS be,
-  sum(pitch) OVER w AS rp, sum(energy) OVER w AS re, count(*) OVER w AS rn FROM mea WINDOW w AS (PARTITION BY call_id, speaker ORDER BY seg_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-rf AS (SELECT *, CASE WHEN rn > 0 THEN rp / rn ELSE bp END AS fp, CASE WHEN rn > 0 THEN re / rn ELSE be END AS fe, pitch / bp AS rt FROM bs),
-en AS (SELECT *, CASE WHEN rt < 0.85 THEN 'much_lower' WHEN rt < 0.95 THEN 'lower' WHEN rt <= 1.05 THEN 'normal' WHEN rt <= 1.15 THEN 'higher' ELSE 'much_higher' END AS relative_pitch,
+def _enriched(source: str, e_level: str, rate: str) -> str:
+    """en: the measured rows of ``source`` beside their baselines and earlier segments."""
+    return f"""bs AS (SELECT *, median(pitch) OVER (PARTITION BY call_id, speaker) AS bp, median(std) OVER (PARTITION BY call_id, speaker) AS bsd, median(energy) OVER (PARTITION BY call_id, speaker) AS be,
+  avg(pitch) OVER w AS rp, avg(energy) OVER w AS re FROM {source} WINDOW w AS (PARTITION BY call_id, speaker ORDER BY seg_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+rf AS (SELECT *, coalesce(rp, bp) AS fp, coalesce(re, be) AS fe, CASE WHEN bp > 0 THEN pitch / bp ELSE 1 END AS rt, CASE WHEN be > 0 THEN energy / be ELSE 1 END AS et FROM bs),
+en AS (SELECT * EXCLUDE (speech_rate, energy_level), CASE WHEN rt < 0.85 THEN 'much_lower' WHEN rt < 0.95 THEN 'lower' WHEN rt <= 1.05 THEN 'normal' WHEN rt <= 1.15 THEN 'higher' ELSE 'much_higher' END AS relative_pitch,
   CASE WHEN std >= greatest(bsd * 1.5, 50) THEN 'high' WHEN std <= least(bsd * 0.8, 25) THEN 'low' ELSE 'normal' END AS pitch_var_level,
-  floor((rt - 1) * 100 * 10 + 0.5) / 10 AS pitch_pct, floor((energy / be - 1) * 100 * 10 + 0.5) / 10 AS energy_pct,
-  concat_ws('+', CASE WHEN abs(pitch - fp) / fp >= 0.25 THEN '피치' || CASE WHEN pitch > fp THEN '↑' ELSE '↓' END END, CASE WHEN abs(energy - fe) / fe >= 0.4 THEN '에너지' || CASE WHEN energy > fe THEN '↑' ELSE '↓' END END) AS change_hint,
-  {LEVEL.format('energy', 100, 800, 'low', 'high')} AS energy_level, {LEVEL.format('rate', 3, 7, 'slow', 'fast')} AS speech_rate FROM rf)"""
+  round_even((rt - 1) * 100, 1) + 0 AS pitch_pct, round_even((et - 1) * 100, 1) + 0 AS energy_pct,
+  concat_ws('+', CASE WHEN fp > 0 AND abs(pitch - fp) / fp >= 0.25 THEN '피치' || CASE WHEN pitch > fp THEN '↑' ELSE '↓' END END,
+    CASE WHEN fe > 0 AND abs(energy - fe) / fe >= 0.4 THEN '에너지' || CASE WHEN energy > fe THEN '↑' ELSE '↓' END END) AS change_hint,
+  {e_level} AS energy_level, {rate} AS speech_rate FROM (SELECT *, NULL AS speech_rate, NULL AS energy_level FROM rf))"""
+
+
+MEASURES = "relative_pitch, pitch_var_level, pitch_pct, energy_pct, change_hint"
+ENRICHED_SQL = f"WITH {C.MEASURED_SQL}, " + _enriched("mea", LEVEL.format("energy", 100, 800, "low", "high"), LEVEL.format("rate", 3, 7, "slow", "fast"))
 
 
-@query(f"{ENRICHED_SQL} SELECT call_id, seg_idx, speaker, relative_pitch, pitch_var_level, pitch_pct, energy_pct, change_hint, change_hint <> '' AS sudden_change FROM en")
+@query(f"{ENRICHED_SQL} SELECT m.call_id, m.seg_idx, m.speaker, {MEASURES}, change_hint <> '' AS sudden_change FROM mall m LEFT JOIN en USING (call_id, seg_idx)")
 def rolling_sudden_change(spark, d):
-    return prosody.enriched(C.measured(spark, d)).select("call_id", "seg_idx", "speaker", "relative_pitch", "pitch_var_level", "pitch_pct", "energy_pct", "change_hint", "sudden_change")
+    return prosody.enriched(C.measured(spark, d)).select("call_id", "seg_idx", "speaker", *MEASURES.split(", "), "sudden_change")
+
+
+def _words(names: dict[str, str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
 def _mode(c: str) -> str:
     return f"(SELECT call_id, speaker, {c} FROM (SELECT call_id, speaker, {c}, row_number() OVER (PARTITION BY call_id, speaker ORDER BY count(*) DESC, min(seg_idx)) AS k FROM en GROUP BY 1, 2, 3) WHERE k = 1)"
 
 
-@query(f"{ENRICHED_SQL} SELECT * FROM (SELECT call_id, speaker, sum(pitch) / count(*) AS avg_pitch, sum(energy) / count(*) AS avg_energy, count(*) FILTER (change_hint <> '') AS sudden_change_count FROM en GROUP BY 1, 2) " + " ".join(f"JOIN {_mode(c)} USING (call_id, speaker)" for c in ("relative_pitch", "pitch_var_level", "energy_level", "speech_rate")))
+def _mean(c: str, digits: int) -> str:
+    """The mean of values of so many decimals, rounded to as many, half to even, in whole numbers."""
+    total = f"CAST(sum(CAST(round({c} * {10**digits}) AS BIGINT)) AS BIGINT)"
+    up = f"2 * ({total} % count(*)) > count(*) OR (2 * ({total} % count(*)) = count(*) AND {total} // count(*) % 2 = 1)"
+    return f"({total} // count(*) + CASE WHEN {up} THEN 1 ELSE 0 END) / {10**digits}"
+
+
+WHOLE = "printf('%.0f', round_even(CAST({0} AS DOUBLE), 0))"
+SUMMARY_SQL = f"""vs AS (SELECT * FROM (SELECT call_id, speaker, round_even(round(any_value(bp) * 10, 3), 0) / 10 AS base_pitch, round_even(round(any_value(be), 3), 0) AS base_energy, {_mean('pitch', 1)} AS avg_pitch, {_mean('std', 1)} AS pitch_variability,
+  {_mean('energy', 0)} AS avg_energy, count(*) FILTER (change_hint <> '') AS sudden_change_count FROM en GROUP BY 1, 2)
+  {" ".join(f"JOIN {_mode(c)} USING (call_id, speaker)" for c in prosody.MODES)}),
+vo AS (SELECT *, '평소피치 ' || {WHOLE.format("base_pitch")} || 'Hz, 전체 ' || {_words(X.RELATIVE_PITCH, "relative_pitch")} || ', 변동 ' || {_words(X.VARIABILITY, "pitch_var_level")} || ', ' || {_words(X.ENERGY_TONES, "energy_level")}
+  || ', ' || {_words(X.RATES, "speech_rate")} || CASE WHEN sudden_change_count > 0 THEN ', 급변 ' || sudden_change_count || '회' ELSE '' END AS voice_description FROM vs)"""
+
+
+@query(f"{ENRICHED_SQL}, {SUMMARY_SQL} SELECT * FROM vo")
 def speaker_summary(spark, d):
     return prosody.speaker_summary(prosody.enriched(C.measured(spark, d)))
 
@@ -157,18 +243,15 @@ def keyword_hits(spark, d):
     return speakers.keyword_hits(C.segments(spark, d), DANGER)
 
 
-@query(f"WITH {C.SEGMENTS_SQL} SELECT call_id, string_agg(flag, ',' ORDER BY flag) AS flags, sum(n)::BIGINT AS n_details FROM (" + " UNION ALL ".join(f"SELECT call_id, '{t} 키워드 감지' AS flag, sum({' + '.join(f'''contains(text, '{k}')::INT''' for k in ks)}) AS n FROM seg GROUP BY 1" for t, ks in DANGER.items()) + ") WHERE n > 0 GROUP BY 1")
-def danger_rollup(spark, d):
-    return speakers.danger(speakers.keyword_hits(C.segments(spark, d), DANGER)).select("call_id", F.array_join("flags", ",").alias("flags"), F.size("details").cast("long").alias("n_details"))
+KEYWORD_FLAGS = " UNION ALL ".join(f"SELECT call_id, '{t} 키워드 감지' AS flag, sum({' + '.join(f"contains(text, '{k}')::INT" for k in ks)}) AS n FROM seg GROUP BY 1" for t, ks in DANGER.items())
 
 
-@query()
-def danger_flags(spark, d):
-    """Flags of keywords, emotions and voices of the same call ids, united."""
-    voices = prosody.speaker_summary(prosody.enriched(C.measured(spark, d)))
-    moods = emotion.emotion_by_speaker(_emotions(spark, d))
-    rules = (("분노", 0.4, "강한 분노 감정 감지"), ("슬픔", 0.5, "심한 우울/슬픔 감지"))
-    return speakers.danger(speakers.keyword_hits(C.segments(spark, d), DANGER), prosody.prosody_flags(voices), emotion.emotion_flags(moods, rules)).select("call_id", F.array_join("flags", ",").alias("flags"))
+@query(f"""WITH {C.SEGMENTS_SQL}, f AS (SELECT call_id, string_agg(flag, ',' ORDER BY flag) AS flags, sum(n)::BIGINT AS n_details FROM ({KEYWORD_FLAGS}) WHERE n > 0 GROUP BY 1)
+SELECT call_id, flags IS NOT NULL AS detected, coalesce(flags, '') AS flags, coalesce(n_details, 0) AS n_details FROM (SELECT DISTINCT call_id FROM seg) LEFT JOIN f USING (call_id)""")
+def danger_rollup(spark, d):
+    rows = C.segments(spark, d)
+    found = speakers.danger(speakers.keyword_hits(rows, DANGER), calls=rows)
+    return found.select("call_id", "detected", F.array_join("flags", ",").alias("flags"), F.size("details").cast("long").alias("n_details"))
 
 
 def _emotions(spark, d):
@@ -187,14 +270,49 @@ def emotion_softmax(spark, d):
     return _emotions(spark, d).select("call_id", "seg_idx", F.round(F.array_max("probabilities"), 6).alias("score"), emotion.best_label(F.col("probabilities")).alias("label"))
 
 
-@query(f"""WITH {PROBABILITIES_SQL}, t AS (SELECT call_id, speaker, i, sum(CAST(round(p[i] * 1e6) AS BIGINT)) AS s FROM pr, range(1, 7) r(i) GROUP BY ALL),
-h AS (SELECT call_id, speaker, i, floor(s * 1000 / sum(s) OVER (PARTITION BY call_id, speaker) + 0.5) / 1000 AS share FROM t),
-k AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, i) AS k FROM h)
-SELECT call_id, speaker, {LABELS_SQL}[max(i) FILTER (k = 1)] AS dominant_emotion, max(share) FILTER (k = 1) AS share, max(share) FILTER (k = 2) AS second FROM k GROUP BY 1, 2""")
+MOODS_SQL = f"""{PROBABILITIES_SQL}, mt AS (SELECT call_id, speaker, i, sum(CAST(round(p[i] * 1e6) AS BIGINT)) AS s FROM pr, range(1, 7) r(i) GROUP BY ALL),
+mh AS (SELECT call_id, speaker, i, floor(s * 1000 / sum(s) OVER (PARTITION BY call_id, speaker) + 0.5) / 1000 AS share FROM mt),
+mk AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, i) AS k, {LABELS_SQL}[i] AS label, {_words(X.TONES, LABELS_SQL + '[i]')} AS tone FROM mh),
+mo AS (SELECT call_id, speaker, max(label) FILTER (k = 1) AS dominant, max(share) FILTER (k = 1) AS share, max(share) FILTER (k = 2) AS second,
+  CASE WHEN max(share) FILTER (k = 1) - max(share) FILTER (k = 2) < 0.1 THEN max(tone) FILTER (k = 1) || ' + ' || max(tone) FILTER (k = 2) || ' 혼합' ELSE max(tone) FILTER (k = 1) END AS tone FROM mk GROUP BY 1, 2)"""
+MOOD_RULES = (("분노", 0.2, "강한 분노 감정 감지"), ("슬픔", 0.2, "심한 우울/슬픔 감지"))
+MOOD_FLAGS = " UNION ALL ".join(f"SELECT call_id, speaker || ' {flag}' AS flag FROM mo WHERE dominant = '{x}' AND share > {share}" for x, share, flag in MOOD_RULES)
+VOICE_FLAGS = """SELECT call_id, speaker || ' 고성 가능성' AS flag FROM vo WHERE energy_level = 'high' AND relative_pitch IN ('higher', 'much_higher')
+  UNION ALL SELECT call_id, speaker || ' 운율 급변 다발 (' || sudden_change_count || '회)' FROM vo WHERE sudden_change_count >= 3"""
+FOUND_SQL = f"""kw AS (SELECT call_id, flag FROM ({KEYWORD_FLAGS}) WHERE n > 0), fl AS (SELECT DISTINCT * FROM (FROM kw UNION ALL {MOOD_FLAGS} UNION ALL {VOICE_FLAGS})),
+fo AS (SELECT call_id, string_agg(flag, ', ' ORDER BY flag) AS flags FROM fl GROUP BY 1)"""
+
+
+@query(f"WITH {MOODS_SQL} SELECT call_id, speaker, dominant AS dominant_emotion, share, second, tone AS tone_description FROM mo")
 def emotion_by_speaker(spark, d):
     out = emotion.emotion_by_speaker(_emotions(spark, d))
     ranked = F.sort_array(F.map_values("emotion_distribution"), False)
-    return out.select("call_id", "speaker", "dominant_emotion", F.get(ranked, F.lit(0)).alias("share"), F.get(ranked, F.lit(1)).alias("second"))
+    return out.select("call_id", "speaker", "dominant_emotion", F.get(ranked, F.lit(0)).alias("share"), F.get(ranked, F.lit(1)).alias("second"), "tone_description")
+
+
+@query(f"WITH {MOODS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, label) AS rank FROM mk) SELECT call_id, speaker, label, share, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2")
+def top_emotions(spark, d):
+    return emotion.ranked_shares(emotion.emotion_by_speaker(_emotions(spark, d)))
+
+
+@query(f"WITH {MOODS_SQL} {MOOD_FLAGS}")
+def emotion_danger(spark, d):
+    return emotion.emotion_flags(emotion.emotion_by_speaker(_emotions(spark, d)), MOOD_RULES)
+
+
+@query(f"{ENRICHED_SQL}, {SUMMARY_SQL} {VOICE_FLAGS}")
+def prosody_danger(spark, d):
+    return prosody.prosody_flags(speaker_summary(spark, d))
+
+
+@query(f"{ENRICHED_SQL}, {C.SEGMENTS_SQL}, {SUMMARY_SQL}, {MOODS_SQL}, {FOUND_SQL} SELECT call_id, coalesce(flags, '') AS flags, flags IS NOT NULL AS detected FROM (SELECT DISTINCT call_id FROM seg) LEFT JOIN fo USING (call_id)")
+def danger_flags(spark, d):
+    """Flags of keywords, emotions and voices of the same call ids, united."""
+    return _found(spark, d).select("call_id", F.array_join("flags", ", ").alias("flags"), "detected")
+
+
+def _found(spark, d):
+    return workloads.danger_job(C.segments(spark, d), emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), DANGER, MOOD_RULES)
 
 
 @query(f"WITH {C.SEGMENTS_SQL} SELECT call_id, seg_idx, speaker, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY seg_idx) AS k FROM seg WHERE end_ms - start_ms > 2000) WHERE k <= 3")
@@ -207,7 +325,7 @@ def call_span(spark, d):
     return segments.call_spans(C.segments(spark, d))
 
 
-@query(f"WITH {C.SEGMENTS_SQL}, c AS (SELECT call_id, max(end_ms) / 1000.0 AS s FROM seg GROUP BY 1) SELECT call_id, CASE WHEN s > 20 THEN printf('duration %d s exceeds 20 s', CAST(trunc(s) AS BIGINT)) END AS error FROM c")
+@query(f"WITH {C.SEGMENTS_SQL}, c AS (SELECT call_id, max(end_ms) / 1000 AS s FROM seg GROUP BY 1) SELECT call_id, CASE WHEN s > 20 THEN '오디오가 너무 깁니다 (' || {WHOLE.format('s')} || '초). 최대 20초' END AS error FROM c")
 def duration_gate(spark, d):
     calls = C.segments(spark, d).groupBy("call_id").agg((F.max("end_ms") / 1000).alias("duration_sec"))
     return report.duration_gate(calls, 20).select("call_id", "error")
@@ -242,69 +360,28 @@ def prompt_cap(spark, d):
     return rows.select("call_id", report.capped("t", F.length("t") - 1000).alias("t"))
 
 
-@query()
-def meta_lines(spark, d):
-    m = prosody.speaker_summary(prosody.enriched(C.measured(spark, d)))
-    voices = m.select("call_id", "speaker", F.col("avg_pitch").alias("baseline_pitch"), F.concat_ws(", ", "relative_pitch", "pitch_var_level").alias("voice_description"))
-    seg = C.segments(spark, d)
-    return report.meta_lines(speakers.role_ranks(seg, keywords=MANAGER, suffixes=SUFFIXES), voices, speakers.danger(speakers.keyword_hits(seg, DANGER)))
-
-
-@query()
-def prompt_build(spark, d):
-    lines = transcript_labeled(spark, d).join(meta_lines(spark, d), "call_id").join(segments.call_spans(C.segments(spark, d)), "call_id")
-    people = C.table(spark, d, "customer").select(F.col("c_custkey").alias("call_id"), F.col("c_name").alias("patient_name"), F.lit("").alias("admin_name"), F.lit(None).cast("string").alias("admin_phone"), F.lit("80").alias("age"), F.lit("F").alias("gender"), F.col("c_mktsegment").alias("address"))
-    start, end = report.visit_window(F.lit("2024-01-01 00:00:00"), F.col("seconds"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return report.prompts(lines.join(people, "call_id").select("*", start.alias("start_time"), end.alias("end_time"), F.col("seconds").alias("duration_sec")))
-
-
-@query()
-def result_envelope(spark, d):
-    rows = segments.call_spans(C.segments(spark, d)).join(transcript_plain(spark, d), "call_id")
-    rows = rows.withColumn("success", F.when(F.col("call_id") % 7 == 0, False).when(F.col("call_id") % 7 == 1, True)).withColumn("error", F.when(F.col("call_id") % 14 == 0, "x"))
-    return report.envelope(rows, ["transcript", "n_segments", "seconds"])
-
-
-def _words(names: dict[str, str], c: str) -> str:
-    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
-
-
 def _signed(c: str) -> str:
-    return f"CASE WHEN {c} < 0 THEN '-' ELSE '+' END || printf('%.0f', CAST(abs({c}) AS DOUBLE))"
+    return f"CASE WHEN {c} < 0 THEN '-' ELSE '+' END || {WHOLE.format(f'abs({c})')}"
 
 
 SHORT_CLOCK = "printf('%02d:%04.1f', {0} // 60000, ({0} % 60000) / 1000.0)"
 TAG_SQL = f"""concat_ws(', ', '피치=' || pitch || 'Hz(' || {_words(X.RELATIVE_PITCH, 'relative_pitch')} || ',' || {_signed('pitch_pct')} || '%)', '변동=' || {_words(X.VARIABILITY, 'pitch_var_level')} || '(std=' || std || ')',
   '에너지=' || energy_level || '(' || {_signed('energy_pct')} || '%)', '말속도=' || speech_rate, CASE WHEN change_hint <> '' THEN '급변=' || change_hint END)"""
-VOICES_SQL = f"""vo AS (SELECT call_id, speaker, '평소피치 ' || printf('%.0f', base) || 'Hz, 전체 ' || {_words(X.RELATIVE_PITCH, 'relative_pitch')} || ', 변동 ' || {_words(X.VARIABILITY, 'pitch_var_level')} || ', ' || {_words(X.ENERGY_TONES, 'energy_level')} || ', ' || {_words(X.RATES, 'speech_rate')}
-  || CASE WHEN n > 0 THEN ', 급변 ' || n || '회' ELSE '' END AS voice_description FROM (SELECT call_id, speaker, median(pitch) AS base, count(*) FILTER (change_hint <> '') AS n FROM en GROUP BY 1, 2) """ + " ".join(f"JOIN {_mode(c)} USING (call_id, speaker)" for c in ("relative_pitch", "pitch_var_level", "energy_level", "speech_rate")) + ")"
-
 
-def _voices(spark, d):
-    return prosody.voice_descriptions(prosody.speaker_summary(prosody.enriched(C.measured(spark, d))), speaker_baselines(spark, d))
 
-
-@query(f"""{ENRICHED_SQL}, {C.SEGMENTS_SQL}, tg AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) - 1 AS seg_idx, {TAG_SQL} AS tag FROM en)
-SELECT s.call_id, s.seg_idx, '[' || {SHORT_CLOCK.format('start_ms')} || '~' || {SHORT_CLOCK.format('end_ms')} || '] [' || coalesce(speaker, 'UNKNOWN') || '] ' || text || coalesce('  |운율: ' || tag || '|', '') AS line FROM seg s LEFT JOIN tg ON s.call_id = tg.call_id AND s.seg_idx = tg.seg_idx""")
-def tagged_lines(spark, d):
-    order = Window.partitionBy("call_id").orderBy("seg_idx")
-    rows = prosody.enriched(C.measured(spark, d)).withColumn("seg_idx", F.row_number().over(order) - 1)
-    return prosody.tagged_lines(C.segments(spark, d), rows)
+@query(f"{ENRICHED_SQL}, {SUMMARY_SQL} SELECT call_id, speaker, voice_description FROM vo")
+def voice_descriptions(spark, d):
+    return speaker_summary(spark, d).select("call_id", "speaker", "voice_description")
 
 
-@query(f"{ENRICHED_SQL}, {VOICES_SQL} SELECT * FROM vo")
-def voice_descriptions(spark, d):
-    return _voices(spark, d)
+TONES_SQL = f"""{ROLES_SQL}, {ENRICHED_SQL.removeprefix("WITH ")}, {SUMMARY_SQL}, {MOODS_SQL}"""
+TONED = "CASE WHEN voice_description IS NULL THEN coalesce(tone, {0}) ELSE coalesce(tone, {0}, '') || ' (' || voice_description || ')' END"
 
 
-@query(f"""{ROLES_SQL}, {ENRICHED_SQL.removeprefix('WITH ')}, {VOICES_SQL}, {PROBABILITIES_SQL}, t AS (SELECT call_id, speaker, i, sum(CAST(round(p[i] * 1e6) AS BIGINT)) AS s FROM pr, range(1, 7) r(i) GROUP BY ALL),
-h AS (SELECT call_id, speaker, i, floor(s * 1000 / sum(s) OVER (PARTITION BY call_id, speaker) + 0.5) / 1000 AS share FROM t),
-k AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, i) AS k, {_words(X.TONES, LABELS_SQL + '[i]')} AS tone FROM h),
-mo AS (SELECT call_id, speaker, CASE WHEN max(share) FILTER (k = 1) - max(share) FILTER (k = 2) < 0.1 THEN max(tone) FILTER (k = 1) || ' + ' || max(tone) FILTER (k = 2) || ' 혼합' ELSE max(tone) FILTER (k = 1) END AS tone FROM k GROUP BY 1, 2)
-SELECT ro.call_id, role, CASE WHEN voice_description IS NULL THEN coalesce(tone, '미상') ELSE coalesce(tone, '미상') || ' (' || voice_description || ')' END AS tone FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) WHERE ro.rank <= 2""")
+@query(f"{TONES_SQL} SELECT ro.call_id, role, {TONED.format(chr(39) + '미상' + chr(39))} AS tone FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) WHERE ro.rank <= 2")
 def tone_override(spark, d):
     roles = speakers.role_ranks(C.segments(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
-    return report.tone_overrides(roles, emotion.emotion_by_speaker(_emotions(spark, d)), _voices(spark, d), F.lit("미상"))
+    return report.tone_overrides(roles, emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), F.lit("미상"))
 
 
 @query(f"WITH {C.MEASURED_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY seg_idx) AS k FROM mea WHERE std * 100 > 2000) SELECT call_id, speaker, sum(pitch) / count(*) AS avg_pitch, sum(energy) / count(*) AS avg_energy FROM f WHERE k <= 3 GROUP BY 1, 2")
@@ -324,3 +401,177 @@ def explode_chunks(spark, d):
 def run_report(spark, d):
     out = segments.run_report(C.segments(spark, d), 3)
     return out.select("call_id", "num_segments", F.array_join(F.transform("segments_sample", lambda x: F.concat(x["seg_idx"].cast("string"), F.lit(":"), x["text"])), "\n").alias("sample"))
+
+
+@query(f"{ROLES_SQL} SELECT call_id, string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] [' || sp || '] ' || text, chr(10) ORDER BY seg_idx) AS transcript FROM named GROUP BY 1")
+def transcript_speakers(spark, d):
+    return speakers.transcripts(C.segments(spark, d), "speaker")
+
+
+def _tagged(spark, d):
+    """Measures of as many segments of each call as there are, in order."""
+    order = Window.partitionBy("call_id").orderBy("seg_idx")
+    return prosody.enriched(C.measured(spark, d)).withColumn("seg_idx", F.row_number().over(order) - 1)
+
+
+TAGS_SQL = f"""tg AS (SELECT call_id, seg_idx, {TAG_SQL} AS tag FROM (SELECT en.* EXCLUDE (seg_idx), k AS seg_idx
+  FROM (SELECT call_id, seg_idx AS sx, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) - 1 AS k FROM mall) JOIN en USING (call_id) WHERE en.seg_idx = sx))"""
+
+
+@query(f"""{ENRICHED_SQL}, {C.SEGMENTS_SQL}, {TAGS_SQL}
+SELECT s.call_id, s.seg_idx, '[' || {SHORT_CLOCK.format('start_ms')} || '~' || {SHORT_CLOCK.format('end_ms')} || '] [' || coalesce(speaker, 'UNKNOWN') || '] ' || text || coalesce('  |운율: ' || tag || '|', '') AS line
+FROM seg s LEFT JOIN tg ON s.call_id = tg.call_id AND s.seg_idx = tg.seg_idx""")
+def tagged_lines(spark, d):
+    return prosody.tagged_lines(C.segments(spark, d), _tagged(spark, d))
+
+
+INLINE_SQL = f"""{TAGS_SQL},
+il AS (SELECT n.call_id, string_agg('[' || {SHORT_CLOCK.format('start_ms')} || '~' || {SHORT_CLOCK.format('end_ms')} || '] [' || role || '] ' || text || coalesce('  |운율: ' || tag || '|', ''), chr(10) ORDER BY n.seg_idx) AS transcript
+  FROM named n JOIN ro ON n.call_id = ro.call_id AND n.sp = ro.speaker LEFT JOIN tg ON n.call_id = tg.call_id AND n.seg_idx = tg.seg_idx GROUP BY 1)"""
+
+
+@query(f"{ROLES_SQL}, {ENRICHED_SQL.removeprefix('WITH ')}, {INLINE_SQL} SELECT * FROM il")
+def transcript_inline(spark, d):
+    rows = speakers.with_roles(C.segments(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+    return speakers.in_order(prosody.tagged_lines(rows, _tagged(spark, d), "role"))
+
+
+ALL_SQL = f"{TONES_SQL}, {FOUND_SQL}"
+META_SQL = f"""ml AS (SELECT ro.call_id, '[화자별 운율 종합 (baseline 기준)]' || chr(10) || string_agg('- ' || role || '(' || ro.speaker || '): baseline ' || {WHOLE.format('coalesce(base_pitch, 0)')} || 'Hz, ' || coalesce(voice_description, '분석 불가'), chr(10) ORDER BY ro.rank)
+  || coalesce(chr(10) || '- 위험 플래그: ' || any_value(flags), '') AS meta FROM ro LEFT JOIN vo USING (call_id, speaker) LEFT JOIN fo ON fo.call_id = ro.call_id GROUP BY 1)"""
+
+
+@query(f"{ALL_SQL}, {META_SQL} SELECT * FROM ml")
+def meta_lines(spark, d):
+    roles = speakers.role_ranks(C.segments(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+    return report.meta_lines(roles, speaker_summary(spark, d), _found(spark, d))
+
+
+@query(f"""{ALL_SQL} SELECT ro.call_id, '[음성 분석 결과]' || chr(10) || string_agg('- ' || role || '(' || ro.speaker || '): 감정=' || coalesce(tone, '분석 불가') || ', 음성=' || coalesce(voice_description, '분석 불가'), chr(10) ORDER BY ro.rank)
+  || coalesce(chr(10) || '- ⚠ 위험 플래그: ' || any_value(flags), '') AS meta FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) LEFT JOIN fo ON fo.call_id = ro.call_id GROUP BY 1""")
+def mood_lines(spark, d):
+    roles = speakers.role_ranks(C.segments(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+    return report.mood_lines(roles, emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), _found(spark, d))
+
+
+TEMPLATE = "Report {{}} of {patient_name}, {age}, {gender}, {address} by {admin_name} ({admin_phone})\n{start_time} to {end_time}, {duration_sec} s\n{analysis_meta}\n\n{transcript}\n"
+
+
+def _people(spark, d):
+    """Calls of the customers: call_id and form fields, some empty; their visits begin with the year."""
+    return C.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("call_id"), F.col("c_name").alias("patient_name"), F.lit("").alias("admin_name"), F.lit(None).cast("string").alias("admin_phone"), F.col("c_nationkey").cast("string").alias("age"),
+        F.lit("F").alias("gender"), F.concat(F.lit("{"), "c_mktsegment", F.lit("} {address}")).alias("address"),
+    )
+
+
+DETAILS_SQL = f"""hk AS ({" UNION ALL ".join(f"SELECT call_id, seg_idx, {i} AS ti, {j} AS ki, '{t}' AS type, '{k}' AS keyword, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms / 1000 AS time, text FROM seg WHERE contains(text, '{k}')" for i, (t, ks) in enumerate(DANGER.items()) for j, k in enumerate(ks))}),
+hd AS (SELECT call_id, list({{'type': type, 'keyword': keyword, 'speaker': speaker, 'time': time, 'text': text}} ORDER BY seg_idx, ti, ki) AS details FROM hk GROUP BY 1),
+hf AS (SELECT call_id, list(flag ORDER BY flag) AS flags FROM fl GROUP BY 1),
+di AS (SELECT call_id, to_json({{'detected': true, 'flags': flags, 'details': coalesce(details, [])}}) AS danger_info FROM hf LEFT JOIN hd USING (call_id))"""
+
+
+@query(f"""{ALL_SQL}, {META_SQL}, {INLINE_SQL}, {DETAILS_SQL}, cs AS (SELECT call_id, arg_max(end_ms, seg_idx) // 1000 AS n FROM seg GROUP BY 1)
+SELECT c_custkey AS call_id, 'Report {{}} of ' || c_name || ', ' || c_nationkey || ', F, {{' || c_mktsegment || '}} {{address}} by 미확인 (미확인)' || chr(10) || '2024-01-01 00:00:00 to ' || strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(n, 0)), '%Y-%m-%d %H:%M:%S') || ', ' || coalesce(n, 0) || ' s'
+  || chr(10) || coalesce(meta, '분석 데이터 없음') || chr(10) || chr(10) || coalesce(transcript, '') || chr(10) || coalesce(chr(10) || chr(10) || '## 위험요소 사전 감지 정보' || chr(10) || danger_info, '') AS prompt
+FROM customer LEFT JOIN cs ON cs.call_id = c_custkey LEFT JOIN ml ON ml.call_id = c_custkey LEFT JOIN il ON il.call_id = c_custkey LEFT JOIN di ON di.call_id = c_custkey AND cs.call_id IS NOT NULL""")
+def prompt_build(spark, d):
+    """Prompts of all calls, also of those without segments."""
+    seg = C.segments(spark, d)
+    calls = _people(spark, d).join(segments.call_spans(seg), "call_id", "left").withColumn("duration_sec", F.coalesce("seconds", F.lit(0)))
+    start, end = report.visit_window(F.lit("2024-01-01 00:00:00"), F.col("duration_sec"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    calls = calls.select("*", start.alias("start_time"), end.alias("end_time"))
+    return workloads.prompt_job(calls, seg, _tagged(spark, d), speaker_summary(spark, d), _found(spark, d), TEMPLATE, keywords=MANAGER, suffixes=SUFFIXES)
+
+
+@query(f"""{ALL_SQL}, {DETAILS_SQL} SELECT call_id, danger_info IS NOT NULL AS detected, coalesce(CAST(danger_info AS VARCHAR), '') AS danger_info FROM (SELECT DISTINCT call_id FROM seg) LEFT JOIN di USING (call_id)""")
+def danger_json(spark, d):
+    found = speakers.danger_json(_found(spark, d))
+    return found.select("call_id", F.col("danger_info").isNotNull().alias("detected"), F.coalesce("danger_info", F.lit("")).alias("danger_info"))
+
+
+@query(f"""WITH {C.SEGMENTS_SQL}, c AS (SELECT call_id, string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] ' || text, chr(10) ORDER BY seg_idx) AS transcript, arg_max(end_ms, seg_idx) // 1000 AS seconds FROM seg GROUP BY 1)
+SELECT call_id, CASE WHEN call_id % 7 = 0 THEN to_json({{'success': false, 'message': '오디오 처리 실패', 'data': NULL, 'error': CASE WHEN call_id % 14 = 0 THEN 'x' ELSE '알 수 없는 오류' END}})
+  ELSE to_json({{'success': true, 'message': '오디오 처리 완료 (v2)', 'data': {{{", ".join(f"'{c}': {dict(transcript='transcript', audio_duration='seconds').get(c, 'NULL')}" for c in RESULT_FIELDS)}}}}}) END AS document FROM c""")
+def result_envelope(spark, d):
+    rows = segments.call_spans(C.segments(spark, d)).withColumnRenamed("seconds", "audio_duration").join(transcript_plain(spark, d), "call_id")
+    rows = rows.withColumn("success", F.when(F.col("call_id") % 7 == 0, False).when(F.col("call_id") % 7 == 1, True)).withColumn("error", F.when(F.col("call_id") % 14 == 0, "x"))
+    return report.envelope(rows)
+
+
+def _texts(source: str, name: str, who: str) -> str:
+    return f"string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] ' || {who} || text, chr(10) ORDER BY {source}.seg_idx) AS {name}"
+
+
+@query(f"""{ROLES_SQL}, tx AS (SELECT named.call_id, {_texts('named', 'transcript_labeled', "'[' || sp || '] '")}, {_texts('named', 'transcript_enriched', "'[' || role || '] '")},
+  string_agg(DISTINCT role || '=' || sp, ',' ORDER BY role || '=' || sp) AS speaker_roles FROM named JOIN ro ON named.call_id = ro.call_id AND sp = ro.speaker GROUP BY 1)
+SELECT call_id, call_id % 7 <> 0 AS success, CASE WHEN call_id % 7 <> 0 THEN transcript_labeled END AS transcript_labeled, CASE WHEN call_id % 7 <> 0 THEN transcript_enriched END AS transcript_enriched,
+  CASE WHEN call_id % 7 <> 0 THEN speaker_roles END AS speaker_roles, CASE WHEN call_id % 7 = 0 THEN 'x' END AS error FROM tx""")
+def api_record(spark, d):
+    seg = C.segments(spark, d)
+    calls = seg.select("call_id").distinct().withColumn("error", F.when(F.col("call_id") % 7 == 0, "x"))
+    named = lambda rows, name: rows.withColumnRenamed("transcript", name)
+    out = report.api_record(calls, named(transcript_speakers(spark, d), "transcript_labeled"), named(transcript_labeled(spark, d), "transcript_enriched"), report.role_map(role_ranks(spark, d)))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("speaker_roles"), lambda x: F.concat(x["value"], F.lit("="), x["key"]))), ",")
+    return out.withColumn("speaker_roles", shown)
+
+
+ANSWER = """CASE call_id % 4 WHEN 0 THEN concat('x {"대화요약": "', call_id, '", "시니어의 대화 분위기, 톤": "old", "위험요소": {"감지여부": true, "내용": ["a"]}}') WHEN 1 THEN '{"대화시간_초": 7, "매니저": {"이름": "m"}}' WHEN 2 THEN 'none' ELSE '{"매니저의 대화 분위기, 톤": "old"}' END"""
+SUMMED = "CASE WHEN call_id % 4 = {0} THEN {1} END"
+
+
+@query(f"""{TONES_SQL}, tn AS (SELECT ro.call_id, max(tone) FILTER (role = '매니저') AS mt, max(voice_description) FILTER (role = '매니저') AS mv, max(tone) FILTER (role = '시니어') AS st, max(voice_description) FILTER (role = '시니어') AS sv
+  FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) GROUP BY 1), rs AS (SELECT *, CASE WHEN call_id % 4 = 3 THEN 'old' END AS mo_, CASE WHEN call_id % 4 = 0 THEN 'old' END AS so_ FROM tn)
+SELECT call_id, {SUMMED.format(0, 'CAST(call_id AS VARCHAR)')} AS summary, CAST({SUMMED.format(1, '7')} AS BIGINT) AS seconds, {SUMMED.format(1, "'m'")} AS manager, {SUMMED.format(2, "'none'")} AS raw_response,
+  CASE WHEN mv IS NULL THEN coalesce(mt, mo_) ELSE coalesce(mt, mo_, '') || ' (' || mv || ')' END AS manager_tone, CASE WHEN sv IS NULL THEN coalesce(st, so_) ELSE coalesce(st, so_, '') || ' (' || sv || ')' END AS senior_tone,
+  CASE WHEN call_id % 4 = 0 THEN 'a' ELSE 'known' END AS dangers FROM rs""")
+def report_fill(spark, d):
+    seg = C.segments(spark, d)
+    calls = seg.select("call_id").distinct()
+    known = calls.withColumn("danger_info", F.lit('{"감지여부": true, "내용": ["known"]}'))
+    out = workloads.report_job(calls.withColumn("response", F.expr(ANSWER)), seg, emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), known, keywords=MANAGER, suffixes=SUFFIXES)
+    r = F.col("report")
+    return out.select(
+        "call_id", r["대화요약"].alias("summary"), r["대화시간_초"].alias("seconds"), r["매니저"]["이름"].alias("manager"), r["raw_response"].alias("raw_response"),
+        r["매니저의 대화 분위기, 톤"].alias("manager_tone"), r["시니어의 대화 분위기, 톤"].alias("senior_tone"), F.array_join(r["위험요소"]["내용"], ",").alias("dangers"),
+    )
+
+
+W1_SQL = f"""WITH RECURSIVE {CLEAN_SQL}, {C.TURNS_SQL},
+ck AS (SELECT call_id, chunk_idx AS seg_idx, CAST(round(start * 1000) AS BIGINT) AS start_ms, CAST(round(stop * 1000) AS BIGINT) AS end_ms, text FROM cc WHERE reason IS NULL),
+{_given('ck', 'tu', 'ga')}, {_merged('ga')}, {_thinned('mg')}"""
+W1_ROLES = ROLES_SQL[ROLES_SQL.index("named AS") :].replace("FROM seg", "FROM kp")
+
+
+@query(f"""{W1_SQL}, {W1_ROLES} SELECT named.call_id, {_texts('named', 'transcript_plain', "''")}, {_texts('named', 'transcript_labeled', "'[' || sp || '] '")}, {_texts('named', 'transcript_enriched', "'[' || role || '] '")}
+FROM named JOIN ro ON named.call_id = ro.call_id AND sp = ro.speaker GROUP BY 1""")
+def job_transcripts(spark, d):
+    """Chunks and turns to three transcripts of each call."""
+    return workloads.transcript_job(C.chunks(spark, d), C.turns(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+
+
+@query(f"""{W1_SQL} SELECT call_id, n_chunks, n_cleaned, n_cleaned - m AS n_merged, m - k AS n_removed, k AS n_segments, s AS n_speakers
+FROM (SELECT call_id, count(*) AS n_chunks, count(*) FILTER (reason IS NULL) AS n_cleaned FROM cc GROUP BY 1) LEFT JOIN (SELECT call_id, count(*) AS m FROM mg GROUP BY 1) USING (call_id)
+LEFT JOIN (SELECT call_id, count(*) AS k, count(DISTINCT coalesce(speaker, 'UNKNOWN')) AS s FROM kp GROUP BY 1) USING (call_id) WHERE m IS NOT NULL
+UNION ALL SELECT call_id, count(*), 0, 0, 0, 0, 0 FROM cc GROUP BY 1 HAVING count(*) FILTER (reason IS NULL) = 0""")
+def run_counters(spark, d):
+    cleaned = segments.clean_chunks(C.chunks(spark, d))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
+    rows = cleaned.where("reason IS NULL").select("call_id", F.col("chunk_idx").alias("seg_idx"), ms("start"), ms("end"), "text")
+    merged = segments.merge_adjacent(segments.assign_speakers(rows, C.turns(spark, d)))
+    return segments.counters(cleaned, merged, segments.drop_repeats(merged))
+
+
+W2_SQL = f"WITH {PROSODY_SQL}, sq AS (SELECT call_id, seg_idx, speaker, pitch_mean AS pitch, pitch_std AS std, energy_mean AS energy, energy_level AS el, speech_rate AS sr FROM sp WHERE pitch_level <> 'unknown'), {_enriched('sq', 'el', 'sr')}"
+
+
+@query(f"{W2_SQL} SELECT sg.call_id, sg.seg_idx, sg.speaker, {MEASURES} FROM sg LEFT JOIN en USING (call_id, seg_idx)")
+def job_voices(spark, d):
+    """Frames and segments to each segment's voice beside its speaker's own."""
+    beside, _ = workloads.voice_job(C.frames(spark, d), C.spans(spark, d, "segments"), 2)
+    return beside.select("call_id", "seg_idx", "speaker", *MEASURES.split(", "))
+
+
+@query(f"{W2_SQL}, {SUMMARY_SQL} SELECT * FROM vo")
+def job_voice_summaries(spark, d):
+    return workloads.voice_job(C.frames(spark, d), C.spans(spark, d, "segments"), 2)[1]

@@ -9,68 +9,108 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import ENERGY_TONES, RATES, RELATIVE_PITCH, VARIABILITY
-from ..functions.text import clock
-from .segments import overlapping
+from ..functions.text import clock, strip
+from .segments import at_least, overlapping
 
 
-def _of_speaker():
-    return Window.partitionBy("call_id", "speaker")
+UNKNOWN = "unknown"
+MEASURES = ["pitch", "std", "energy"]
+MODES = ["relative_pitch", "pitch_var_level", "energy_level", "speech_rate"]
 
 
 def level(x: Column, low: float, high: float, names=("low", "normal", "high")) -> Column:
-    return F.when(x < low, names[0]).when(x > high, names[2]).otherwise(names[1])
+    return F.when(x.isNull(), None).when(x < low, names[0]).when(x > high, names[2]).otherwise(names[1])
 
 
-def half_up(x: Column, scale: int) -> Column:
-    return F.floor(x * scale + 0.5) / scale
+def segment_prosody(frames: DataFrame, segments: DataFrame, least: int = 50, shortest_ms: int = 1500) -> DataFrame:
+    """Measures of each segment from the frames in it: a range join on time buckets, then one aggregate.
 
-
-def segment_prosody(frames: DataFrame, segments: DataFrame, least: int = 2) -> DataFrame:
-    """Measures of each segment from the frames in it: a range join on time buckets, then one aggregate."""
+    Segments under ``shortest_ms`` aren't measured: their measures are null. Those with fewer than
+    ``least`` frames (half a second, at 10 ms a frame) are unknown: measures 0, levels unknown.
+    Without voiced frames the pitch is 0 and low, which is known. Levels come from unrounded values.
+    """
+    asked = at_least(segments, shortest_ms).select("call_id", "seg_idx", "start_ms", "end_ms")
     points = frames.withColumn("start_ms", F.col("t_ms")).withColumn("end_ms", F.col("t_ms") + 1)
-    met = overlapping(points, segments.select("call_id", "seg_idx", "start_ms", "end_ms"))
-    voiced = (F.col("f0") > 50) & (F.col("f0") < 500)
-    f0 = F.when(voiced, F.col("f0"))
-    out = met.groupBy("call_id", "seg_idx").agg(F.count("*").alias("n"), F.count(f0).alias("nv"), F.sum(f0).alias("s"), F.sum(f0 * f0).alias("q"), F.sum("rms").alias("e"), F.count("rms").alias("ne"), F.count_if("onset").alias("o"), F.max(F.col("b_end") - F.col("b_start")).alias("dur"))
-    n = F.when(F.col("nv") > 0, F.col("nv"))
-    out = out.withColumn("pitch", F.coalesce(F.col("s") / n, F.lit(0.0))).withColumn("std", F.coalesce(F.sqrt(n * F.col("q") - F.col("s") * F.col("s")) / n, F.lit(0.0)))
-    out = out.withColumn("energy", F.col("e") / F.when(F.col("ne") > 0, F.col("ne"))).withColumn("rate", F.col("o") * 1000 / F.col("dur")).where(F.col("n") >= least)
+    met = overlapping(points, asked)
+    f0 = F.when((F.col("f0") > 50) & (F.col("f0") < 500), F.col("f0"))
+    out = met.groupBy("call_id", "seg_idx").agg(F.count("*").alias("n"), F.count(f0).alias("nv"), F.sum(f0).alias("s"), F.sum(f0 * f0).alias("q"), F.avg("rms").alias("energy"), F.count_if("onset").alias("o"))
+    out = segments.select("call_id", "seg_idx", (F.col("end_ms") - F.col("start_ms")).alias("dur")).join(out, ["call_id", "seg_idx"], "left")
+    n, enough = F.nullif("nv", F.lit(0)), F.coalesce(F.col("n"), F.lit(0)) >= least
+    spread = F.sqrt(F.greatest(n * F.col("q") - F.col("s") * F.col("s"), F.lit(0))) / n
+    out = out.select("call_id", "seg_idx", "dur", enough.alias("known"), F.coalesce(F.col("s") / n, F.lit(0.0)).alias("p"), F.coalesce(spread, F.lit(0.0)).alias("d"), F.coalesce("energy", F.lit(0.0)).alias("e"), (F.col("o") * 1000 / F.nullif("dur", F.lit(0))).alias("r"))
+    put = lambda value, none, name: F.when(F.col("dur") >= shortest_ms, F.when(F.col("known"), value).otherwise(none)).alias(name)
     return out.select(
-        "call_id", "seg_idx", half_up(F.col("pitch"), 10).alias("pitch_mean"), half_up(F.col("std"), 10).alias("pitch_std"), level(F.col("pitch"), 100, 250).alias("pitch_level"),
-        half_up(F.col("energy"), 1).alias("energy_mean"), level(F.col("energy"), 100, 800).alias("energy_level"), level(F.col("rate"), 3, 7, ("slow", "normal", "fast")).alias("speech_rate"),
+        "call_id", "seg_idx",
+        put(F.bround("p", 1), 0.0, "pitch_mean"), put(F.bround("d", 1), 0.0, "pitch_std"), put(level(F.col("p"), 100, 250), UNKNOWN, "pitch_level"),
+        put(F.bround("e", 0), 0.0, "energy_mean"), put(level(F.col("e"), 100, 800), UNKNOWN, "energy_level"), put(level(F.col("r"), 3, 7, ("slow", "normal", "fast")), UNKNOWN, "speech_rate"),
     )
 
 
-def with_baselines(measured: DataFrame) -> DataFrame:
-    """Exact medians of pitch, std and energy of each speaker, beside the segments: no join."""
-    return measured.withColumns({f"base_{c}": F.median(c).over(_of_speaker()) for c in ("pitch", "std", "energy")})
+def measured(segments: DataFrame, prosody: DataFrame) -> DataFrame:
+    """``segments(call_id, seg_idx, speaker)`` with a :func:`segment_prosody`; unknown measures become null."""
+    known = F.col("pitch_level") != UNKNOWN
+    pick = lambda c, name: F.when(known, F.col(c)).alias(name)
+    values = prosody.select("call_id", "seg_idx", pick("pitch_mean", "pitch"), pick("pitch_std", "std"), pick("energy_mean", "energy"), pick("energy_level", "energy_level"), pick("speech_rate", "speech_rate"))
+    return segments.select("call_id", "seg_idx", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker")).join(values, ["call_id", "seg_idx"], "left")
+
+
+def with_baselines(rows: DataFrame) -> DataFrame:
+    """Exact medians of pitch, std and energy of each speaker's measured segments, beside the segments: no join."""
+    own = Window.partitionBy("call_id", "speaker")
+    return rows.withColumns({f"base_{c}": F.median(c).over(own) for c in MEASURES})
+
 
+def enriched(rows: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_jump: float = 0.4) -> DataFrame:
+    """Segments against their baseline and the ``before`` earlier measured ones of the same speaker.
 
-def enriched(measured: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_jump: float = 0.4) -> DataFrame:
-    """Segments against their baseline and the ``before`` earlier ones of the same speaker."""
-    recent = _of_speaker().orderBy("seg_idx").rowsBetween(-before, -1)
-    m = with_baselines(measured).withColumns({f"ref_{c}": F.coalesce(F.avg(c).over(recent), F.col(f"base_{c}")) for c in ("pitch", "energy")})
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.when(F.col(b) > 0, F.col(b))).otherwise(1.0)
-    jump = lambda c, most: F.when(F.col(f"ref_{c}") > 0, F.abs(F.col(c) - F.col(f"ref_{c}")) / F.when(F.col(f"ref_{c}") > 0, F.col(f"ref_{c}")) >= most).otherwise(False)
-    arrow = lambda c, name, most: F.when(jump(c, most), F.concat(F.lit(name), F.when(F.col(c) > F.col(f"ref_{c}"), "↑").otherwise("↓")))
-    ratio = part("pitch", "base_pitch")
-    m = m.withColumns({
+    ``rows`` has call_id, seg_idx, speaker, pitch, std, energy, and either energy_level and
+    speech_rate or rate, the onsets a second. Segments whose pitch is null were not measured: they
+    come through with nulls, and are no reference of later ones.
+    """
+    known = F.col("pitch").isNotNull()
+    if "energy_level" not in rows.columns:
+        rows = rows.withColumn("energy_level", level(F.col("energy"), 100, 800))
+    if "speech_rate" not in rows.columns:
+        rows = rows.withColumn("speech_rate", level(F.col("rate"), 3, 7, ("slow", "normal", "fast")))
+    # Measured segments are counted by themselves, so that the window skips the others.
+    recent = Window.partitionBy("call_id", "speaker", "known").orderBy("seg_idx").rowsBetween(-before, -1)
+    m = with_baselines(rows).withColumn("known", known)
+    m = m.withColumns({f"ref_{c}": F.coalesce(F.avg(c).over(recent), F.col(f"base_{c}")) for c in ("pitch", "energy")})
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(F.col(b), F.lit(0)))
+    ratio, loud = F.coalesce(over("pitch", "base_pitch"), F.lit(1.0)), F.coalesce(over("energy", "base_energy"), F.lit(1.0))
+
+    def jump(c: str, name: str, most: float) -> Column:
+        share = F.coalesce(F.when(F.col(f"ref_{c}") > 0, F.abs(F.col(c) - F.col(f"ref_{c}")) / F.nullif(F.col(f"ref_{c}"), F.lit(0))), F.lit(0.0))
+        return F.when(share >= most, F.concat(F.lit(name), F.when(F.col(c) > F.col(f"ref_{c}"), "↑").otherwise("↓")))
+
+    labels = {
         "relative_pitch": F.when(ratio < 0.85, "much_lower").when(ratio < 0.95, "lower").when(ratio <= 1.05, "normal").when(ratio <= 1.15, "higher").otherwise("much_higher"),
         "pitch_var_level": F.when(F.col("std") >= F.greatest(F.col("base_std") * 1.5, F.lit(50)), "high").when(F.col("std") <= F.least(F.col("base_std") * 0.8, F.lit(25)), "low").otherwise("normal"),
-        "pitch_pct": half_up((ratio - 1) * 100, 10), "energy_pct": half_up((part("energy", "base_energy") - 1) * 100, 10),
-        "change_hint": F.concat_ws("+", arrow("pitch", "피치", pitch_jump), arrow("energy", "에너지", energy_jump)),
-    })
-    return m.withColumn("sudden_change", F.col("change_hint") != "").withColumn("energy_level", level(F.col("energy"), 100, 800)).withColumn("speech_rate", level(F.col("rate"), 3, 7, ("slow", "normal", "fast")))
+        "pitch_pct": F.bround((ratio - 1) * 100, 1), "energy_pct": F.bround((loud - 1) * 100, 1),
+        "change_hint": F.concat_ws("+", jump("pitch", "피치", pitch_jump), jump("energy", "에너지", energy_jump)),
+        "energy_level": F.col("energy_level"), "speech_rate": F.col("speech_rate"),
+    }
+    m = m.withColumns({name: F.when(F.col("known"), value) for name, value in labels.items()})
+    return m.withColumn("sudden_change", F.col("change_hint") != "").drop("known")
 
 
 def speaker_summary(segments: DataFrame) -> DataFrame:
-    """Per speaker: means, number of sudden changes, and modes (ties go to the value seen first)."""
-    fields = ["relative_pitch", "pitch_var_level", "energy_level", "speech_rate"]
-    counts = segments.select("call_id", "speaker", "seg_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields))).alias("x"))
+    """Per speaker of an :func:`enriched`: baselines, means, number of sudden changes, modes and the voice in words.
+
+    Only measured segments count; a speaker without any has no row. Of values that are as
+    frequent, the one seen first is the mode.
+    """
+    rows = segments.where("pitch IS NOT NULL")
+    counts = rows.select("call_id", "speaker", "seg_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in MODES))).alias("x"))
     counts = counts.groupBy("call_id", "speaker", "x.field", "x.value").agg(F.count("*").alias("c"), F.min("seg_idx").alias("f"))
-    modes = counts.groupBy("call_id", "speaker").agg(*(F.max_by(F.when(F.col("field") == c, F.col("value")), F.when(F.col("field") == c, F.struct("c", (-F.col("f")).alias("f")))).alias(c) for c in fields))
-    means = segments.groupBy("call_id", "speaker").agg((F.sum("pitch") / F.count("*")).alias("avg_pitch"), (F.sum("energy") / F.count("*")).alias("avg_energy"), F.count_if("sudden_change").alias("sudden_change_count"))
-    return means.join(modes, ["call_id", "speaker"])
+    own = lambda c, x: F.when(F.col("field") == c, x)
+    modes = counts.groupBy("call_id", "speaker").agg(*(F.max_by(own(c, F.col("value")), own(c, F.struct("c", (-F.col("f")).alias("f")))).alias(c) for c in MODES))
+    # Decimals add up to the same sum in any order.
+    mean = lambda c, name, digits: F.bround(F.sum(F.col(c).cast("decimal(18,4)")) / F.count("*"), digits).cast("double").alias(name)
+    first = lambda c, digits: F.bround(F.first(f"base_{c}").cast("decimal(18,4)"), digits).cast("double").alias(f"base_{c}")
+    means = rows.groupBy("call_id", "speaker").agg(first("pitch", 1), first("energy", 0), mean("pitch", "avg_pitch", 1), mean("std", "pitch_variability", 1), mean("energy", "avg_energy", 0), F.count_if("sudden_change").alias("sudden_change_count"))
+    out = means.join(modes, ["call_id", "speaker"])
+    return out.withColumn("voice_description", voice_description())
 
 
 def prosody_flags(summary: DataFrame) -> DataFrame:
@@ -99,25 +139,28 @@ def inline_tag() -> Column:
     return F.when(F.col("pitch").isNotNull(), F.concat_ws(", ", pitch, spread, energy, F.concat(F.lit("말속도="), "speech_rate"), sudden))
 
 
-def tagged_lines(segments: DataFrame, measured: DataFrame) -> DataFrame:
-    """(call_id, seg_idx, line): segments with clocks, who speaks and the inline tag, if measured.
+def tagged_lines(segments: DataFrame, measures: DataFrame, name: str = "speaker") -> DataFrame:
+    """(call_id, seg_idx, line): segments with clocks, the column ``name`` of who speaks, and the inline tag, if measured.
 
-    ``measured`` is a result of :func:`enriched` for the same call_id and seg_idx.
+    ``measures`` is a result of :func:`enriched` for the same call_id and seg_idx; ``name`` is role
+    after ``with_roles``.
     """
-    tags = measured.select("call_id", "seg_idx", inline_tag().alias("tag"))
+    tags = measures.select("call_id", "seg_idx", inline_tag().alias("tag"))
     told = F.when(F.col("tag").isNotNull(), F.concat(F.lit("  |운율: "), "tag", F.lit("|")))
-    line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000, 1), F.lit("~"), clock(F.col("end_ms") / 1000, 1), F.lit("] ["), F.coalesce("speaker", F.lit("UNKNOWN")), F.lit("] "), "text", F.coalesce(told, F.lit("")))
+    line = F.concat(
+        F.lit("["), clock(F.col("start_ms") / 1000, 1), F.lit("~"), clock(F.col("end_ms") / 1000, 1), F.lit("] ["), F.coalesce(F.col(name), F.lit("UNKNOWN")), F.lit("] "),
+        F.coalesce(strip(F.col("text")), F.lit("")), F.coalesce(told, F.lit("")),
+    )
     return segments.join(tags, ["call_id", "seg_idx"], "left").select("call_id", "seg_idx", line.alias("line"))
 
 
-def voice_descriptions(summary: DataFrame, baselines: DataFrame) -> DataFrame:
-    """(call_id, speaker, voice_description) of a :func:`speaker_summary` and base_pitch of each speaker."""
+def voice_description() -> Column:
+    """The voice in words, of a row with base_pitch, the modes and sudden_change_count."""
     text = F.concat(
         F.lit("평소피치 "), _whole(F.coalesce("base_pitch", F.lit(0.0))), F.lit("Hz, 전체 "), _word(RELATIVE_PITCH, "relative_pitch", "평소"), F.lit(", 변동 "), _word(VARIABILITY, "pitch_var_level", "보통"),
         F.lit(", "), _word(ENERGY_TONES, "energy_level", ""), F.lit(", "), _word(RATES, "speech_rate", ""),
     )
-    sudden = F.when(F.col("sudden_change_count") > 0, F.format_string(", 급변 %d회", "sudden_change_count")).otherwise("")
-    return summary.join(baselines, ["call_id", "speaker"], "left").select("call_id", "speaker", F.concat(text, sudden).alias("voice_description"))
+    return F.concat(text, F.when(F.col("sudden_change_count") > 0, F.format_string(", 급변 %d회", "sudden_change_count")).otherwise(""))
 
 
 def sample_averages(sample: DataFrame) -> DataFrame:

@@ -6,49 +6,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_response
+from ..schemas import DANGER_FIELD, MAIN_ROLES, RESULT_FIELDS, TONE_FIELDS
 
-TEMPLATE = "## 기본 정보\n- 매니저: {admin_name} ({admin_phone})\n- 시니어: {patient_name} (만 {age}세, {gender})\n- 주소: {address}\n- {start_time} ~ {end_time}, {duration_sec}초\n\n{analysis_meta}\n\n{transcript}\n"
 FIELDS = ["admin_name", "admin_phone", "patient_name", "age", "gender", "address"]
+PLAIN = ["start_time", "end_time", "duration_sec"]
+NULLS = {"ignoreNullFields": "false"}
 
 
 def duration_gate(calls: DataFrame, most: float) -> DataFrame:
     """Calls with ``error``: null, or the message for those strictly longer than ``most`` seconds."""
-    return calls.withColumn("error", F.when(F.col("duration_sec") > most, F.format_string("duration %d s exceeds %d s", F.col("duration_sec").cast("long"), F.lit(int(most)))))
+    told = F.concat(F.lit("오디오가 너무 깁니다 ("), F.format_string("%.0f", F.bround(F.col("duration_sec").cast("double"), 0)), F.lit(f"초). 최대 {int(most)}초"))
+    return calls.withColumn("error", F.when(F.col("duration_sec") > most, told))
+
+
+def split_failed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without an error, and the quarantined rest; a frame without the column ``error`` has no rest."""
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL")
 
 
 def visit_window(start: Column, seconds: Column, now: Column) -> tuple[Column, Column]:
     """Start and end of a visit to the second; both ``now`` where the start can't be read."""
-    begin = F.coalesce(F.try_to_timestamp(start, F.lit("yyyy-MM-dd HH:mm:ss")), now)
-    known = F.try_to_timestamp(start, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
-    end = F.when(known, F.timestamp_add("MICROSECOND", (seconds * 1e6).cast("long"), begin)).otherwise(now)
-    return F.date_format(begin, "yyyy-MM-dd HH:mm:ss"), F.date_format(end, "yyyy-MM-dd HH:mm:ss")
+    read = F.try_to_timestamp(start, F.lit("yyyy-MM-dd HH:mm:ss"))
+    end = F.when(read.isNotNull(), F.timestamp_add("MICROSECOND", (seconds * 1e6).cast("long"), read)).otherwise(now)
+    return F.date_format(F.coalesce(read, now), "yyyy-MM-dd HH:mm:ss"), F.date_format(end, "yyyy-MM-dd HH:mm:ss")
 
 
 def full_years(birth: Column, day: Column) -> Column:
     return F.floor(F.months_between(day, birth) / 12).cast("int")
 
 
-def meta_lines(roles: DataFrame, voices: DataFrame, flags: DataFrame) -> DataFrame:
-    """(call_id, meta): a header, a line per role by rank, and the flags, if any."""
-    line = F.format_string("- %s(%s): baseline %.0fHz, %s", "role", "speaker", F.coalesce(F.bround("baseline_pitch", 0), F.lit(0.0)), F.coalesce("voice_description", F.lit("분석 불가")))
-    rows = roles.join(voices, ["call_id", "speaker"], "left").groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("rank", "speaker", line.alias("line")))).alias("x"))
+def _meta(head: str, line: Column, rows: DataFrame, flags: DataFrame, mark: str) -> DataFrame:
+    rows = rows.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("rank", "speaker", line.alias("line")))).alias("x"))
     listed = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
-    told = F.when(F.size("flags") > 0, F.concat(F.lit("- 위험 플래그: "), F.array_join("flags", ", ")))
-    return rows.join(flags.select("call_id", "flags"), "call_id", "left").select("call_id", F.concat_ws("\n", F.lit("[화자별 운율 종합 (baseline 기준)]"), listed, told).alias("meta"))
+    told = F.when(F.size("flags") > 0, F.concat(F.lit(f"- {mark}위험 플래그: "), F.array_join("flags", ", ")))
+    return rows.join(flags.select("call_id", "flags"), "call_id", "left").select("call_id", F.concat_ws("\n", F.lit(head), listed, told).alias("meta"))
+
+
+def meta_lines(roles: DataFrame, voices: DataFrame, flags: DataFrame) -> DataFrame:
+    """(call_id, meta): a header, a line per role by rank with baseline and voice, and the flags, if any.
+
+    ``voices`` is a ``speaker_summary``, ``flags`` a ``danger``.
+    """
+    pitch = F.format_string("%.0f", F.coalesce(F.bround("base_pitch", 0), F.lit(0.0)))
+    line = F.concat(F.lit("- "), "role", F.lit("("), "speaker", F.lit("): baseline "), pitch, F.lit("Hz, "), F.coalesce("voice_description", F.lit("분석 불가")))
+    rows = roles.join(voices.select("call_id", "speaker", "base_pitch", "voice_description"), ["call_id", "speaker"], "left")
+    return _meta("[화자별 운율 종합 (baseline 기준)]", line, rows, flags, "")
+
 
+def mood_lines(roles: DataFrame, moods: DataFrame, voices: DataFrame, flags: DataFrame) -> DataFrame:
+    """(call_id, meta): as :func:`meta_lines`, with each role's emotion and voice in words."""
+    rows = roles.join(moods.select("call_id", "speaker", "tone_description"), ["call_id", "speaker"], "left")
+    rows = rows.join(voices.select("call_id", "speaker", "voice_description"), ["call_id", "speaker"], "left")
+    told = lambda c: F.coalesce(c, F.lit("분석 불가"))
+    line = F.concat(F.lit("- "), "role", F.lit("("), "speaker", F.lit("): 감정="), told("tone_description"), F.lit(", 음성="), told("voice_description"))
+    return _meta("[음성 분석 결과]", line, rows, flags, "⚠ ")
 
-def prompts(calls: DataFrame, template: str = TEMPLATE, most: int = 50_000) -> DataFrame:
-    """(call_id, prompt) of ``calls`` with the template's fields; long transcripts are cut to fit."""
+
+def _pieces(template: str) -> list[tuple[str, str]]:
+    """The template as texts and field names in turn; {{ and }} stand for braces."""
+    import string
+
+    return [(text, name) for text, name, _, _ in string.Formatter().parse(template)]
+
+
+def prompts(calls: DataFrame, template: str, most: int = 50_000) -> DataFrame:
+    """(call_id, prompt) of ``calls``: the fields of ``template`` filled; long transcripts are cut to fit.
+
+    ``calls`` has admin_name, admin_phone, patient_name, age, gender, address, start_time,
+    end_time, duration_sec, meta and transcript, and may have danger_info (JSON), which is added at
+    the end where it isn't null. Empty fields are 미확인. Values are put in as they are: braces in
+    them are no fields.
+    """
+    shown = {c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("미확인")) for c in FIELDS}
+    shown |= {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PLAIN}
+    shown["analysis_meta"] = F.coalesce(F.nullif("meta", F.lit("")), F.lit("분석 데이터 없음"))
+    danger = F.concat(F.lit("\n\n## 위험요소 사전 감지 정보\n"), "danger_info") if "danger_info" in calls.columns else F.lit(None)
 
     def fill(transcript: Column) -> Column:
-        text = F.lit(template)
-        for c in FIELDS:
-            text = F.replace(text, F.lit("{" + c + "}"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("미확인")))
-        for c in ("start_time", "end_time", "duration_sec"):
-            text = F.replace(text, F.lit("{" + c + "}"), F.col(c).cast("string"))
-        text = F.replace(text, F.lit("{analysis_meta}"), F.coalesce(F.nullif("meta", F.lit("")), F.lit("분석 데이터 없음")))
-        return F.replace(text, F.lit("{transcript}"), transcript)
+        parts = [x for text, name in _pieces(template) for x in (F.lit(text), *([{**shown, "transcript": transcript}[name]] if name else []))]
+        return F.concat(*parts, F.coalesce(danger, F.lit("")))
 
+    text = F.coalesce("transcript", F.lit(""))
+    calls = calls.withColumn("transcript", text)
     over = F.length(fill(F.col("transcript"))) - most
     return calls.select("call_id", fill(capped("transcript", over)).alias("prompt"))
 
@@ -60,9 +101,34 @@ def capped(name: str, over: Column) -> Column:
 
 
 def reports(responses: DataFrame) -> DataFrame:
-    """(call_id, report, raw_response): the strict JSON of a response, else its text."""
-    rows = responses.withColumn("report", parse_response(F.col("response")))
-    return rows.select("call_id", "seg_idx", "report", F.when(F.col("report").isNull(), F.col("response")).alias("raw_response"))
+    """``responses(call_id, response)`` with report, the strict JSON of a response, or else raw_response, its text.
+
+    Where the frame has an ``error`` (the model's call failed), the report is {"error": ...}.
+    """
+    parsed = parse_response(F.col("response"))
+    if "error" in responses.columns:
+        parsed = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(parsed)
+        responses = responses.withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
+    rows = responses.withColumn("report", parsed)
+    return rows.withColumn("raw_response", F.when(F.col("report").isNull(), F.col("response"))).drop("response", "error")
+
+
+def filled(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows(call_id, report, raw_response, tones, danger_info)`` with report as a struct of ``schema``.
+
+    tones maps 매니저 and 시니어 to their tone and voice, a struct (tone, voice): a known tone replaces the
+    report's, a voice is added to it. Without the field 위험요소, danger_info fills it.
+    """
+    rows = rows.withColumn("r", F.from_json("report", schema))
+    fields = [f.name for f in rows.schema["r"].dataType.fields]
+    put = {name: F.col("r").getField(name) for name in fields}
+    for role in MAIN_ROLES:
+        known = F.element_at("tones", role)
+        put[TONE_FIELDS[role]] = toned(known["tone"], known["voice"], put[TONE_FIELDS[role]])
+    caller = F.from_json("danger_info", rows.schema["r"].dataType[DANGER_FIELD].dataType)
+    put[DANGER_FIELD] = F.coalesce(put[DANGER_FIELD], caller)
+    put["raw_response"] = F.col("raw_response")
+    return rows.withColumn("report", F.struct(*(v.alias(k) for k, v in put.items()))).drop("r", "raw_response", "tones", "danger_info")
 
 
 def toned(tone: Column, voice: Column, existing: Column) -> Column:
@@ -71,18 +137,59 @@ def toned(tone: Column, voice: Column, existing: Column) -> Column:
     return F.when(voice.isNotNull(), F.concat(base, F.lit(" ("), voice, F.lit(")"))).otherwise(F.coalesce(tone, existing))
 
 
-def envelope(results: DataFrame, fields: list[str]) -> DataFrame:
-    """(call_id, document): the result document of each call; a null ``success`` counts as success."""
-    failed = F.coalesce(~F.col("success"), F.lit(False))
-    data = F.when(~failed, F.struct(*fields))
-    message = F.when(failed, "오디오 처리 실패").otherwise("오디오 처리 완료 (v2)")
-    bad = F.struct((~failed).alias("success"), message.alias("message"), data.alias("data"), F.coalesce("error", F.lit("알 수 없는 오류")).alias("error"))
-    good = F.struct((~failed).alias("success"), message.alias("message"), data.alias("data"))
-    return results.select("call_id", F.when(failed, F.to_json(bad, {"ignoreNullFields": "false"})).otherwise(F.to_json(good, {"ignoreNullFields": "false"})).alias("document"))
+def tones(roles: DataFrame, moods: DataFrame, voices: DataFrame) -> DataFrame:
+    """(call_id, tones): of the two main roles, what is known of their tone and voice."""
+    rows = roles.where(F.col("role").isin(*MAIN_ROLES)).select("call_id", "speaker", "role")
+    rows = rows.join(moods.select("call_id", "speaker", "tone_description"), ["call_id", "speaker"], "left").join(voices.select("call_id", "speaker", "voice_description"), ["call_id", "speaker"], "left")
+    entry = F.struct("role", F.struct(F.col("tone_description").alias("tone"), F.col("voice_description").alias("voice")).alias("known"))
+    return rows.groupBy("call_id").agg(F.map_from_entries(F.collect_list(entry)).alias("tones"))
 
 
 def tone_overrides(roles: DataFrame, moods: DataFrame, voices: DataFrame, existing: Column | None = None) -> DataFrame:
     """(call_id, role, tone) of the two main roles: what is known of their speakers replaces ``existing``."""
-    rows = roles.where("rank <= 2").select("call_id", "speaker", "role")
-    rows = rows.join(moods.select("call_id", "speaker", "tone_description"), ["call_id", "speaker"], "left").join(voices, ["call_id", "speaker"], "left")
-    return rows.select("call_id", "role", toned(F.col("tone_description"), F.col("voice_description"), F.lit(None).cast("string") if existing is None else existing).alias("tone"))
+    rows = tones(roles, moods, voices).select("call_id", F.explode("tones").alias("role", "known"))
+    return rows.select("call_id", "role", toned(F.col("known.tone"), F.col("known.voice"), F.lit(None).cast("string") if existing is None else existing).alias("tone"))
+
+
+def envelope(results: DataFrame, fields: list[str] = RESULT_FIELDS) -> DataFrame:
+    """(call_id, document): the result document of each call; a null ``success`` counts as success.
+
+    Fields that ``results`` lacks are null. A failed call has no data but its error.
+    """
+    failed = F.coalesce(~F.col("success"), F.lit(False))
+    data = F.when(~failed, F.struct(*(F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in fields)))
+    message = F.when(failed, "오디오 처리 실패").otherwise("오디오 처리 완료 (v2)")
+    good = [(~failed).alias("success"), message.alias("message"), data.alias("data")]
+    error = F.coalesce("error", F.lit("알 수 없는 오류")) if "error" in results.columns else F.lit("알 수 없는 오류")
+    return results.select("call_id", F.when(failed, F.to_json(F.struct(*good, error.alias("error")), NULLS)).otherwise(F.to_json(F.struct(*good), NULLS)).alias("document"))
+
+
+def write_results(results: DataFrame, path: str, day: Column, fields: list[str] = RESULT_FIELDS) -> None:
+    """Writes the envelopes of ``results`` as lines of JSON, in a folder for each ``day``."""
+    rows = envelope(results, fields).join(results.select("call_id", day.cast("date").alias("day")), "call_id")
+    rows.select(F.col("document").alias("value"), "day").write.partitionBy("day").mode("append").text(path)
+
+
+def api_record(calls: DataFrame, *parts: DataFrame) -> DataFrame:
+    """One wide record for each of ``calls(call_id, error)``: the columns of all ``parts``, joined by call_id.
+
+    A call with an error keeps only that; success says which. All joins are on call_id.
+    """
+    out = calls
+    for part in parts:
+        out = out.join(part, "call_id", "left")
+    bad = F.col("error").isNotNull()
+    names = [c for c in out.columns if c not in ("call_id", "error")]
+    return out.select("call_id", (~bad).alias("success"), *(F.when(~bad, F.col(c)).alias(c) for c in names), "error")
+
+
+def role_map(roles: DataFrame) -> DataFrame:
+    """(call_id, speaker_roles): speaker to role, in order of rank."""
+    found = roles.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("rank", "speaker", "role"))).alias("x"))
+    return found.select("call_id", F.map_from_entries(F.transform("x", lambda x: F.struct(x["speaker"], x["role"]))).alias("speaker_roles"))
+
+
+def speaker_map(rows: DataFrame, name: str) -> DataFrame:
+    """(call_id, ``name``): speaker to a struct of all other columns."""
+    entry = F.struct("speaker", F.struct(*(c for c in rows.columns if c not in ("call_id", "speaker"))).alias("x"))
+    return rows.groupBy("call_id").agg(F.map_from_entries(F.collect_list(entry)).alias(name))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_to_duration, is_hallucination, strip_phrases, words
+from ..functions.text import clip_to_duration, is_hallucination, strip, strip_phrases, words
 
 
 def _in_order():
@@ -18,7 +18,7 @@ def clean_chunks(chunks: DataFrame) -> DataFrame:
 
     Narrow: no shuffle. Null bounds count as 0, so an open last chunk goes.
     """
-    c = chunks.withColumn("text", F.trim("text")).withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("start", "end")})
+    c = chunks.withColumn("text", strip(F.col("text"))).withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("start", "end")})
     c = c.withColumn("bad", is_hallucination(F.col("text"))).withColumn("stripped", strip_phrases(F.col("text")))
     c = c.withColumn("clipped", clip_to_duration(F.col("stripped"), F.col("end") - F.col("start")))
     reason = F.when(F.col("bad"), "hallucination").when(F.length("stripped") < 3, "phrases").when(F.col("end") <= F.col("start"), "time").when(F.length("clipped") < 3, "clipped")
@@ -48,37 +48,66 @@ def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
 def merge_adjacent(segments: DataFrame, gap_ms: int = 1500, short_ms: int = 2000) -> DataFrame:
     """Merges neighbours of one speaker: near in time, or one of them short.
 
-    The rule reads the duration merged so far, so a call is folded in order; calls are bounded by
-    the duration gate and handled one per group.
+    ``segments`` has call_id (of any type), seg_idx, start_ms, end_ms, text and speaker. Texts that
+    merge are stripped and joined by a space; null counts as empty. The rule reads the duration
+    merged so far, so a call is folded in order; calls are bounded by the duration gate and
+    handled one per group.
     """
+    names = ["call_id", "seg_idx", "start_ms", "end_ms", "text", "speaker"]
+    rows = segments.select("call_id", *(F.col(c).cast("long").alias(c) for c in names[1:4]), F.col("text").cast("string").alias("text"), F.col("speaker").cast("string").alias("speaker"))
 
     def fold(group: pa.Table) -> pa.Table:
         out: list[list] = []
-        rows = group.sort_by("seg_idx").select(["start_ms", "end_ms", "text", "speaker"]).to_pylist()
-        for r in rows:
+        for r in group.sort_by("seg_idx").select(names[2:]).to_pylist():
             last = out[-1] if out else None
-            if last and last[3] == r["speaker"] and (r["start_ms"] - last[1] < gap_ms or last[1] - last[0] < short_ms or r["end_ms"] - r["start_ms"] < short_ms):
+            near = last and (r["start_ms"] - last[1] < gap_ms or last[1] - last[0] < short_ms or r["end_ms"] - r["start_ms"] < short_ms)
+            if near and last[3] == r["speaker"]:
                 last[1] = r["end_ms"]
-                if r["text"] and r["text"] != last[2]:
-                    last[2] = f"{last[2]} {r['text']}"
+                before, text = (last[2] or "").strip(), (r["text"] or "").strip()
+                if text and text != before:
+                    last[2] = f"{before} {text}" if before else text
             else:
                 out.append([r["start_ms"], r["end_ms"], r["text"], r["speaker"]])
-        cols = list(zip(*out, strict=True))
-        return pa.table({"call_id": pa.array([group["call_id"][0].as_py()] * len(out), pa.int64()), "seg_idx": pa.array(range(len(out)), pa.int64()), "start_ms": pa.array(cols[0], pa.int64()), "end_ms": pa.array(cols[1], pa.int64()), "text": pa.array(cols[2], pa.string()), "speaker": pa.array(cols[3], pa.string())})
+        call = group["call_id"].combine_chunks().take(pa.array([0] * len(out)))
+        columns = [call, pa.array(range(len(out)), pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
+        return pa.table(columns, names)
 
-    rows = segments.select(F.col("call_id").cast("long").alias("call_id"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text", "speaker")
-    return rows.groupBy("call_id").applyInArrow(fold, "call_id long, seg_idx long, start_ms long, end_ms long, text string, speaker string")
+    return rows.groupBy("call_id").applyInArrow(fold, rows.schema)
 
 
 def drop_repeats(segments: DataFrame, likeness: float = 0.8, keep: int = 2) -> DataFrame:
-    """Drops the third and later of neighbours that say the same (word sets over ``likeness``)."""
-    before = F.coalesce(F.lag("text").over(_in_order()), F.lit(""))
-    a, b = words(F.col("text")), words(before)
+    """Drops the third and later of neighbours that say the same (word sets over ``likeness``).
+
+    Texts are compared stripped; a null text counts as empty.
+    """
+    text = F.coalesce(strip(F.col("text")), F.lit(""))
+    rows = segments.withColumn("own", text)
+    rows = rows.withColumn("before", F.coalesce(F.lag("own").over(_in_order()), F.lit("")))
+    a, b = words(F.col("own")), words(F.col("before"))
     jaccard = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))).otherwise(0.0)
-    rows = segments.withColumn("same", (F.col("text") == before) | (jaccard > likeness))
+    rows = rows.withColumn("same", (F.col("own") == F.col("before")) | (jaccard > likeness))
     rows = rows.withColumn("run", F.sum((~F.col("same")).cast("int")).over(_in_order()))
     place = F.row_number().over(Window.partitionBy("call_id", "run").orderBy("seg_idx")) + (F.col("run") == 0).cast("int")
-    return rows.withColumn("place", place).where(F.col("place") <= keep).drop("same", "run", "place")
+    return rows.withColumn("place", place).where(F.col("place") <= keep).drop("own", "before", "same", "run", "place")
+
+
+def at_least(segments: DataFrame, ms: int) -> DataFrame:
+    """Segments that last ``ms`` or longer: 1500 to measure voices, 1000 to judge emotions."""
+    return segments.where(F.col("end_ms") - F.col("start_ms") >= ms)
+
+
+def counters(chunks: DataFrame, merged: DataFrame, kept: DataFrame) -> DataFrame:
+    """(call_id, n_chunks, n_cleaned, n_merged, n_removed, n_segments, n_speakers) of each call.
+
+    ``chunks`` comes from :func:`clean_chunks`, ``merged`` from :func:`merge_adjacent` and ``kept``
+    from :func:`drop_repeats`. n_merged segments went into their neighbours and n_removed repeated.
+    """
+    named = F.coalesce("speaker", F.lit("UNKNOWN"))
+    n = chunks.groupBy("call_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("reason").isNull()).alias("n_cleaned"))
+    n = n.join(merged.groupBy("call_id").agg(F.count("*").alias("m")), "call_id", "left")
+    n = n.join(kept.groupBy("call_id").agg(F.count("*").alias("k"), F.countDistinct(named).alias("s")), "call_id", "left").na.fill(0, ["m", "k", "s"])
+    gone = (F.col("n_cleaned") - F.col("m")).alias("n_merged"), (F.col("m") - F.col("k")).alias("n_removed")
+    return n.select("call_id", "n_chunks", "n_cleaned", *gone, F.col("k").alias("n_segments"), F.col("s").alias("n_speakers"))
 
 
 def first_per_speaker(segments: DataFrame, n: int = 3, longer_ms: int = 2000) -> DataFrame:
@@ -99,7 +128,7 @@ def explode_chunks(results: DataFrame) -> DataFrame:
     chunks is an array of structs (start, end, text). A call without chunks has no rows.
     """
     rows = results.select("call_id", F.posexplode("chunks").alias("chunk_idx", "c"))
-    return rows.select("call_id", "chunk_idx", *(F.coalesce(F.col(f"c.{x}"), F.lit(0.0)).alias(x) for x in ("start", "end")), F.trim("c.text").alias("text"))
+    return rows.select("call_id", "chunk_idx", *(F.coalesce(F.col(f"c.{x}"), F.lit(0.0)).alias(x) for x in ("start", "end")), strip(F.col("c.text")).alias("text"))
 
 
 def run_report(segments: DataFrame, first: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import DANGER_KEYWORDS, MANAGER_KEYWORDS, POLITE_SUFFIXES
-from ..functions.text import clock
+from ..functions.text import clock, strip
 
 
 def said(text: Column, keywords: list[str]) -> Column:
@@ -23,8 +23,8 @@ def with_roles(segments: DataFrame, keywords: list[str] = MANAGER_KEYWORDS, suff
     rows = segments.withColumn("speaker", F.coalesce("speaker", F.lit("UNKNOWN"))).repartition("call_id")
     polite = F.lit(False)
     for s in suffixes:
-        polite = polite | F.endswith(F.trim("text"), F.lit(s))
-    rows = rows.withColumn("points", F.size(said(F.col("text"), keywords)) + F.when(polite, 0.5).otherwise(0.0))
+        polite = polite | F.coalesce(F.endswith(strip(F.col("text")), F.lit(s)), F.lit(False))
+    rows = rows.withColumn("points", F.size(said(F.coalesce("text", F.lit("")), keywords)) + F.when(polite, 0.5).otherwise(0.0))
     own = Window.partitionBy("call_id", "speaker")
     rows = rows.withColumn("score", F.sum("points").over(own)).withColumn("first_seg", F.min("seg_idx").over(own))
     rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("call_id").orderBy(F.col("score").desc(), "first_seg")))
@@ -36,12 +36,21 @@ def role_ranks(segments: DataFrame, **lexicon) -> DataFrame:
     return with_roles(segments, **lexicon).groupBy("call_id", "speaker").agg(*(F.first(c).alias(c) for c in ("score", "rank", "role")))
 
 
+def in_order(lines: DataFrame, name: str = "transcript") -> DataFrame:
+    """(call_id, ``name``): the ``lines(call_id, seg_idx, line)`` of each call, one below the other."""
+    rows = lines.select("call_id", F.struct("seg_idx", "line").alias("x"))
+    return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias(name))
+
+
 def transcripts(segments: DataFrame, name: str | None = None) -> DataFrame:
-    """(call_id, transcript): a line per segment in order, with the column ``name`` of who speaks."""
-    who = F.concat(F.lit("["), F.col(name), F.lit("] ")) if name else F.lit("")
-    line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000), F.lit(" --> "), clock(F.col("end_ms") / 1000), F.lit("] "), who, "text")
-    rows = segments.select("call_id", F.struct("seg_idx", line.alias("line")).alias("x"))
-    return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("transcript"))
+    """(call_id, transcript): a line per segment in order, with the column ``name`` of who speaks.
+
+    Who speaks is UNKNOWN where it is null; texts are stripped, and a null text is empty.
+    """
+    who = F.concat(F.lit("["), F.coalesce(F.col(name).cast("string"), F.lit("UNKNOWN")), F.lit("] ")) if name else F.lit("")
+    text = F.coalesce(strip(F.col("text")), F.lit(""))
+    line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000), F.lit(" --> "), clock(F.col("end_ms") / 1000), F.lit("] "), who, text)
+    return in_order(segments.select("call_id", "seg_idx", line.alias("line")))
 
 
 def keyword_hits(segments: DataFrame, lexicon: dict[str, list[str]] = DANGER_KEYWORDS) -> DataFrame:
@@ -51,11 +60,30 @@ def keyword_hits(segments: DataFrame, lexicon: dict[str, list[str]] = DANGER_KEY
     return rows.select("call_id", "seg_idx", "hit.*", "speaker", "start_ms", "text")
 
 
-def danger(hits: DataFrame, *flags: DataFrame) -> DataFrame:
-    """(call_id, flags, details) of calls with any: keyword hits and further ``flags(call_id, flag)``."""
+DETAILS = "array<struct<seg_idx:bigint,type_ord:int,kw_ord:int,type:string,keyword:string,speaker:string,start_ms:bigint,text:string>>"
+
+
+def danger(hits: DataFrame, *flags: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(call_id, detected, flags, details): keyword hits and further ``flags(call_id, flag)`` of each call.
+
+    Flags are distinct and sorted, details in order of segment, type and keyword. With ``calls``,
+    each of its call_ids has a row, detected or not; else calls without any flag have none.
+    """
     own = hits.select("call_id", F.concat("type", F.lit(" 키워드 감지")).alias("flag"))
     for more in flags:
         own = own.unionByName(more)
     found = own.groupBy("call_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
-    told = hits.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "type_ord", "kw_ord", "type", "keyword", "speaker", "start_ms", "text"))).alias("details"))
-    return found.join(told, "call_id", "left")
+    detail = F.struct(F.col("seg_idx").cast("long").alias("seg_idx"), "type_ord", "kw_ord", "type", "keyword", "speaker", F.col("start_ms").cast("long").alias("start_ms"), "text")
+    told = hits.groupBy("call_id").agg(F.array_sort(F.collect_list(detail)).alias("details"))
+    found = found.join(told, "call_id", "left")
+    if calls is not None:
+        found = calls.select("call_id").distinct().join(found, "call_id", "left")
+    none = F.array().cast("array<string>"), F.array().cast(DETAILS)
+    found = found.select("call_id", F.coalesce("flags", none[0]).alias("flags"), F.coalesce("details", none[1]).alias("details"))
+    return found.select("call_id", (F.size("flags") > 0).alias("detected"), "flags", "details")
+
+
+def danger_json(found: DataFrame) -> DataFrame:
+    """(call_id, danger_info): what prompts and reports show of :func:`danger`; null where nothing was detected."""
+    told = F.transform("details", lambda d: F.struct(d["type"].alias("type"), d["keyword"].alias("keyword"), d["speaker"].alias("speaker"), (d["start_ms"] / 1000).alias("time"), d["text"].alias("text")))
+    return found.select("call_id", F.when(F.col("detected"), F.to_json(F.struct("detected", "flags", told.alias("details")))).alias("danger_info"))

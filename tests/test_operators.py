@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from callspark.functions import text as T
+from callspark import schemas
+from callspark.jobs import workloads
 from callspark.operators import emotion, prosody, report, segments, speakers
+from callspark.sources import readers
 from callspark.streaming.calls import SCHEMA, stream_alerts
 
 
@@ -112,3 +115,156 @@ def test_stream_alerts(spark, tmp_path):
     spark.createDataFrame([(2, 0, 0.0, 3.0, "그만 넘어졌어요")], SCHEMA).write.mode("append").parquet(source)
     stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}).awaitTermination()
     assert sorted(r.call_id for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_merge_takes_any_call_id_and_null_texts(spark):
+    rows = [("a1b2c3d4", 0, 0, 500, None, "A"), ("a1b2c3d4", 1, 600, 900, " hello ", "A"), ("a1b2c3d4", 2, 1000, 1500, None, "A"), ("ffff", 0, 0, 100, None, None)]
+    out = segments.merge_adjacent(spark.createDataFrame(rows, "call_id string, seg_idx int, start_ms int, end_ms int, text string, speaker string")).orderBy("call_id").collect()
+    assert [(r.call_id, r.end_ms, r.text) for r in out] == [("a1b2c3d4", 1500, "hello"), ("ffff", 100, None)]
+
+
+def test_transcripts_keep_lines_without_speaker_or_text(spark):
+    rows = spark.createDataFrame([("c", 0, 0, 1000, " hi\n", None), ("c", 1, 1000, 2000, None, "A")], "call_id string, seg_idx long, start_ms long, end_ms long, text string, speaker string")
+    assert speakers.transcripts(rows, "speaker").first().transcript == "[00:00.000 --> 00:01.000] [UNKNOWN] hi\n[00:01.000 --> 00:02.000] [A] "
+    roles = {r.speaker: (r.score, r.role) for r in speakers.role_ranks(rows.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("괜찮죠?\n")))).collect()}
+    assert roles == {"UNKNOWN": (0.5, "매니저"), "A": (0.0, "시니어")}
+    assert segments.drop_repeats(rows).count() == 2
+
+
+def test_text_edges(spark):
+    assert one(spark, ["\u001c a b\n\t", " ", None], "string", T.strip) == ["a b", "", None]
+    words = "a b " * 8 + "c d e"
+    assert one(spark, ["x " * 10, words, "a b c d e f g h i j k l", None], "string", T.bigram_share) == [0.0, 8 / 18, 1 / 11, 0.0]
+    assert one(spark, ["[" * 20000, "{" * 5000 + "}" * 5000, '{"a":' * 20000 + "1" + "}" * 20000], "string", T.parse_response) == [None, None, None]
+
+
+def test_coverage_by_hand(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab c한𝄞") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "a" * 5000]
+
+    def want(t):
+        s = (t or "").replace(" ", "")
+        if len(s) <= 12:
+            return 0.0
+        grams = lambda n: [s[i : i + n] for i in range(len(s) - n + 1)]
+        return max(max(map(grams(n).count, set(grams(n)))) * n / len(s) for n in range(2, 7))
+
+    got = one(spark, texts, "string", T.ngram_coverage)
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, map(want, texts), strict=True))
+
+
+FRAMES = "call_id string, t_ms long, f0 double, rms double, onset boolean"
+SPANS = "call_id string, seg_idx long, start_ms long, end_ms long, speaker string"
+
+
+def test_segment_prosody_validity(spark):
+    """Short segments aren't measured, those with under half a second of frames are unknown, unvoiced ones are low."""
+    frames = [("c", t * 10, 200.0 + t % 2, 0.02 * 10_000, t % 10 == 0) for t in range(200)] + [("c", 5000 + t * 10, 600.0, 10.0, None) for t in range(160)] + [("c", 9000, 100.0, None, True)]
+    rows = spark.createDataFrame([("c", 0, 0, 2000, "A"), ("c", 1, 0, 1499, "A"), ("c", 2, 5000, 6600, "A"), ("c", 3, 8000, 10000, "A")], SPANS)
+    got = {r.seg_idx: tuple(r)[2:] for r in prosody.segment_prosody(spark.createDataFrame(frames, FRAMES), rows).collect()}
+    assert got[0] == (200.5, 0.5, "normal", 200.0, "normal", "fast")
+    assert got[1] == (None,) * 6
+    assert got[2] == (0.0, 0.0, "low", 10.0, "low", "slow")
+    assert got[3] == (0.0, 0.0, "unknown", 0.0, "unknown", "unknown")
+    beside = {r.seg_idx: r for r in prosody.enriched(prosody.measured(rows, prosody.segment_prosody(spark.createDataFrame(frames, FRAMES), rows))).collect()}
+    assert beside[1].relative_pitch is beside[3].relative_pitch is beside[3].sudden_change is beside[3].energy_level is None
+    assert beside[0].base_pitch == 100.25 and beside[0].relative_pitch == "much_higher"
+
+
+def test_rolling_reference_skips_unmeasured(spark):
+    rows = [("c", 0, "A", 100, 5, 100, 5)] + [("c", i, "A", None, None, None, None) for i in (1, 2, 3)] + [("c", 4, "A", 200, 5, 100, 5)]
+    out = prosody.enriched(spark.createDataFrame(rows, "call_id string, seg_idx long, speaker string, pitch long, std long, energy long, rate long"))
+    got = {r.seg_idx: r for r in out.collect()}
+    assert got[4].ref_pitch == 100 and got[4].change_hint == "피치↑" and got[1].change_hint is None
+    summary = prosody.speaker_summary(out).first()
+    assert (summary.base_pitch, summary.avg_pitch, summary.sudden_change_count, summary.relative_pitch) == (150.0, 150.0, 2, "much_lower")
+
+
+def test_unknown_emotions(spark):
+    rows = spark.createDataFrame([("c", "A", None), ("c", "B", [0.0, 0.1, 0.1, 0.0, 0.0, 0.1, 0.7]), ("c", "B", [0.1, 0.1, 0.6, 0.1, 0.1, 0.0, 0.0])], "call_id string, speaker string, probabilities array<double>")
+    got = {r.speaker: tuple(r)[2:] for r in emotion.emotion_by_speaker(rows).collect()}
+    assert got["A"] == ("unknown", {}, "분석 불가") and got["B"][0] == "분노" and abs(sum(got["B"][1].values()) - 1) < 0.01
+    assert one(spark, [[0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.3]], "array<double>", lambda p: emotion.scores(p)["label_6"]) == [0.3]
+    assert one(spark, [[0.0, 0.0, 0.0]], "array<double>", lambda x: F.array_max(F.transform(emotion.softmax(x), lambda p: F.round(p, 6)))) == [0.333333]
+
+
+def test_danger_of_every_call(spark):
+    rows = spark.createDataFrame([("a", 0, "넘어졌어요", "A", 0), ("b", 0, "좋아요", None, 0)], "call_id string, seg_idx long, text string, speaker string, start_ms long")
+    moods = spark.createDataFrame([("a", "A", "angry", {"angry": 0.41}), ("b", "B", "sad", {"sad": 0.5})], "call_id string, speaker string, dominant_emotion string, emotion_distribution map<string,double>")
+    found = speakers.danger(speakers.keyword_hits(rows), emotion.emotion_flags(moods), calls=rows)
+    assert {r.call_id: (r.detected, r.flags, len(r.details)) for r in found.collect()} == {"a": (True, ["A 강한 분노 감정 감지", "낙상 키워드 감지"], 1), "b": (False, [], 0)}
+    told = {r.call_id: r.danger_info for r in speakers.danger_json(found).collect()}
+    assert told["b"] is None and '"time":0.0' in told["a"]
+
+
+CALL_COLUMNS = ["admin_name", "admin_phone", "patient_name", "age", "gender", "address", "start_time", "end_time", "duration_sec", "meta", "transcript", "danger_info"]
+
+
+def test_prompts_keep_braces_of_values(spark):
+    row = ("c", "", None, "{address}", "80", "F", "x {transcript}", "s", "e", "9", "", "t" * 900, None)
+    calls = spark.createDataFrame([row, ("d", *row[1:12], '{"detected":true}')], "call_id string, " + ", ".join(f"{c} string" for c in CALL_COLUMNS))
+    template = "{admin_name}|{patient_name}|{address}|{{}}|{analysis_meta}|{transcript}"
+    got = {r.call_id: r.prompt for r in report.prompts(calls, template).collect()}
+    assert got["c"] == "미확인|{address}|x {transcript}|{}|분석 데이터 없음|" + "t" * 900
+    assert got["d"] == got["c"] + '\n\n## 위험요소 사전 감지 정보\n{"detected":true}'
+    assert report.prompts(calls, template, 900).first().prompt.endswith("t\n... (이하 생략)")
+
+
+def test_reports_and_failures(spark):
+    rows = spark.createDataFrame([("a", '{"대화요약": "s"}', None), ("b", None, "timeout"), ("c", "no json", None)], "call_id string, response string, error string")
+    got = {r.call_id: (r.report, r.raw_response) for r in report.reports(rows).collect()}
+    assert got == {"a": ('{"대화요약": "s"}', None), "b": ('{"error":"timeout"}', None), "c": (None, "no json")}
+    ok, bad = report.split_failed(rows)
+    assert (ok.count(), [r.call_id for r in bad.collect()]) == (2, ["b"])
+    gate = report.duration_gate(spark.createDataFrame([("a", 3600.0), ("b", 3600.5)], "call_id string, duration_sec double"), 3600)
+    assert [r.error for r in gate.orderBy("call_id").collect()] == [None, "오디오가 너무 깁니다 (3600초). 최대 3600초"]
+
+
+def test_records_and_envelopes(spark, tmp_path):
+    calls = spark.createDataFrame([("a", None), ("b", "broken")], "call_id string, error string")
+    roles = spark.createDataFrame([("a", "S1", 0.0, 2, "시니어"), ("a", "S0", 1.0, 1, "매니저"), ("b", "S0", 1.0, 1, "매니저")], "call_id string, speaker string, score double, rank int, role string")
+    record = {r.call_id: r for r in report.api_record(calls, report.role_map(roles), report.speaker_map(roles, "roles")).collect()}
+    assert record["a"].success and record["a"].speaker_roles == {"S0": "매니저", "S1": "시니어"} and record["a"].roles["S1"].rank == 2
+    assert not record["b"].success and record["b"].speaker_roles is None and record["b"].error == "broken"
+    results = calls.withColumns({"success": F.col("error").isNull(), "transcript": F.lit("말")})
+    report.write_results(results, str(tmp_path / "out"), F.lit("2024-01-02"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines[0] == '{"success":false,"message":"오디오 처리 실패","data":null,"error":"broken"}' and '"transcript":"말"' in lines[1] and lines[1].count(":null") == len(schemas.RESULT_FIELDS) - 1
+
+
+def test_readers(spark, tmp_path):
+    spark.createDataFrame([("x", 5.0), (None, 6.0), ("", 6.0)], "call_id string, duration_sec double").write.parquet(str(tmp_path / "calls"))
+    rows = readers.read_calls(spark, str(tmp_path / "calls")).collect()
+    assert rows[0].asDict().keys() == {c.split()[0] for c in schemas.CALLS.split(", ")} and len({r.call_id for r in rows} - {"x"}) == 1 and all(len(r.call_id) in (1, 8) for r in rows)
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "audio" / "a.wav").write_bytes(b"abc")
+    assert [(r.path.rsplit("/", 1)[1], r.bytes) for r in readers.list_recordings(spark, str(tmp_path / "audio"), "*.wav").collect()] == [("a.wav", 3)]
+
+
+def test_jobs_end_to_end(spark):
+    chunks = spark.createDataFrame([("c", 0, 0.0, 3.0, "혈압 재볼까요?"), ("c", 1, 3.0, 6.0, "네 어제 넘어졌어요"), ("c", 2, 6.0, 6.0, "시간이 없는 말"), ("c", 3, 6.5, None, "끝나지 않은 말")], schemas.CHUNKS)
+    turns = spark.createDataFrame([("c", 0, 3000, "A"), ("c", 2900, 7000, "B")], schemas.TURNS)
+    texts = workloads.transcript_job(chunks, turns).first()
+    assert texts.transcript_enriched == "[00:00.000 --> 00:03.000] [매니저] 혈압 재볼까요?\n[00:03.000 --> 00:06.000] [시니어] 네 어제 넘어졌어요"
+    rows = workloads.attributed(chunks, turns)
+    frames = spark.createDataFrame([("c", t * 10, 150.0 + 100 * (t >= 300), 300.0, t % 20 == 0) for t in range(600)], schemas.FRAMES)
+    beside, voices = workloads.voice_job(frames, rows)
+    moods = emotion.emotion_by_speaker(spark.createDataFrame([("c", "B", [0.0, 0.0, 0.0, 0.9, 0.1, 0.0])], "call_id string, speaker string, probabilities array<double>"))
+    found = workloads.danger_job(rows, moods, voices, {"낙상": ["넘어졌"]}, (("불안", 0.5, "불안"),))
+    assert found.first().flags == ["B 불안", "낙상 키워드 감지"]
+    calls = spark.createDataFrame([("c", *["x"] * 9), ("empty", *["x"] * 9)], "call_id string, " + ", ".join(f"{c} string" for c in CALL_COLUMNS[:9]))
+    got = {r.call_id: r.prompt for r in workloads.prompt_job(calls, rows, beside, voices, found, "{analysis_meta}\n{transcript}").collect()}
+    assert "[00:03.0~00:06.0] [시니어] 네 어제 넘어졌어요  |운율: 피치=250Hz(평소,+0%)" in got["c"] and "- 위험 플래그: B 불안, 낙상 키워드 감지" in got["c"] and '"keyword":"넘어졌"' in got["c"]
+    assert got["empty"] == "분석 데이터 없음\n"
+    answers = spark.createDataFrame([("c", '{"시니어의 대화 분위기, 톤": "old", "대화시간_초": 6}')], "call_id string, response string")
+    known = spark.createDataFrame([("c", '{"감지여부": true, "내용": ["k"]}')], "call_id string, danger_info string")
+    report_ = workloads.report_job(answers, rows, moods, voices, known).first().report
+    assert report_["시니어의 대화 분위기, 톤"].startswith("불안, 두려움 (평소피치 250Hz") and report_["매니저의 대화 분위기, 톤"].startswith(" (평소피치 150Hz") and report_["위험요소"]["내용"] == ["k"] and report_["대화시간_초"] == 6
+
+
+def test_shuffles_of_the_transcript(spark):
+    """Roles, ranks and transcripts share one exchange on call_id."""
+    rows = spark.createDataFrame([("c", 0, 0, 10, "x", "A")], "call_id string, seg_idx long, start_ms long, end_ms long, text string, speaker string")
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        speakers.transcripts(speakers.with_roles(rows), "role").explain()
+    assert shown.getvalue().count("Exchange hashpartitioning") == 1
