@@ -92,22 +92,61 @@ def test_repeats(spark, unit, window, seed):
     assert repeats.without_repeats(frame(spark, []), unit, window, seed).count() == 0
 
 
-def test_decontamination(spark):
+ITEM_WORDS = r"[a-z0-9\x80-\U0010ffff]+"
+
+
+def item_words(text):
+    return re.findall(ITEM_WORDS, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def matched_by_hand(text, items, window):
+    """n_words, n_hit, the longest run that is verbatim in one item and holds a window, and the items' ids."""
+    w, hit, names, longest = item_words(text), set(), set(), 0
+    for name, x in items:
+        n = min(window, len(x))
+        if not n:
+            continue
+        places = {}
+        for j in range(len(x) - n + 1):
+            places.setdefault(tuple(x[j : j + n]), []).append(j)
+        for a in range(len(w) - n + 1):
+            for j in places.get(tuple(w[a : a + n]), []):
+                size = n
+                while a + size < len(w) and j + size < len(x) and w[a + size] == x[j + size]:
+                    size += 1
+                longest = max(longest, size)
+                hit.update(range(a, a + n))
+                names.add(name)
+    return len(w), len(hit), longest, sorted(str(x) for x in names - {None})
+
+
+@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 400])
+def test_decontamination(spark, block_chars):
+    """One block of items or many give the same; short items, items without id and copies of items included."""
     texts = corpus(3)
-    items = [(1, " ".join((texts[8] or "").split()[:40])), (2, "w1"), (3, None), (None, texts[9]), (2, "one"), (5, "ZZ-top 9")]
-    item_words = [(i, re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))) for i, t in items]
-    found = decontaminate.verbatim_matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), 13)
-    for r in found.collect():
-        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (texts[r.doc_id] or "").translate({c: c + 32 for c in range(65, 91)}))
-        hit, names = set(), set()
-        for name, x in item_words:
-            n = min(13, len(x))
-            windows = {tuple(x[a : a + n]) for a in range(len(x) - n + 1)} if n else set()
-            at = [a for a in range(len(w) - n + 1) if n and tuple(w[a : a + n]) in windows]
-            hit.update(p for a in at for p in range(a, a + n))
-            if at and name is not None:
-                names.add(str(name))
-        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(names))
+    whole = (texts[8] or "").split()
+    items = [(1, " ".join(whole[:40])), (2, "w1"), (3, None), (None, texts[9]), (2, "one"), (5, "ZZ-top 9"), (6, " ".join(whole[5:25] + whole[5:25])), (7, " ".join(whole[:40])), (8, " ".join(whole[3:11])), (9, "")]
+    texts = [*texts, " ".join(whole[2:38] * 2), " ".join(whole[5:25] * 3), texts[9] + " one " + " ".join(whole[3:11])]
+    rows = frame(spark, [*texts, (None, texts[9]), (3, texts[9]), (3, texts[9])]).withColumn("spans", F.lit(0))
+    found = decontaminate.verbatim_matches(rows, spark.createDataFrame(items, "item_id long, text string"), 13, block_chars).collect()
+    known = [(i, item_words(t)) for i, t in items]
+    assert len(found) == len(texts) + 3
+    want = sorted(map(str, [(r.doc_id, *matched_by_hand(r.text, known, 13)) for r in rows.collect()]))
+    assert sorted(map(str, [(r.doc_id, r.n_words, r.n_hit, r.longest, list(r["items"])) for r in found])) == want
+    for r in found:
+        if r.longest and r.doc_id is not None and r.doc_id != 3:
+            w = item_words(texts[r.doc_id])[r.longest_start : r.longest_start + r.longest]
+            assert any(str(i) == str(r.longest_item) and any(x[j : j + len(w)] == w for j in range(len(x))) for i, x in known)
+
+
+def test_decontamination_edges(spark):
+    items = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+    assert decontaminate.verbatim_matches(frame(spark, []), items).count() == 0
+    assert {(r.n_hit, r.longest) for r in decontaminate.verbatim_matches(frame(spark, corpus(3)), items.limit(0)).collect()} == {(0, 0)}
+    bad = " ".join(f"Q{i}" for i in range(20))
+    rows = frame(spark, [(1, bad), (1, "clean"), (None, bad), (None, "clean"), (2, bad + " pad" * 600), (2, None)])
+    kept = decontaminate.decontaminated(rows, items)
+    assert kept.columns == rows.columns and sorted((str(r.doc_id), (r.text or "")[:5]) for r in kept.collect()) == [("1", "clean"), ("2", ""), ("2", "Q0 Q1"), ("None", "clean")]
 
 
 def test_fingerprints(spark):
