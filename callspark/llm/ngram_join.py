@@ -42,7 +42,7 @@ def _node(grams: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
-    """(doc_id, node, n, need0, need1) of each row: its set's id, size and least shared keys.
+    """(doc_id, version, node, n, need0, need1) of each row: its text's hash, its set's id, size and least shared keys.
 
     With ``only``, the broadcast bitmap of the nodes wanted, the sets themselves as bytes instead
     (node, n, grams); some others may come through.
@@ -67,10 +67,15 @@ def _sets(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
                 if keep:
                     yield _once(part.column(0), node, n, blob, only)
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), node, n, pa.array(need0, pa.int64()), pa.array(need1, pa.int64())], ["doc_id", "node", "n", "need0", "need1"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, n, pa.array(need0, pa.int64()), pa.array(need1, pa.int64())], ["doc_id", "version", "node", "n", "need0", "need1"])
 
-    schema = "node long, n long, grams binary" if keep else "doc_id long, node long, n long, need0 long, need1 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "node long, n long, grams binary" if keep else "doc_id long, version long, node long, n long, need0 long, need1 long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _version(docs)).mapInArrow(run, schema)
+
+
+def _version(docs: DataFrame):
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("version")
 
 
 def _chosen(doc: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -242,16 +247,8 @@ def _against(asks: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -
     return dealt.join(sets.select("node", "n", "grams"), "node").groupBy("root", "block", "call").applyInArrow(meet, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): groups of texts linked by Jaccard likeness.
-
-    ``docs`` needs doc_id and text; other columns are ignored. Two rows link when
-    100 * intersection >= percent * union of their sets of ``words``-word shingles.
-    component_id is the smallest doc_id that links reach, its own included. Null or empty texts
-    have no shingles and link with nothing, copies included. Rows that repeat are equal sets and
-    link. A null doc_id is never a component's smallest unless all are null. An empty table gives
-    an empty table.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, version, node, n), and (node, root) of every node: the groups that links form."""
     rows = settle(_sets(docs, words, percent), "rows")
     # Nodes that share enough fragments with other nodes: all others link with nothing.
     keys = _text_fragments(docs, words, percent).withColumn("side", F.col("key").bitwiseAND(1)).withColumn("key", F.shiftright("key", 1))
@@ -262,16 +259,26 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     able = shared.join(named, "node").where("shared >= if(side = 0, need0, need1)")
     able = settle(able.select("node", "doc").distinct(), "able")
     count = able.count()
-    groups = None
-    if count:
-        groups = _link(docs, able, count, words, percent)
-    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if groups is not None:
-        least = least.join(groups.withColumnRenamed("root", "at"), "node", "left").withColumn("at", F.coalesce("at", "node"))
-        low = least.groupBy("at").agg(F.min("least").alias("component_id"))
-        least = least.join(low, "at").select("node", "component_id")
-    else:
-        least = least.withColumnRenamed("least", "component_id")
+    groups = _link(docs, able, count, words, percent) if count else None
+    nodes = rows.where("n > 0").select("node").distinct()
+    if groups is None:
+        return rows, nodes.withColumn("root", F.col("node"))
+    return rows, nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): groups of texts linked by Jaccard likeness.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Two rows link when
+    100 * intersection >= percent * union of their sets of ``words``-word shingles.
+    component_id is the smallest doc_id that links reach, its own included. Null or empty texts
+    have no shingles and link with nothing, copies included. Rows that repeat are equal sets and
+    link. A null doc_id is never a component's smallest unless all are null. An empty table gives
+    an empty table.
+    """
+    rows, nodes = _grouped(docs, words, percent)
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(nodes, "node")
+    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(least, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -329,15 +336,26 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near copies: of each group the rows of its smallest doc_id stay, once.
+    """``docs`` without near copies: one row of each group of :func:`jaccard_groups` stays.
 
-    All columns come through. Rows without shingles stay. Rows that repeat the smallest doc_id
-    are copies of one another only if their sets are linked; of those, one stays.
+    It is the row of the smallest doc_id, nulls last; of several texts of that doc_id in the group
+    the one with the smallest hash; of rows that repeat both, any one. Rows are told apart by
+    doc_id and text, so other texts of a doc_id (or of none) are judged by their own groups. Rows
+    without shingles all stay. All columns come through; an empty table gives an empty table.
     """
-    found = jaccard_groups(docs, words, percent)
-    keep = found.where("n_shingles = 0 or component_id = doc_id or component_id is null").select("doc_id").distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return out.dropDuplicates([c for c in docs.columns if c in ("doc_id", "text")])
+    rows, nodes = _grouped(docs, words, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+    count = F.count("*").alias("copies")
+    own = rows.where("n > 0").groupBy("node", "doc_id", "version").agg(count)
+    lead = own.groupBy("node").agg(first).join(nodes, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.version")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
+    lead = settle(lead.join(own.select("doc_id", "version", "copies"), same(lead, own)).select(lead["doc_id"], lead["version"], "copies"), "lead")
+    once = lead.where("copies = 1").drop("copies").union(rows.where("n = 0").select("doc_id", "version").distinct())
+    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_version": _version(docs)})
+    among = lambda keys: marked.join(keys.select(F.col("doc_id").alias("k_doc"), F.col("version").alias("k_version")), F.col("_doc").eqNullSafe(F.col("k_doc")) & (F.col("_version") == F.col("k_version")), "left_semi")
+    # Only groups led by rows that repeat need a choice among equal rows.
+    again = among(lead.where("copies > 1")).dropDuplicates(["_doc", "_version"])
+    return among(once).unionByName(again).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -69,8 +69,22 @@ def test_jaccard_edges(spark):
     rows = frame(spark, [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, None), (None, "")])
     got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.jaccard_groups(rows, 4, 85).collect())
     assert got == [("3", "3"), ("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
+
+
+def test_one_per_group_by_rows(spark):
+    """Texts of one doc_id, and rows without one, are judged by their own groups."""
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = frame(spark, [(3, a), (7, a), (7, b), (None, a), (None, c), (9, ""), (9, ""), (None, None), (4, c), (4, c), (8, b), (8, b)])
     kept = ngram_join.one_per_group(rows, 4, 85)
     assert kept.columns == rows.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.where("text <> ''").collect()) == [("3", a), ("4", c), ("7", b)]
+    assert sorted(str(r.doc_id) for r in kept.where("coalesce(text, '') = ''").collect()) == ["9", "9", "None"]
+    assert ngram_join.one_per_group(rows.limit(0)).count() == 0
+
+
+def test_one_per_group_of_repeated_rows(spark):
+    rows = frame(spark, [(5, "x y z u v w")] * 3 + [(None, "x y z u v w")] * 2 + [(None, "only null ids have this text")] * 2)
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.one_per_group(rows, 4, 85).collect()) == [("5", "x y z u v w"), ("None", "only null ids have this text")]
 
 
 @pytest.mark.parametrize(("unit", "window", "seed"), [("word", 20, 8), ("word", 5, 3), ("line", 3, 2)])
