@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, held
-from .shared import components, settle
+from .shared import components, settle, unsettle
 from .textops import U, mix, shingle_sets
 
 #: Fragments of the n-gram order over which a pair's overlap is summed.
@@ -258,8 +258,10 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     named = rows.where("n > 0").groupBy("node", "need0", "need1").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
     able = shared.join(named, "node").where("shared >= if(side = 0, need0, need1)")
     able = settle(able.select("node", "doc").distinct(), "able")
+    unsettle(shared)
     count = able.count()
     groups = _link(docs, able, count, words, percent) if count else None
+    unsettle(able)
     nodes = rows.where("n > 0").select("node").distinct()
     if groups is None:
         return rows, nodes.withColumn("root", F.col("node"))
@@ -305,8 +307,10 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     near = sets.select("node", "n").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
     near = settle(near.where(F.col("own") * 100 <= (100 - percent) * F.col("n")), "near")
     if near.isEmpty():
+        unsettle(sets, near)
         return None
-    sets = settle(sets.drop("n").join(near, "node"), "sets")
+    every, sets = sets, settle(sets.drop("n").join(near, "node"), "sets")
+    unsettle(every)
     keys = settle(_fragments(sets, percent).withColumn("key", F.shiftright("key", 1)), "keys")
     # First round: the node with the fewest n-grams of its own represents each fragment.
     first = Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -323,6 +327,7 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1")
     named = settle(named.join(main, "key").select("key", "node", "n", "own", "root", "main"), "named")
+    unsettle(keys)
     others = named.where("root <> main")
     asks = settle(others.select("node", F.col("main").alias("root")).distinct(), "asks")
     members = near.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -332,7 +337,9 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     more = settle(_overlaps(pairs, sets, percent).union(more), "links")
-    return settle(components(links.union(more)), "groups")
+    out = settle(components(links.union(more)), "groups")
+    unsettle(sets, near, named, asks, groups, links, more)
+    return out
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

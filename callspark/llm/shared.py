@@ -13,7 +13,7 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from spark.checkpoint.dir.
 
     Where it is unset, a local session gets a folder of its own; any other cluster gets one
-    beside its warehouse, which executors share as well.
+    beside its warehouse, if that is shared: a folder of the driver's machine is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -21,6 +21,8 @@ def work_dir(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="callspark-")
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+            if base.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -34,10 +36,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unsettle(df: DataFrame) -> None:
-    """Delete a table of :func:`settle` that no later step reads."""
-    path = getattr(df, "_settled_at", None)
-    if path:
+def unsettle(*tables: DataFrame) -> None:
+    """Delete tables of :func:`settle` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_settled_at", None)
+        if not path:
+            continue
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

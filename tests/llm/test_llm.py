@@ -1,6 +1,7 @@
 """Brute-force comparisons and edge cases of the training-data operators."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -87,6 +88,77 @@ def test_one_per_group_of_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in ngram_join.one_per_group(rows, 4, 85).collect()) == [("5", "x y z u v w"), ("None", "only null ids have this text")]
 
 
+def parsed_by_hand(symbols):
+    """One level of locally consistent parsing of a text, symbol by symbol."""
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & whole
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    symbols = [mix(x + n * 0x9E3779B97F4A7C15 & whole) if n > 1 else x for x, n in runs]
+
+    def toss(x, before, same):
+        d = x ^ before if before is not None else 1
+        low = (d & -d).bit_length() - 1 if d else same
+        return 2 * low + (x >> low & 1)
+
+    labels = [toss(x, symbols[i - 1] if i else None, 0) for i, x in enumerate(symbols)]
+    for _ in range(3):
+        labels = [toss(x, labels[i - 1] if i else 127, 7) for i, x in enumerate(labels)]
+    cuts = [i for i in range(len(symbols)) if i == 0 or i + 1 < len(symbols) and labels[i] < labels[i - 1] and labels[i] < labels[i + 1]]
+    names = []
+    for a, b in zip(cuts, [*cuts[1:], len(symbols)], strict=True):
+        value = sum((x + 1) * 0x9E3779B97F4A7C15 * pow(0xD6E8FEB86659FD93, j, 1 << 64) for j, x in enumerate(symbols[a:b])) + b - a
+        names.append(mix(value & whole))
+    return names
+
+
+def test_fingerprints_by_hand():
+    rng = random.Random(3)
+    texts = [t for t in corpus(2) if t] + ["aaaa", "a", "aab", "𝄞é" * 40, "".join(rng.choice("ab") for _ in range(700))]
+    levels = []
+    for t in texts:
+        symbols, out = [ord(c) for c in t], []
+        for _ in range(fingerprints.LEVELS):
+            symbols = parsed_by_hand(symbols)
+            out.append({x & 0xFFFFFFFF for x in symbols})
+        levels.append(out)
+    got = fingerprints.fingerprints(texts)
+    for out, text in zip(levels, got, strict=True):
+        parts = text.split("/")
+        for names, part in zip(reversed(out), parts, strict=False):
+            n, _, listed = part.partition(":")
+            assert int(n) == len(names) and listed == b"".join(x.to_bytes(4, "big") for x in sorted(names)[: fingerprints.KEPT]).hex()
+    for i in range(0, len(texts) - 1, 7):
+        top, other = levels[i][-1], levels[i + 1][-1]
+        if fingerprints.ENOUGH <= max(len(top), len(other)) <= fingerprints.KEPT:
+            assert abs(fingerprints.likeness(got[i], got[i + 1]) - len(top & other) / len(top | other)) < 1e-9
+
+
+def test_fingerprint_neighbours_with_hot_ids(spark):
+    """A null or repeated doc_id is divided by its texts' hashes; the order of neighbours stays."""
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for i in range(150)]
+    docs = frame(spark, rows)
+    tied = [(r.doc_id, r.text, r.tie) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()]
+    order = sorted(tied, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = sorted((str(d), fingerprints.edited_sha256(t, order[(i + 1) % len(order)][1])) for i, (d, t, _) in enumerate(order))
+    got = sorted((str(r.doc_id), hashlib.sha256(r.edited.encode()).hexdigest()) for r in fingerprints.compared(docs).collect())
+    assert got == want
+    one = fingerprints.compared(frame(spark, [(1, "alone here")])).first()
+    assert one.near_next == 1 and one.edited == "alone h" + "alo"
+
+
 @pytest.mark.parametrize(("unit", "window", "seed"), [("word", 20, 8), ("word", 5, 3), ("line", 3, 2)])
 def test_repeats(spark, unit, window, seed):
     texts = corpus(11)
@@ -343,6 +415,81 @@ def test_url_filter(spark):
     assert len(got) == len(urls) and url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_scores_by_hand(spark):
+    """Back-off estimates of both models, character by character, and the threshold between the held-back URLs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdeé-", k=rng.randint(2, 9)))
+    urls = [f"http://{word()}.com/{word()}" for _ in range(50)] + [f"http://{word()}.net/es/{word()}" for _ in range(50)] + [f"http://{word()}.org/{word()}" for _ in range(30)] + [None, "", "x" * 3000]
+    urls += urls[:5] * 3
+    order = url_filter.ORDER
+    rules = {"com": "allow", "net": "block"}
+    decided = lambda u: rules.get(u.split("/")[2].rsplit(".", 1)[1]) if u and "://" in u else None
+    held = lambda u: hashlib.md5((u or "").encode()).hexdigest()[0] in url_filter.HELD
+    padded = lambda u: url_filter.START * order + (u or "") + "\x03"
+    counts = {side: {} for side in ("allow", "block")}
+    for u in urls:
+        if decided(u) and not held(u):
+            t, table = padded(u), counts[decided(u)]
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    table[t[i - k : i + 1]] = table.get(t[i - k : i + 1], 0) + 1
+                    table[k, t[i - k : i]] = table.get((k, t[i - k : i]), 0) + 1
+
+    def chance(side, t, i):
+        p = 1 / url_filter.ALPHABET
+        for k in range(order + 1):
+            p = (counts[side].get(t[i - k : i + 1], 0) + url_filter.PRIOR * p) / (counts[side].get((k, t[i - k : i]), 0) + url_filter.PRIOR)
+        return p
+
+    def score(u):
+        t = padded(u)
+        return sum(round(math.log(chance("allow", t, i)) * 1e6 - math.log(chance("block", t, i)) * 1e6) for i in range(order, len(t))) / (len(t) - order) / 1e6
+
+    pages = spark.createDataFrame([*enumerate(urls), (500, urls[100]), (500, urls[100])], "page_id long, url string").withColumn("k", F.lit(1))
+    got = url_filter.judged(pages).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        u = urls[100] if r.page_id == 500 else urls[r.page_id]
+        assert (r.score is None) == bool(decided(u)) and (decided(u) or abs(r.score - score(u)) < 2e-6)
+    free = [(r.score, r.verdict) for r in got if r.score is not None]
+    assert max([s for s, v in free if v == "block"], default=-9) < min([s for s, v in free if v == "allow"], default=9)
+
+
+def test_url_filter_without_rules_that_fit(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/"), (2, None)], "page_id long, url string")
+    assert [(r.verdict, r.score) for r in url_filter.judged(pages).orderBy("page_id").collect()] == [("allow", 0.0), ("allow", 0.0)]
+
+
+def test_sharding_edges(spark):
+    assert sharding.sharded(frame(spark, [])).count() == 0
+    out = sharding.sharded(frame(spark, [(1, "a"), (1, "a"), (None, "b")]).withColumns({"slot": F.lit("x"), "shard": F.lit("y")}))
+    assert sorted(out.columns) == sorted([*frame(spark, []).columns, "slot", "shard"]) and len({(r.slot, r.shard) for r in out.where("doc_id = 1").collect()}) == 1
+
+
+def test_repeats_of_rows_and_ids(spark):
+    """Rows that repeat are one document; other texts of a doc_id and null ids compare by the stated order."""
+    long = " ".join(f"u{i}" for i in range(30))
+    out = repeats.without_repeats(frame(spark, [(2, long), (2, long), (None, long), (5, "x " + long), (5, long + " y"), (6, None)])).collect()
+    assert sorted((str(r.doc_id), r.n_units, r.n_removed) for r in out) == [("2", 30, 0), ("2", 30, 0), ("5", 31, 30), ("5", 31, 30), ("6", 0, 0), ("None", 30, 30)]
+
+
+def test_toxicity_edges(spark):
+    docs = frame(spark, [(i, f"bad w{i}" if i % 3 == 0 else f"good w{i}") for i in range(90)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    assert toxicity.scored(frame(spark, []), model).count() == 0 and toxicity.without_toxic(frame(spark, []), labels).count() == 0
+    scores = {r.text[:3]: r.score for r in toxicity.scored(frame(spark, ["good " * 200_000, "bad " * 200_000]), model).collect()}
+    assert scores["bad"] > 0.5 > scores["goo"]
+
+
+def test_empty_pipeline(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts = [t for t in corpus(9) if t]
