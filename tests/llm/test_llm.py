@@ -159,23 +159,48 @@ def test_fingerprint_neighbours_with_hot_ids(spark):
     assert one.near_next == 1 and one.edited == "alone h" + "alo"
 
 
-@pytest.mark.parametrize(("unit", "window", "seed"), [("word", 20, 8), ("word", 5, 3), ("line", 3, 2)])
-def test_repeats(spark, unit, window, seed):
-    texts = corpus(11)
+def thinned_by_hand(texts, unit, rules):
+    """Of each text, its units, how many go, and the rest: every window but its first occurrence goes."""
     split = (lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")) if unit == "word" else (lambda t: re.findall(r"[^\n]+", t or ""))
-    seen, want = set(), {}
+    seen, out = set(), {}
     for i, t in enumerate(texts):
-        w = split(t)
-        gone = set()
-        for a in range(len(w) - window + 1):
-            key = tuple(w[a : a + window])
-            if key in seen:
-                gone.update(range(a, a + window))
-            seen.add(key)
-        want[i] = (len(w), len(gone), (" " if unit == "word" else "\n").join(x for j, x in enumerate(w) if j not in gone))
-    got = {r.doc_id: (r.n_units, r.n_removed, r.kept) for r in repeats.without_repeats(frame(spark, texts).repartition(5), unit, window, seed).collect()}
-    assert got == want
-    assert repeats.without_repeats(frame(spark, []), unit, window, seed).count() == 0
+        w, gone = split(t), set()
+        for n, _, least in rules:
+            for a in range(len(w) - n + 1):
+                key = n, tuple(w[a : a + n])
+                if key in seen and sum(len(re.findall(r"[^\x20\x09-\x0D]+", u)) for u in key[1]) >= least:
+                    gone.update(range(a, a + n))
+                seen.add(key)
+        out[i] = (len(w), len(gone), (" " if unit == "word" else "\n").join(x for j, x in enumerate(w) if j not in gone))
+    return out
+
+
+LINES = " ".join(f"l{i}" for i in range(25))
+RULES = [("word", ((20, 8, 0),)), ("word", ((5, 3, 0),)), ("word", ((4, 4, 0),)), ("line", ((3, 2, 0), (1, 1, 20))), ("line", ((2, 1, 6),))]
+
+
+@pytest.mark.parametrize(("unit", "rules"), RULES)
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats(spark, monkeypatch, unit, rules, small):
+    """The same with tasks that gather and compare few occurrences at a time, and with hot anchors."""
+    if small:
+        for name, value in (("GATHER", 40), ("MEET", 7), ("HOT", 5), ("SHARE", 0.0)):
+            monkeypatch.setattr(repeats, name, value)
+    texts = [*corpus(11), LINES, "a\n" + LINES + " \nb", "x \n " + LINES, LINES + "\n" + LINES, "one  two\tthree\nfour five six\nz", "one  two\tthree\nfour five six\ny"]
+    got = {r.doc_id: (r.n_units, r.n_removed, r.kept) for r in repeats.without_repeats(frame(spark, texts).repartition(5), unit, rules).collect()}
+    assert got == thinned_by_hand(texts, unit, rules)
+    if not small:
+        assert repeats.without_repeats(frame(spark, []), unit, rules).count() == 0
+
+
+def test_repeats_of_a_passage_everywhere(spark, monkeypatch):
+    """A passage of every document, among other words and among the same ones: only its first stays."""
+    monkeypatch.setattr(repeats, "HOT", 50)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*rng.choices("abcdefghijklmnop", k=25), *passage, *rng.choices("abcdefghijklmnop", k=25)]) for _ in range(150)] + [" ".join(["same", *passage, "same"])] * 100
+    got = {r.doc_id: (r.n_units, r.n_removed, r.kept) for r in repeats.without_repeats(frame(spark, texts).repartition(6)).collect()}
+    assert got == thinned_by_hand(texts, "word", repeats.RULES["word"]) and sum(n >= 30 for _, n, _ in got.values()) == 249
 
 
 ITEM_WORDS = r"[a-z0-9\x80-\U0010ffff]+"
