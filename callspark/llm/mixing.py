@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 #: Rounds of the index permutation.
 ROUNDS = 8
 #: Entries that one row lists at a time, rows of a layout chunk, and slots of a task.
-RUN, CHUNK, TASK = 4096, 1 << 15, 1 << 18
+RUN, CHUNK, TASK = 4096, 1 << 12, 1 << 18
 WORDS = r"[^\x20\x09-\x0D]+"
 SOURCE = ["none", "name"]
 
