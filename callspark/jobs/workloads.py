@@ -20,10 +20,11 @@ def attributed(chunks: DataFrame, turns: DataFrame) -> DataFrame:
 def transcript_job(chunks: DataFrame, turns: DataFrame, **lexicon) -> DataFrame:
     """(call_id, transcript_plain, transcript_labeled, transcript_enriched): three texts of each call with clean segments."""
     rows = speakers.with_roles(attributed(chunks, turns), **lexicon)
-    out = speakers.transcripts(rows).withColumnRenamed("transcript", "transcript_plain")
-    for name, who in (("transcript_labeled", "speaker"), ("transcript_enriched", "role")):
-        out = out.join(speakers.transcripts(rows, who).withColumnRenamed("transcript", name), "call_id")
-    return out
+    names = {"transcript_plain": None, "transcript_labeled": "speaker", "transcript_enriched": "role"}
+    # One aggregate gathers all three, so the segments are made once.
+    lines = rows.select("call_id", F.struct("seg_idx", *(speakers.timed_line(who).alias(name) for name, who in names.items())).alias("x"))
+    told = lines.groupBy("call_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return told.select("call_id", *(F.array_join(F.col(f"x.{name}"), "\n").alias(name) for name in names))
 
 
 def voice_job(frames: DataFrame, rows: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -42,15 +42,16 @@ def in_order(lines: DataFrame, name: str = "transcript") -> DataFrame:
     return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias(name))
 
 
-def transcripts(segments: DataFrame, name: str | None = None) -> DataFrame:
-    """(call_id, transcript): a line per segment in order, with the column ``name`` of who speaks.
-
-    Who speaks is UNKNOWN where it is null; texts are stripped, and a null text is empty.
-    """
+def timed_line(name: str | None = None) -> Column:
+    """[start --> end], who speaks by the column ``name`` (UNKNOWN where null), and the stripped text (empty where null)."""
     who = F.concat(F.lit("["), F.coalesce(F.col(name).cast("string"), F.lit("UNKNOWN")), F.lit("] ")) if name else F.lit("")
     text = F.coalesce(strip(F.col("text")), F.lit(""))
-    line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000), F.lit(" --> "), clock(F.col("end_ms") / 1000), F.lit("] "), who, text)
-    return in_order(segments.select("call_id", "seg_idx", line.alias("line")))
+    return F.concat(F.lit("["), clock(F.col("start_ms") / 1000), F.lit(" --> "), clock(F.col("end_ms") / 1000), F.lit("] "), who, text)
+
+
+def transcripts(segments: DataFrame, name: str | None = None) -> DataFrame:
+    """(call_id, transcript): a :func:`timed_line` per segment in order."""
+    return in_order(segments.select("call_id", "seg_idx", timed_line(name).alias("line")))
 
 
 def keyword_hits(segments: DataFrame, lexicon: dict[str, list[str]] = DANGER_KEYWORDS) -> DataFrame:
