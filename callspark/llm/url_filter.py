@@ -29,6 +29,8 @@ MISSED = 0.05
 #: Hex digits of the hash of a URL that hold it back for calibration.
 HELD = "012"
 START = "\x02"
+#: Contexts up to this order are few and asked for by most grams: each is dealt to so many tasks.
+SHORT, SALTS = 2, 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -74,7 +76,9 @@ def gram_scores(counts: DataFrame, grams: DataFrame) -> DataFrame:
     """(gram, ratio) for each of ``grams(gram)``, from ``counts(gram, allow, block)``."""
     totals = counts.select("allow", "block", F.explode(_keys()).alias("x")).groupBy("x.k", "x.what", "x.key").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     asked = grams.select("gram", F.explode(_keys()).alias("x")).select("gram", "x.*")
-    met = asked.join(totals, ["k", "what", "key"], "left")
+    asked = asked.withColumn("salt", F.when(F.col("k") <= SHORT, F.pmod(F.xxhash64("gram"), F.lit(SALTS))).otherwise(0).cast("int"))
+    totals = totals.withColumn("salt", F.explode(F.when(F.col("k") <= SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = asked.join(totals, ["k", "what", "key", "salt"], "left")
     by = lambda what, k, side: F.coalesce(F.max(F.when((F.col("what") == what) & (F.col("k") == k), F.col(side))), F.lit(0)).alias(f"{what}{k}{side}")
     wide = met.groupBy("gram").agg(*(by(w, k, s) for w in "gc" for k in range(ORDER + 1) for s in ("allow", "block")))
 
