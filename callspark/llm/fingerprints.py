@@ -22,6 +22,8 @@ LEVELS = 3
 #: Names kept of each level, and the number from which a level alone tells texts apart.
 KEPT, ENOUGH = 64, 8
 GROUP = 400_000
+#: Ranges, by a hash of the text, of the rows of one doc_id or none (a power of two).
+LOTS = 64
 
 
 def _toss(labels: np.ndarray, before: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -154,10 +156,14 @@ def compared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_place(F.col("doc_id"), cuts))
-    ranged = docs.withColumn("range", at).withColumn("tie", F.xxhash64("text")) if len(cuts) else docs.withColumn("range", F.lit(0)).withColumn("tie", F.xxhash64("text"))
+    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    # An id that is more than one of the cuts fills a range by itself, which its texts' hashes divide, as those of null ids.
+    heavy = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
+    cuts = sorted({*found, *(x + 1 for x in heavy)})
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    lot = F.lit(LOTS // 2 - 1) - F.shiftright("tie", 64 - LOTS.bit_length() + 1).cast("int")
+    at = F.when(F.col("doc_id").isNull(), lot - LOTS).otherwise(_place(F.col("doc_id"), cuts) * LOTS + F.when(F.col("doc_id").isin(heavy), lot).otherwise(0))
+    ranged = docs.withColumn("range", at)
     order = [F.col("range").desc(), F.col("doc_id").desc_nulls_last(), F.col("tie")]
     ranged = ranged.repartition(parts // 3, "range").sortWithinPartitions(*order).select("range", "doc_id", "text")
 
