@@ -7,8 +7,10 @@ at least m - d are the same in both: nodes that share fewer with others are neve
 small or uneven that too many fragments are empty are also keyed by their prefix n-grams, which
 restores the guarantee. n-grams that no other candidate holds then bound each node's distance from below,
 and nodes beyond the threshold go. What is left is linked in rounds: first each node with the
-best representative of its fragments, then only pairs that lie in different groups so far. For
-each pair, overlaps are counted fragment by fragment and summed.
+best representative of its fragments, then nodes that share a fragment across the groups so far.
+The second round meets over the rarest n-grams of those nodes, not over fragments: a text that all
+of them share, such as a form, then brings no pairs. For each pair, overlaps are counted fragment
+by fragment and summed.
 
 No round lists all pairs of a group: pairs inside one group so far are skipped, because they
 cannot change its membership.
@@ -123,8 +125,10 @@ def _keys(grams: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(out) | sides, *need
 
 
-def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names: list[str]):
-    """Batches of (key, *columns of batch) for the fragments of ``sets``, pairs of row and set."""
+def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names: list[str], only=None):
+    """Batches of (key, *columns of batch) for the fragments of ``sets``, pairs of row and set.
+
+    With ``only``, a broadcast bitmap of keys without their side, no others but a few."""
     keys, rows, total = [], [], 0
 
     def flush():
@@ -133,7 +137,8 @@ def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names:
         return pa.RecordBatch.from_arrays([key, *(c.take(at) for c in batch.columns)], ["key", *names])
 
     for row, grams in sets:
-        keys.append(_keys(grams, percent, starts)[0])
+        found = _keys(grams, percent, starts)[0]
+        keys.append(found if only is None else found[held(only.value, found >> U(1))])
         rows.append(row)
         total += len(keys[-1])
         if total > KEYS:
@@ -143,8 +148,8 @@ def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names:
         yield flush()
 
 
-def _text_fragments(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, node) for each fragment of each document's set; equal sets of a batch go once."""
+def _text_fragments(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
+    """(key, side, node) for each fragment of each document's set; equal sets of a batch go once."""
     starts = np.array(size_classes(percent))
 
     def run(batches):
@@ -154,9 +159,10 @@ def _text_fragments(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 node = np.array([_node(g) for g in sets], np.int64)
                 first = np.unique(node, return_index=True)[1].tolist()
                 named = pa.RecordBatch.from_arrays([pa.array(node)], ["node"])
-                yield from _keyed(named, ((i, sets[i]) for i in first if len(sets[i])), percent, starts, ["node"])
+                yield from _keyed(named, ((i, sets[i]) for i in first if len(sets[i])), percent, starts, ["node"], only)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
+    keys = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
+    return keys.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).alias("side"), "node")
 
 
 def _fragments(sets: DataFrame, percent: int) -> DataFrame:
@@ -208,6 +214,36 @@ def _near(na, ua, nb, ub, percent: int):
     return ((na - ua) * (100 + percent) >= least) & ((nb - ub) * (100 + percent) >= least) & (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
 
 
+def _members(sets: DataFrame) -> DataFrame:
+    """(gram, node) for each n-gram of each set."""
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for i in range(0, len(node), 2000):
+                blobs = batch.column(1)[i : i + 2000].to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(np.repeat(node[i : i + 2000], [len(b) // 8 for b in blobs]))], ["gram", "node"])
+
+    return sets.select("node", "grams").mapInArrow(run, "gram long, node long")
+
+
+def _rarest(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, place, node, root, n, own): the n-grams of the nodes ``some(node, root)`` that a link must share.
+
+    Each set is ordered by how many of these nodes hold an n-gram, rarest first. What two sets
+    share then lies at or after the first n-gram they share, in both: its places leave room for
+    the overlap that a link needs only among the first (100 - percent) in a hundred.
+    """
+    grams = settle(_members(sets.join(some, "node", "left_semi")), "grams")
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "gram")
+    placed = grams.join(df, "gram").withColumn("place", F.row_number().over(order) - 1)
+    placed = placed.join(sets.select("node", "n", "own"), "node").where(F.col("place") * 100 <= (100 - percent) * F.col("n"))
+    out = settle(placed.where("df > 1").join(some, "node").select(F.col("gram").alias("key"), "place", "node", "root", "n", "own"), "rarest")
+    unsettle(grams)
+    return out
+
+
 def _against(asks: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between ``asks(node, root)`` and the nodes of those groups: one per node and block.
 
@@ -251,10 +287,14 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     """Rows (doc_id, version, node, n), and (node, root) of every node: the groups that links form."""
     rows = settle(_sets(docs, words, percent), "rows")
     # Nodes that share enough fragments with other nodes: all others link with nothing.
-    keys = _text_fragments(docs, words, percent).withColumn("side", F.col("key").bitwiseAND(1)).withColumn("key", F.shiftright("key", 1))
-    whole = Window.partitionBy("key")
-    shared = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-    shared = settle(shared.where("low < high").groupBy("node", "side").agg(F.countDistinct("key").alias("shared")), "shared")
+    # A first pass finds the shared keys by an aggregate, which no frequent key overloads; a second
+    # sends only what a bitmap lets through to the join with them.
+    ends = _text_fragments(docs, words, percent).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    common = settle(ends.where("low < high").select("key"), "common")
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(common, "key", common.count()))
+    shared = _text_fragments(docs, words, percent, only).join(common, "key").groupBy("node", "side").agg(F.countDistinct("key").alias("shared"))
+    shared = settle(shared, "shared")
+    unsettle(common)
     named = rows.where("n > 0").groupBy("node", "need0", "need1").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
     able = shared.join(named, "node").where("shared >= if(side = 0, need0, need1)")
     able = settle(able.select("node", "doc").distinct(), "able")
@@ -295,14 +335,7 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     sets = _sets(docs, words, percent, only).join(able, "node", "left_semi")
     sets = settle(sets.dropDuplicates(["node"]), "sets")
 
-    def members(batches):
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            for i in range(0, len(node), 2000):
-                blobs = batch.column(1)[i : i + 2000].to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(np.repeat(node[i : i + 2000], [len(b) // 8 for b in blobs]))], ["gram", "node"])
-
-    held = sets.select("node", "grams").mapInArrow(members, "gram long, node long").groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node"))
+    held = _members(sets).groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node"))
     own = held.where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
     near = sets.select("node", "n").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
     near = settle(near.where(F.col("own") * 100 <= (100 - percent) * F.col("n")), "near")
@@ -313,32 +346,39 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
     unsettle(every)
     keys = settle(_fragments(sets, percent).withColumn("key", F.shiftright("key", 1)), "keys")
     # First round: the node with the fewest n-grams of its own represents each fragment.
-    first = Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = keys.select("node", "n", "own", F.first(F.struct("node", "n", "own")).over(first).alias("lead")).where("node <> lead.node")
+    least = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).alias("lead")
+    led = keys.join(keys.groupBy("key").agg(least), "key").where("node <> lead.node")
+    led = led.select("node", "n", "own", F.struct("lead.node", "lead.n", "lead.own").alias("lead"))
     led = led.where(_near(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"), percent))
     led = led.groupBy("node", "n", "lead").agg(F.count("*").alias("times"))
     led = led.groupBy("node", "n").agg(F.max_by("lead", F.struct("times", "lead.node")).alias("lead"))
     pairs = led.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
     links = settle(_overlaps(pairs, sets, percent), "links")
     groups = settle(components(links), "groups")
-    # Second round: what shares a fragment across groups. The largest group of a fragment meets
-    # only the other groups' nodes, in blocks; those others meet each other as pairs.
-    named = keys.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    named = settle(named.join(main, "key").select("key", "node", "n", "own", "root", "main"), "named")
+    # Second round: nodes that share a fragment with another group. Of the groups that hold one of
+    # their rarest n-grams, the largest meets only the others' nodes, in blocks; those meet as pairs.
+    rooted = lambda nodes: nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted(keys.select("key", "node"))
+    across = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    some = settle(named.join(across, "key", "left_semi").select("node", "root").distinct(), "some")
     unsettle(keys)
-    others = named.where("root <> main")
-    asks = settle(others.select("node", F.col("main").alias("root")).distinct(), "asks")
-    members = near.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rare = _rarest(some, sets, percent)
+    sizes = rare.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    named = rare.join(main.select("key", F.when(F.col("most.c") > 1, F.col("most.root")).alias("main")), "key")
+    others = settle(named.where("main IS NULL OR root <> main"), "others")
+    asks = settle(others.where("main IS NOT NULL").select("node", F.col("main").alias("root")).distinct(), "asks")
+    members = rooted(near).select("node", "root")
     more = _against(asks, members.join(asks.select("root").distinct(), "root", "left_semi"), sets, percent)
     x, y = others.alias("x"), others.alias("y")
     close = _near(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
+    # Both places must leave room for the overlap of a link.
+    close &= _near(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     more = settle(_overlaps(pairs, sets, percent).union(more), "links")
     out = settle(components(links.union(more)), "groups")
-    unsettle(sets, near, named, asks, groups, links, more)
+    unsettle(sets, near, some, rare, others, asks, groups, links, more)
     return out
 
 

@@ -65,6 +65,28 @@ def test_jaccard_groups(spark, k, percent):
     assert got == {i: (len(s[i]), find(i)) for i in range(len(s))}
 
 
+@pytest.mark.parametrize("n", [90, 155])
+def test_jaccard_form_letters(spark, monkeypatch, n):
+    """One text with two slots of five words: just under the threshold, most pairs never meet."""
+    rng = random.Random(3)
+    vocabulary, texts = [f"v{i}" for i in range(60)], []
+    for _ in range(200):
+        words = [f"b{i}" for i in range(n)]
+        words[30:35], words[60:65] = rng.choices(vocabulary, k=5), rng.choices(vocabulary, k=5)
+        texts.append(" ".join(words))
+    met, overlaps = [], ngram_join._overlaps
+    monkeypatch.setattr(ngram_join, "_overlaps", lambda pairs, *rest: (met.append(pairs.count()), overlaps(pairs, *rest))[1])
+    s, root = [sets(t, 5) for t in texts], list(range(200))
+    for i in range(200):
+        for j in range(i):
+            if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(frame(spark, texts), 5, 80).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(met) < 200 * 199 // 2 // 5
+
+
 def test_jaccard_edges(spark):
     assert ngram_join.jaccard_groups(frame(spark, []), 4, 85).count() == 0
     rows = frame(spark, [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, None), (None, "")])
