@@ -43,35 +43,31 @@ def _node(grams: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
-    """(doc_id, version, node, n, need0, need1) of each row: its text's hash, its set's id, size and least shared keys.
+def _sets(docs: DataFrame, words: int, only=None) -> DataFrame:
+    """(doc_id, version, node, n) of each row: its text's hash, its set's id and size.
 
     With ``only``, the broadcast bitmap of the nodes wanted, the sets themselves as bytes instead
     (node, n, grams); some others may come through.
     """
-    keep, starts = only is not None, np.array(size_classes(percent))
+    keep = only is not None
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                n, node, blob, need0, need1 = [], [], [], [], []
+                n, node, blob = [], [], []
                 for g in shingle_sets(part.column(1), words):
                     n.append(len(g))
                     node.append(_node(g))
                     if keep:
                         blob.append(g.tobytes())
-                    else:
-                        need = _keys(g, percent, starts)[1:] if len(g) else (0, 0)
-                        need0.append(need[0])
-                        need1.append(need[1])
                 node, n = pa.array(node, pa.int64()), pa.array(n, pa.int64())
                 if keep:
                     yield _once(part.column(0), node, n, blob, only)
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, n, pa.array(need0, pa.int64()), pa.array(need1, pa.int64())], ["doc_id", "version", "node", "n", "need0", "need1"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, n], ["doc_id", "version", "node", "n"])
 
-    schema = "node long, n long, grams binary" if keep else "doc_id long, version long, node long, n long, need0 long, need1 long"
+    schema = "node long, n long, grams binary" if keep else "doc_id long, version long, node long, n long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _version(docs)).mapInArrow(run, schema)
 
 
@@ -126,30 +122,38 @@ def _keys(grams: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarr
 
 
 def _keyed(batch: pa.RecordBatch, sets, percent: int, starts: np.ndarray, names: list[str], only=None):
-    """Batches of (key, *columns of batch) for the fragments of ``sets``, pairs of row and set.
+    """Batches of (key, need, *columns of batch) for the fragments of ``sets``, pairs of row and set.
 
-    With ``only``, a broadcast bitmap of keys without their side, no others but a few."""
-    keys, rows, total = [], [], 0
+    With ``only``, a broadcast bitmap of keys without their side, no others but a few, and none of
+    a side that has fewer than it needs.
+    """
+    keys, needs, rows, total = [], [], [], 0
 
     def flush():
         at = pa.array(np.repeat(np.array(rows, np.int64), [len(k) for k in keys]))
         key = pa.array(np.concatenate(keys).view(np.int64))
-        return pa.RecordBatch.from_arrays([key, *(c.take(at) for c in batch.columns)], ["key", *names])
+        return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(needs)), *(c.take(at) for c in batch.columns)], ["key", "need", *names])
 
     for row, grams in sets:
-        found = _keys(grams, percent, starts)[0]
-        keys.append(found if only is None else found[held(only.value, found >> U(1))])
+        found, *least = _keys(grams, percent, starts)
+        need = np.array(least, np.int64)
+        if only is not None:
+            found = found[held(only.value, found >> U(1))]
+            side = (found & U(1)).astype(np.int64)
+            found = found[(np.bincount(side, minlength=2) >= need)[side]]
+        keys.append(found)
+        needs.append(need[(found & U(1)).astype(np.int64)])
         rows.append(row)
         total += len(keys[-1])
         if total > KEYS:
             yield flush()
-            keys, rows, total = [], [], 0
+            keys, needs, rows, total = [], [], [], 0
     if keys:
         yield flush()
 
 
 def _text_fragments(docs: DataFrame, words: int, percent: int, only=None) -> DataFrame:
-    """(key, side, node) for each fragment of each document's set; equal sets of a batch go once."""
+    """(key, side, need, node) for each fragment of each document's set; equal sets of a batch go once."""
     starts = np.array(size_classes(percent))
 
     def run(batches):
@@ -161,8 +165,8 @@ def _text_fragments(docs: DataFrame, words: int, percent: int, only=None) -> Dat
                 named = pa.RecordBatch.from_arrays([pa.array(node)], ["node"])
                 yield from _keyed(named, ((i, sets[i]) for i in first if len(sets[i])), percent, starts, ["node"], only)
 
-    keys = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
-    return keys.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).alias("side"), "node")
+    keys = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, need long, node long")
+    return keys.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).alias("side"), "need", "node")
 
 
 def _fragments(sets: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +179,7 @@ def _fragments(sets: DataFrame, percent: int) -> DataFrame:
             grams = ((i, np.frombuffer(batch.column(3)[i].as_py(), U)) for i in range(len(batch)))
             yield from _keyed(named, grams, percent, starts, ["node", "n", "own"])
 
-    return sets.select("node", "n", "own", "grams").mapInArrow(run, "key long, node long, n long, own long")
+    return sets.select("node", "n", "own", "grams").mapInArrow(run, "key long, need long, node long, n long, own long").drop("need")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,20 +289,18 @@ def _against(asks: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, version, node, n), and (node, root) of every node: the groups that links form."""
-    rows = settle(_sets(docs, words, percent), "rows")
+    rows = settle(_sets(docs, words), "rows")
     # Nodes that share enough fragments with other nodes: all others link with nothing.
     # A first pass finds the shared keys by an aggregate, which no frequent key overloads; a second
     # sends only what a bitmap lets through to the join with them.
     ends = _text_fragments(docs, words, percent).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     common = settle(ends.where("low < high").select("key"), "common")
     only = docs.sparkSession.sparkContext.broadcast(bitmap(common, "key", common.count()))
-    shared = _text_fragments(docs, words, percent, only).join(common, "key").groupBy("node", "side").agg(F.countDistinct("key").alias("shared"))
-    shared = settle(shared, "shared")
+    shared = _text_fragments(docs, words, percent, only).join(common, "key").groupBy("node", "side", "need").agg(F.countDistinct("key").alias("shared"))
+    shared = shared.where("shared >= need").select("node").distinct()
+    able = rows.join(shared, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
+    able = settle(able, "able")
     unsettle(common)
-    named = rows.where("n > 0").groupBy("node", "need0", "need1").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
-    able = shared.join(named, "node").where("shared >= if(side = 0, need0, need1)")
-    able = settle(able.select("node", "doc").distinct(), "able")
-    unsettle(shared)
     count = able.count()
     groups = _link(docs, able, count, words, percent) if count else None
     unsettle(able)
@@ -332,7 +334,7 @@ def _link(docs: DataFrame, able: DataFrame, count: int, words: int, percent: int
             yield pa.RecordBatch.from_arrays([pa.array(_chosen(batch.column(1).to_numpy(), batch.column(0).to_numpy()).view(np.int64))], ["key"])
 
     only = docs.sparkSession.sparkContext.broadcast(bitmap(able.mapInArrow(choose, "key long"), "key", count, 32))
-    sets = _sets(docs, words, percent, only).join(able, "node", "left_semi")
+    sets = _sets(docs, words, only).join(able, "node", "left_semi")
     sets = settle(sets.dropDuplicates(["node"]), "sets")
 
     held = _members(sets).groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node"))
