@@ -101,9 +101,10 @@ def merged_tries(members: DataFrame) -> DataFrame:
     block = F.shiftright("conv_id", BLOCK)
     low, high = members.agg(F.min(block), F.max(block)).first()
     same = [F.first(c).alias(c) for c in ("px", "py", "words")]
-    tries = members.groupBy(*NODE, block.alias("block")).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), *same)
-    while low != high:
-        low, high = low >> FAN, high >> FAN
+    tries = members.groupBy(*NODE, (block - F.lit(low or 0)).alias("block")).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), *same)
+    last = (high or 0) - (low or 0)
+    while last:
+        last >>= FAN
         tries = tries.groupBy(*NODE, F.shiftright("block", FAN).alias("block")).agg(F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"), *same)
     return tries.drop("block")
 
