@@ -14,7 +14,8 @@ def attributed(chunks: DataFrame, turns: DataFrame) -> DataFrame:
     kept = segments.clean_chunks(chunks).where("reason IS NULL")
     ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
     rows = kept.select("call_id", F.col("chunk_idx").cast("long").alias("seg_idx"), ms("start"), ms("end"), "text")
-    return segments.drop_repeats(segments.merge_adjacent(segments.assign_speakers(rows, turns)))
+    long = chunks.select(ms("start"), ms("end"))
+    return segments.drop_repeats(segments.merge_adjacent(segments.assign_speakers(rows, turns, long)))
 
 
 def transcript_job(chunks: DataFrame, turns: DataFrame, **lexicon) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import ENERGY_TONES, RATES, RELATIVE_PITCH, VARIABILITY
 from ..functions.text import clock, strip
-from .segments import at_least, overlapping
-
+from .intervals import overlapping
+from .segments import at_least
 
 UNKNOWN = "unknown"
 MEASURES = ["pitch", "std", "energy"]
@@ -31,7 +31,9 @@ def segment_prosody(frames: DataFrame, segments: DataFrame, least: int = 50, sho
     """
     asked = at_least(segments, shortest_ms).select("call_id", "seg_idx", "start_ms", "end_ms")
     points = frames.withColumn("start_ms", F.col("t_ms")).withColumn("end_ms", F.col("t_ms") + 1)
-    met = overlapping(points, asked)
+    # Frames are all of the first level; no need to read them for that.
+    point = frames.sparkSession.range(1).select(F.lit(0).alias("start_ms"), F.lit(1).alias("end_ms"))
+    met = overlapping(points, asked, a_like=point)
     f0 = F.when((F.col("f0") > 50) & (F.col("f0") < 500), F.col("f0"))
     out = met.groupBy("call_id", "seg_idx").agg(F.count("*").alias("n"), F.count(f0).alias("nv"), F.sum(f0).alias("s"), F.sum(f0 * f0).alias("q"), F.avg("rms").alias("energy"), F.count_if("onset").alias("o"))
     out = segments.select("call_id", "seg_idx", (F.col("end_ms") - F.col("start_ms")).alias("dur")).join(out, ["call_id", "seg_idx"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_to_duration, is_hallucination, strip, strip_phrases, words
+from .intervals import overlapping
 
 
 def _in_order():
@@ -25,21 +26,12 @@ def clean_chunks(chunks: DataFrame) -> DataFrame:
     return c.select("call_id", "chunk_idx", "start", "end", F.col("clipped").alias("text"), reason.alias("reason"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, bucket: int = 30_000) -> DataFrame:
-    """Pairs of ``a`` and ``b`` (call_id, start_ms, end_ms) that overlap, by an equi-join on time buckets.
+def assign_speakers(segments: DataFrame, turns: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Each segment with the speaker whose turns overlap it most; ties by name, none stays null.
 
-    Each pair is met in the first bucket that both touch only.
+    ``like`` is for :func:`overlapping`: intervals as long as the segments, but cheaper to read.
     """
-    span = lambda s, e: F.sequence(F.floor(F.col(s) / bucket), F.floor((F.col(e) - 1) / bucket))
-    left = a.withColumn("bucket", F.explode(span("start_ms", "end_ms")))
-    right = b.withColumnsRenamed({"start_ms": "b_start", "end_ms": "b_end"}).withColumn("bucket", F.explode(span("b_start", "b_end")))
-    met = left.join(right, ["call_id", "bucket"]).where("start_ms < b_end AND b_start < end_ms")
-    return met.where(F.col("bucket") == F.greatest(F.floor(F.col("start_ms") / bucket), F.floor(F.col("b_start") / bucket))).drop("bucket")
-
-
-def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """Each segment with the speaker whose turns overlap it most; ties by name, none stays null."""
-    found = overlapping(segments.select("call_id", "seg_idx", "start_ms", "end_ms"), turns)
+    found = overlapping(segments.select("call_id", "seg_idx", "start_ms", "end_ms"), turns, like)
     found = found.groupBy("call_id", "seg_idx", "speaker").agg(F.sum(F.least("end_ms", "b_end") - F.greatest("start_ms", "b_start")).alias("ms"))
     best = found.groupBy("call_id", "seg_idx").agg(F.min(F.struct((-F.col("ms")).alias("less"), "speaker"))["speaker"].alias("speaker"))
     return segments.drop("speaker").join(best, ["call_id", "seg_idx"], "left")
