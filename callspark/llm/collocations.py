@@ -6,10 +6,13 @@ reaches it in the same cases), and what is sent to tasks is one bit a cell, what
 Words and pairs are sketched first; longer phrases only where all pairs in them passed, in a
 sketch of their own. Phrases that pass are candidates: all with enough occurrences, and a few others.
 
-Candidates are dealt into lots of about LOT. For each lot, every task compiles one automaton a
-language from them, each phrase between delimiters, and counts all matches in its texts,
-overlapping ones too. Summed counts are exact, so candidates under ``least`` go. Everything after
-that works on the phrases that are left, by joins and grouped sums.
+Candidates are dealt into lots of about LOT. For each lot, every task compiles an automaton from
+them and counts all matches in its texts, overlapping ones too. Texts and phrases are spelt in a
+short alphabet for that: each word of a candidate has a code of as many letters, the first of
+which starts no other place of a code and so delimits words, and all other words and the ends of
+pieces are a letter that no phrase has. Summed counts are exact (words are told apart by 64-bit
+hashes), so candidates under ``least`` go. Everything after that works on the phrases that are
+left, by joins and grouped sums.
 """
 
 from __future__ import annotations
@@ -19,21 +22,22 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle, unsettle
-from .textops import LOWER, U, chunks, grams, hashes, kinds, mix, words
+from .textops import LOWER, U, chunks, grams, hashes, kinds, mix, powers, words
 
 DELIMITERS = ".,;:!?\x0a\x0b\x0c\x0d"
 DELIMITER = kinds(*((ord(c), ord(c)) for c in DELIMITERS))
 WORD = ~(DELIMITER | kinds((0x20, 0x20), (0x09, 0x09)))
 LONGEST = 4
 #: Cells of each of the ROWS rows of a sketch, and cells that are sent and added up together.
-WIDTH, ROWS, BLOCK = 1 << 22, 2, 1 << 14
-#: Phrases that automata of one pass over the texts hold, about 30 bytes of memory a byte of theirs.
-LOT = 250_000
+WIDTH, ROWS, BLOCK = 1 << 23, 4, 1 << 14
+#: Phrases that the automaton of one pass over the texts holds.
+LOT = 1 << 20
+#: Letters of a place of a word's code: nodes of the automaton have no more children.
+BASE = 64
 UND = "und"
 #: Parts of a language that are ranked by themselves first.
 SALTS = 16
@@ -44,24 +48,28 @@ def _languages(column: pa.Array) -> np.ndarray:
     codes = column.fill_null(UND).dictionary_encode()
     names = [x.encode() for x in codes.dictionary.to_pylist()]
     ends = np.cumsum([0, *map(len, names)])
-    return hashes(np.frombuffer(b"".join(names) or b"-", np.uint8), ends[:-1], ends[1:])[codes.indices.to_numpy()]
+    own = hashes(np.frombuffer(b"".join(names) or b"-", np.uint8), ends[:-1], ends[1:])
+    # Not the hash of the same text as a word: words are told apart by both, in either order.
+    return mix(own + U(0x9E3779B97F4A7C15))[codes.indices.to_numpy()]
 
 
-def _phrases(lang: pa.Array, text: pa.Array):
-    """Of each group of rows: its bytes, row of the first, starts and ends of words and their rows, and for 1 to LONGEST words the hash of each phrase and its first word."""
+def _words(lang: pa.Array, text: pa.Array):
+    """Of each group of rows: its bytes, row of the first, starts, ends, rows, pieces and hashes of words, and the hash of each row's language."""
     languages = _languages(lang)
     for first, last, data, offsets in chunks(text):
         data = LOWER[data]
         starts, ends, row = words(data, offsets, WORD)
         pieces = np.cumsum(DELIMITER[data])
         piece = pieces[starts] + row * (len(data) + 1) if len(starts) else row
-        h = hashes(data, starts, ends)
-        found = []
-        for n in range(1, LONGEST + 1):
-            g = grams(h, n)
-            at = np.flatnonzero(piece[: len(g)] == piece[n - 1 :]) if len(g) else np.zeros(0, np.int64)
-            found.append((mix(g[at] ^ languages[first + row[at]]), at))
-        yield data, first, starts, ends, row, found
+        yield data, first, starts, ends, row, piece, hashes(data, starts, ends), languages[first:last]
+
+
+def _phrases(piece: np.ndarray, row: np.ndarray, h: np.ndarray, languages: np.ndarray, lengths):
+    """For each length the hashes of the phrases of so many words, and their first words."""
+    for n in lengths:
+        g = grams(h, n)
+        at = np.flatnonzero(piece[: len(g)] == piece[n - 1 :]) if len(g) else np.zeros(0, np.int64)
+        yield mix(g[at] ^ languages[row[at]]), at
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
@@ -77,15 +85,20 @@ def _passed(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _longer(found, bits: np.ndarray, n_words: int):
-    """The phrases of three and more words of which all pairs passed ``bits``, by length."""
-    good = np.zeros(n_words + LONGEST, bool)
-    h, at = found[1]
-    good[at[_passed(bits, h)]] = True
-    for h, at in found[2:]:
+def _longer(piece, row, h, languages, bits: np.ndarray):
+    """As :func:`_phrases`, of three and more words of which all pairs passed ``bits``."""
+    ((pairs, at),) = _phrases(piece, row, h, languages, [2])
+    good = np.zeros(len(h) + LONGEST, bool)
+    good[at[_passed(bits, pairs)]] = True
+    for n in range(3, LONGEST + 1):
         good = good[:-1] & good[1:]
-        keep = good[at]
-        yield h[keep], at[keep]
+        at = np.flatnonzero(good)
+        # Pairs that follow each other are in one piece.
+        g = np.zeros(len(at), U)
+        p = powers(n + 1)
+        for i in range(n):
+            g += h[at + i] * p[i + 1]
+        yield mix(mix(g + U(n)) ^ languages[row[at]]), at
 
 
 def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
@@ -93,28 +106,33 @@ def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
 
     Without ``bits`` the sketch is of words and pairs, else of longer phrases whose pairs pass them.
     """
-    kind = np.uint8 if least < 256 else np.uint32
+    # A cell stops at least; what one group of rows adds to it before that has room in the type.
+    kind = np.uint16 if least < 256 else np.uint32
 
     def run(batches):
         cells = np.zeros(ROWS * WIDTH, kind)
         for batch in batches:
-            for _, _, starts, _, _, found in _phrases(batch.column(0), batch.column(1)):
-                for h, _ in found[:2] if bits is None else _longer(found, bits.value, len(starts)):
-                    h, n = np.unique(h, return_counts=True)
-                    for row in range(ROWS):
-                        at, where = np.unique(_cells(h, row), return_inverse=True)
-                        total = np.bincount(where, n, len(at)) + cells[at]
-                        cells[at] = np.minimum(total, least).astype(kind)
+            for _, _, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
+                for found, _ in _phrases(piece, row, h, languages, [1, 2]) if bits is None else _longer(piece, row, h, languages, bits.value):
+                    found, n = np.unique(found, return_counts=True)
+                    n = np.minimum(n, least).astype(kind)
+                    for k in range(ROWS):
+                        at = _cells(found, k)
+                        np.add.at(cells, at, n)
+                        cells[at] = np.minimum(cells[at], least)
+        small = np.uint8 if least < 256 else kind
         blocks = cells.reshape(-1, BLOCK)
         for k in np.flatnonzero(blocks.any(1)).tolist():
-            at = np.flatnonzero(blocks[k])
+            block = blocks[k].astype(small)
+            at = np.flatnonzero(block)
             # The cells themselves, or places and cells where few are set.
-            few = len(at) * (2 + cells.itemsize) < blocks[k].nbytes
-            data = at.astype(np.uint16).tobytes() + blocks[k][at].tobytes() if few else blocks[k].tobytes()
+            few = len(at) * (2 + block.itemsize) < block.nbytes
+            data = at.astype(np.uint16).tobytes() + block[at].tobytes() if few else block.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([few]), pa.array([data], pa.binary())], ["block", "few", "cells"])
 
     def add(batches):
         last, total = None, np.zeros(BLOCK, np.int64)
+        small = np.dtype(np.uint8 if least < 256 else kind)
 
         def done():
             bits = np.packbits(total >= least, bitorder="little")
@@ -127,10 +145,10 @@ def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
                         yield done()
                     last, total = k, np.zeros(BLOCK, np.int64)
                 if few:
-                    n = len(data) // (2 + np.dtype(kind).itemsize)
-                    total[np.frombuffer(data[: 2 * n], np.uint16)] += np.frombuffer(data[2 * n :], kind)
+                    n = len(data) // (2 + small.itemsize)
+                    total[np.frombuffer(data[: 2 * n], np.uint16)] += np.frombuffer(data[2 * n :], small)
                 else:
-                    total += np.frombuffer(data, kind)
+                    total += np.frombuffer(data, small)
         if last is not None:
             yield done()
 
@@ -142,6 +160,18 @@ def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The phrases of n words from the words ``at``, joined by single spaces."""
+    size = np.stack([ends[at + j] - starts[at + j] for j in range(n)])
+    offsets = np.concatenate(([0], np.cumsum(size.sum(0) + n - 1)))
+    out, place = np.full(offsets[-1], 0x20, np.uint8), offsets[:-1].copy()
+    for j in range(n):
+        within = np.arange(size[j].sum()) - np.repeat(np.cumsum(size[j]) - size[j], size[j])
+        out[np.repeat(place, size[j]) + within] = data[np.repeat(starts[at + j], size[j]) + within]
+        place += size[j] + 1
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
+
+
 def candidates(docs: DataFrame, short, long) -> DataFrame:
     """(lang, phrase) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least."""
 
@@ -149,36 +179,54 @@ def candidates(docs: DataFrame, short, long) -> DataFrame:
         seen = np.zeros(0, U)
         for batch in batches:
             langs = batch.column(0).fill_null(UND)
-            for data, first, starts, ends, row, found in _phrases(batch.column(0), batch.column(1)):
-                kept = [(n, h[ok], at[ok]) for n, (h, at) in enumerate(found[:2], 1) if (ok := _passed(short.value, h)).any()]
-                kept += [(n, h[ok], at[ok]) for n, (h, at) in enumerate(_longer(found, short.value, len(starts)), 3) if (ok := _passed(long.value, h)).any()]
-                names, phrases, raw = [], [], data.tobytes()
-                for n, h, at in kept:
-                    h, one = np.unique(h, return_index=True)
-                    k = np.searchsorted(seen, h)
-                    new = seen[np.minimum(k, len(seen) - 1)] != h if len(seen) else np.ones(len(h), bool)
-                    at = at[one[new]]
-                    names.append(langs.take(pa.array(first + row[at])))
-                    a, b = [(x[at[:, None] + np.arange(n)]).tolist() for x in (starts, ends)]
-                    phrases += [b" ".join([raw[i:j] for i, j in zip(x, y, strict=True)]).decode() for x, y in zip(a, b, strict=True)]
-                    seen = np.union1d(seen, h[new])
+            for data, first, starts, ends, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
+                names, phrases, fresh = [], [], [seen]
+                found = [*_phrases(piece, row, h, languages, [1, 2]), *_longer(piece, row, h, languages, short.value)]
+                for n, (g, at) in enumerate(found, 1):
+                    g, one = np.unique(g, return_index=True)
+                    k = np.searchsorted(seen, g)
+                    new = seen[np.minimum(k, len(seen) - 1)] != g if len(seen) else np.ones(len(g), bool)
+                    new[new] = _passed((short if n < 3 else long).value, g[new])
+                    if new.any():
+                        at = at[one[new]]
+                        names.append(langs.take(pa.array(first + row[at])))
+                        phrases.append(_spelt(data, starts, ends, at, n))
+                        fresh.append(g[new])
                 if phrases:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(phrases, pa.string())], ["lang", "phrase"])
+                    seen = np.sort(np.concatenate(fresh))
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.concat_arrays(phrases)], ["lang", "phrase"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string").distinct()
 
 
-def _automata(lot: dict):
-    """Language to automaton, built once in each worker of a broadcast ``lot`` of (id, lang, phrase) columns."""
+def _letters(ids: np.ndarray, places: int) -> np.ndarray:
+    """The code of each word: a letter for each place, from an alphabet of that place; id -1 is all letter 0."""
+    out = np.stack([ids // BASE**k % BASE + 1 + k * BASE for k in range(places)], -1)
+    out[ids < 0] = 0
+    return out.astype(np.uint32)
+
+
+def _automaton(lot: dict):
+    """(hashes of words, places of a code, automaton), built once in each worker from a broadcast ``lot`` of (id, lang, phrase) columns."""
     import ahocorasick
 
     if "built" not in lot:
-        built: dict = {}
-        for number, lang, phrase in zip(lot["id"].tolist(), lot["lang"].to_pylist(), lot["phrase"].to_pylist(), strict=True):
-            built.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", number)
-        for automaton in built.values():
-            automaton.make_automaton()
-        lot["built"] = built
+        key, row = [], []
+        for _, first, _, _, at, _, h, languages in _words(lot["lang"], lot["phrase"]):
+            key.append(mix(h ^ languages[at]))
+            row.append(first + at)
+        key, row = (np.concatenate(x or [np.zeros(0, U)]) for x in (key, row))
+        known, ids = np.unique(key, return_inverse=True)
+        places = 1
+        while BASE**places < len(known):
+            places += 1
+        letters = _letters(ids, places).tobytes().decode("utf-32-le")
+        bounds = (np.searchsorted(row, np.arange(len(lot["id"]) + 1)) * places).tolist()
+        automaton = ahocorasick.Automaton()
+        for number, a, b in zip(lot["id"].tolist(), bounds[:-1], bounds[1:], strict=True):
+            automaton.add_word(letters[a:b], number)
+        automaton.make_automaton()
+        lot["built"] = known, places, automaton
     return lot["built"]
 
 
@@ -188,17 +236,22 @@ def counted(docs: DataFrame, lot, totals: bool) -> DataFrame:
     def run(batches):
         found, every = Counter(), Counter()
         for batch in batches:
+            known, places, automaton = _automaton(lot.value)
             langs = batch.column(0).fill_null(UND).to_pylist()
-            texts = pc.ascii_lower(batch.column(1).fill_null(""))
-            # A delimiter is a word of its own, of no phrase.
-            texts = pc.replace_substring_regex(texts, r"[.,;:!?\x0A-\x0D]+", " \n ")
-            texts = pc.replace_substring_regex(texts, r"[ \t]+", " ")
-            for lang, n in zip(langs, pc.count_substring_regex(texts, r"[^ \n]+").to_pylist(), strict=True) if totals else ():
-                every[lang] += n
-            for lang, text in zip(langs, texts, strict=True):
-                automaton = _automata(lot.value).get(lang)
-                if automaton is not None:
-                    found.update(map(itemgetter(1), automaton.iter(f" {text.as_py()} ")))
+            for _, first, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
+                for k, n in zip(*(x.tolist() for x in np.unique(row, return_counts=True)), strict=True) if totals else ():
+                    every[langs[first + k]] += n
+                if not len(known) or not len(h):
+                    continue
+                key = mix(h ^ languages[row])
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                ids = np.where(known[at] == key, at, -1)
+                # A delimiter where a piece ends, and no more than one where several words are unknown.
+                cut = np.flatnonzero(np.diff(piece)) + 1
+                ids = np.insert(ids, cut, -1)
+                ids = ids[np.concatenate(([True], (ids[1:] >= 0) | (ids[:-1] >= 0)))]
+                text = _letters(ids, places).tobytes().decode("utf-32-le")
+                found.update(map(itemgetter(1), automaton.iter(text)))
         rows = [(k, None, n) for k, n in found.items()] + [(None, k, n) for k, n in every.items()]
         if rows:
             k, lang, n = zip(*rows, strict=True)
@@ -217,7 +270,7 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     lots, counts = max(1, -(-listed.count() // LOT)), []
     for k in range(lots):
         rows = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(lots)) == k).toArrow()
-        lot = send({"id": rows.column("id").to_numpy(), "lang": rows.column("lang"), "phrase": rows.column("phrase")})
+        lot = send({"id": rows.column("id").to_numpy(), "lang": rows.column("lang").combine_chunks(), "phrase": rows.column("phrase").combine_chunks()})
         counts.append(settle(counted(docs, lot, k == 0), "counts"))
         lot.destroy()
     short.destroy(), long.destroy()

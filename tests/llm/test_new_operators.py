@@ -95,6 +95,14 @@ def test_collocations(spark, monkeypatch, least, percent, top, lot):
     assert sorted(map(tuple, got)) == sorted(by_hand(texts(), least, percent, top))
 
 
+def test_words_that_are_languages(spark):
+    """A language's name is a word of another: their hashes don't mix, in many words (codes of several letters)."""
+    many = " ".join(f"n{i}" for i in range(300))
+    rows = [(i, t, lang) for i in range(4) for t, lang in (("es es x es. x es", "en"), ("en en x en, x en " + many, "es"), ("en es und " + many, "und"), ("en es und", None))]
+    got = collocations.collocations(docs(spark, rows), 3).collect()
+    assert sorted(map(tuple, got)) == sorted(by_hand(rows, 3, 80, 2000))
+
+
 def test_sketch_is_an_upper_bound(spark, monkeypatch):
     """A narrow sketch lets more candidates through; none that count is lost."""
     monkeypatch.setattr(collocations, "WIDTH", 1 << 14)
