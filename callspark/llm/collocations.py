@@ -31,11 +31,14 @@ from .textops import LOWER, U, chunks, grams, hashes, kinds, mix, powers, words
 DELIMITERS = ".,;:!?\x0a\x0b\x0c\x0d"
 DELIMITER = kinds(*((ord(c), ord(c)) for c in DELIMITERS))
 WORD = ~(DELIMITER | kinds((0x20, 0x20), (0x09, 0x09)))
+WORDS = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 LONGEST = 4
 #: Cells of each of the ROWS rows of a sketch, and cells that are sent and added up together.
 WIDTH, ROWS, BLOCK = 1 << 23, 4, 1 << 14
 #: Phrases that the automaton of one pass over the texts holds.
 LOT = 1 << 20
+#: Ranges of hashes in which candidates of all tasks meet.
+BUCKETS = 256
 #: Letters of a place of a word's code: nodes of the automaton have no more children.
 BASE = 64
 UND = "und"
@@ -101,13 +104,46 @@ def _longer(piece, row, h, languages, bits: np.ndarray):
         yield mix(mix(g + U(n)) ^ languages[row[at]]), at
 
 
+CELLS = "block int, few boolean, cells binary"
+
+
+def _sent(cells: np.ndarray):
+    """An array of counts as rows of CELLS: the blocks with any, as they are or, where few are set, as places and counts."""
+    for k in range(-(-len(cells) // BLOCK)):
+        block = cells[k * BLOCK : (k + 1) * BLOCK]
+        at = np.flatnonzero(block)
+        if len(at):
+            few = len(at) * (2 + block.itemsize) < block.nbytes
+            data = at.astype(np.uint16).tobytes() + block[at].tobytes() if few else block.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([few]), pa.array([data], pa.binary())], ["block", "few", "cells"])
+
+
+def _added(batches, kind: np.dtype):
+    """(block, counts) of rows of CELLS in order of block, one row held at a time."""
+    last, total = None, np.zeros(BLOCK, np.int64)
+    for batch in batches:
+        for k, few, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != last:
+                if last is not None:
+                    yield last, total
+                last, total = k, np.zeros(BLOCK, np.int64)
+            if few:
+                n = len(data) // (2 + kind.itemsize)
+                total[np.frombuffer(data[: 2 * n], np.uint16)] += np.frombuffer(data[2 * n :], kind)
+            else:
+                part = np.frombuffer(data, kind)
+                total[: len(part)] += part
+    if last is not None:
+        yield last, total
+
+
 def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
     """One bit for each cell of the count-min sketch of ``docs(lang, text)``: whether it reaches ``least``.
 
     Without ``bits`` the sketch is of words and pairs, else of longer phrases whose pairs pass them.
     """
     # A cell stops at least; what one group of rows adds to it before that has room in the type.
-    kind = np.uint16 if least < 256 else np.uint32
+    kind, small = (np.uint16, np.dtype(np.uint8)) if least < 256 else (np.uint32, np.dtype(np.uint32))
 
     def run(batches):
         cells = np.zeros(ROWS * WIDTH, kind)
@@ -120,39 +156,13 @@ def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
                         at = _cells(found, k)
                         np.add.at(cells, at, n)
                         cells[at] = np.minimum(cells[at], least)
-        small = np.uint8 if least < 256 else kind
-        blocks = cells.reshape(-1, BLOCK)
-        for k in np.flatnonzero(blocks.any(1)).tolist():
-            block = blocks[k].astype(small)
-            at = np.flatnonzero(block)
-            # The cells themselves, or places and cells where few are set.
-            few = len(at) * (2 + block.itemsize) < block.nbytes
-            data = at.astype(np.uint16).tobytes() + block[at].tobytes() if few else block.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([few]), pa.array([data], pa.binary())], ["block", "few", "cells"])
+        yield from _sent(cells.astype(small))
 
     def add(batches):
-        last, total = None, np.zeros(BLOCK, np.int64)
-        small = np.dtype(np.uint8 if least < 256 else kind)
+        for k, total in _added(batches, small):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-        def done():
-            bits = np.packbits(total >= least, bitorder="little")
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
-
-        for batch in batches:
-            for k, few, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != last:
-                    if last is not None:
-                        yield done()
-                    last, total = k, np.zeros(BLOCK, np.int64)
-                if few:
-                    n = len(data) // (2 + small.itemsize)
-                    total[np.frombuffer(data[: 2 * n], np.uint16)] += np.frombuffer(data[2 * n :], small)
-                else:
-                    total += np.frombuffer(data, small)
-        if last is not None:
-            yield done()
-
-    sent = docs.select("lang", "text").mapInArrow(run, "block int, few boolean, cells binary")
+    sent = docs.select("lang", "text").mapInArrow(run, CELLS)
     met = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary").toArrow()
     out = np.zeros((ROWS * WIDTH // BLOCK, BLOCK // 8), np.uint8)
     for k, data in zip(met.column("block").to_pylist(), met.column("bits").to_pylist(), strict=True):
@@ -173,14 +183,18 @@ def _spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarra
 
 
 def candidates(docs: DataFrame, short, long) -> DataFrame:
-    """(lang, phrase) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least."""
+    """(lang, phrase) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least.
+
+    A task sends what it has seen once, in one list for each of BUCKETS ranges of hashes; lists of
+    a range meet and are united.
+    """
 
     def run(batches):
-        seen = np.zeros(0, U)
+        seen, names, phrases, keys = np.zeros(0, U), [], [], []
         for batch in batches:
             langs = batch.column(0).fill_null(UND)
             for data, first, starts, ends, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
-                names, phrases, fresh = [], [], [seen]
+                fresh = [seen]
                 found = [*_phrases(piece, row, h, languages, [1, 2]), *_longer(piece, row, h, languages, short.value)]
                 for n, (g, at) in enumerate(found, 1):
                     g, one = np.unique(g, return_index=True)
@@ -192,11 +206,28 @@ def candidates(docs: DataFrame, short, long) -> DataFrame:
                         names.append(langs.take(pa.array(first + row[at])))
                         phrases.append(_spelt(data, starts, ends, at, n))
                         fresh.append(g[new])
-                if phrases:
-                    seen = np.sort(np.concatenate(fresh))
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.concat_arrays(phrases)], ["lang", "phrase"])
+                keys += fresh[1:]
+                seen = np.sort(np.concatenate(fresh))
+        if keys:
+            bucket = (np.concatenate(keys) >> U(32)) % U(BUCKETS)
+            order = pa.array(np.argsort(bucket, kind="stable"))
+            bounds = pa.array(np.searchsorted(np.sort(bucket), np.arange(BUCKETS + 1, dtype=U)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.concat_arrays(x).take(order)) for x in (names, phrases)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), *lists], ["bucket", "lang", "phrase"])
+
+    def unite(batches):
+        last, seen = None, set()
+        for batch in batches:
+            for k, langs, phrases in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if k != last:
+                    last, seen = k, set()
+                new = set(zip(langs.values.to_pylist(), phrases.values.to_pylist(), strict=True)) - seen
+                seen |= new
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*new, strict=True)], ["lang", "phrase"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string").distinct()
+    sent = docs.select("lang", "text").mapInArrow(run, "bucket int, lang array<string>, phrase array<string>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unite, "lang string, phrase string")
 
 
 def _letters(ids: np.ndarray, places: int) -> np.ndarray:
@@ -207,7 +238,7 @@ def _letters(ids: np.ndarray, places: int) -> np.ndarray:
 
 
 def _automaton(lot: dict):
-    """(hashes of words, places of a code, automaton), built once in each worker from a broadcast ``lot`` of (id, lang, phrase) columns."""
+    """(hashes of words, places of a code, automaton of places in the lot), built once in each worker from a broadcast ``lot`` of (id, lang, phrase) columns."""
     import ahocorasick
 
     if "built" not in lot:
@@ -223,41 +254,46 @@ def _automaton(lot: dict):
         letters = _letters(ids, places).tobytes().decode("utf-32-le")
         bounds = (np.searchsorted(row, np.arange(len(lot["id"]) + 1)) * places).tolist()
         automaton = ahocorasick.Automaton()
-        for number, a, b in zip(lot["id"].tolist(), bounds[:-1], bounds[1:], strict=True):
-            automaton.add_word(letters[a:b], number)
+        for place, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            automaton.add_word(letters[a:b], place)
         automaton.make_automaton()
         lot["built"] = known, places, automaton
     return lot["built"]
 
 
-def counted(docs: DataFrame, lot, totals: bool) -> DataFrame:
-    """(id, lang, n): occurrences of the phrases of a broadcast ``lot``, and with ``totals`` all words of each language (id null)."""
+def counted(docs: DataFrame, lot) -> DataFrame:
+    """(id, n): occurrences of the phrases of a broadcast ``lot``; a task sends an array of its counts."""
 
     def run(batches):
-        found, every = Counter(), Counter()
+        found = Counter()
         for batch in batches:
             known, places, automaton = _automaton(lot.value)
-            langs = batch.column(0).fill_null(UND).to_pylist()
-            for _, first, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
-                for k, n in zip(*(x.tolist() for x in np.unique(row, return_counts=True)), strict=True) if totals else ():
-                    every[langs[first + k]] += n
+            for _, _, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
                 if not len(known) or not len(h):
                     continue
                 key = mix(h ^ languages[row])
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 ids = np.where(known[at] == key, at, -1)
                 # A delimiter where a piece ends, and no more than one where several words are unknown.
-                cut = np.flatnonzero(np.diff(piece)) + 1
-                ids = np.insert(ids, cut, -1)
+                ids = np.insert(ids, np.flatnonzero(np.diff(piece)) + 1, -1)
                 ids = ids[np.concatenate(([True], (ids[1:] >= 0) | (ids[:-1] >= 0)))]
-                text = _letters(ids, places).tobytes().decode("utf-32-le")
-                found.update(map(itemgetter(1), automaton.iter(text)))
-        rows = [(k, None, n) for k, n in found.items()] + [(None, k, n) for k, n in every.items()]
-        if rows:
-            k, lang, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int64())], ["id", "lang", "n"])
+                found.update(map(itemgetter(1), automaton.iter(_letters(ids, places).tobytes().decode("utf-32-le"))))
+        counts = np.zeros(len(lot.value["id"]), np.int64)
+        counts[np.fromiter(found.keys(), np.int64, len(found))] = np.fromiter(found.values(), np.int64, len(found))
+        yield from _sent(counts)
+
+    def add(batches):
+        for k, total in _added(batches, np.dtype(np.int64)):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(lot.value["id"][k * BLOCK + at]), pa.array(total[at])], ["id", "n"])
+
+    sent = docs.select("lang", "text").mapInArrow(run, CELLS)
+    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "id long, n long")
+
 
-    return docs.select("lang", "text").mapInArrow(run, "id long, lang string, n long").groupBy("id", "lang").agg(F.sum("n").alias("n"))
+def word_totals(docs: DataFrame) -> DataFrame:
+    """(lang, n): all words of each language."""
+    return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORDS))).cast("long").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -271,18 +307,16 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     for k in range(lots):
         rows = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(lots)) == k).toArrow()
         lot = send({"id": rows.column("id").to_numpy(), "lang": rows.column("lang").combine_chunks(), "phrase": rows.column("phrase").combine_chunks()})
-        counts.append(settle(counted(docs, lot, k == 0), "counts"))
+        counts.append(settle(counted(docs, lot), "counts"))
         lot.destroy()
     short.destroy(), long.destroy()
-    totals = counts[0].where("id IS NULL").select("lang", "n")
     met = counts[0]
     for more in counts[1:]:
         met = met.unionByName(more)
-    found = listed.join(met.where(F.col("n") >= least).select("id", F.col("n").alias("f")), "id")
+    found = listed.join(met.where(F.col("n") >= least).withColumnRenamed("n", "f"), "id")
     found = settle(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
-    totals = settle(totals, "totals")
     unsettle(listed, *counts)
-    return found, totals
+    return found, word_totals(docs)
 
 
 def collocations(docs: DataFrame, least: int = 30, percent: int = 80, top: int = 2000) -> DataFrame:
