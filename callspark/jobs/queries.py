@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as X
 from ..functions import text as T
 from ..operators import emotion, prosody, report, segments, speakers
-from ..schemas import REPORT, RESULT_FIELDS
+from ..schemas import RESULT_DEFAULTS
 from ..sources import calls as C
+from ..sources import readers
+from ..sources.work import new_folder, settle
+from ..streaming.whole_calls import latest, stream_whole_calls
 from . import workloads
 
 MANAGER, SUFFIXES = ["the", "and", "der", "les"], ["er.", "en."]
@@ -27,6 +30,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def json_default(x) -> str:
+    return "NULL" if x is None else "json('{}')" if x == {} else f"'{x}'" if isinstance(x, str) else str(x)
+
+
 CLOCK = "printf('%02d:%06.3f', {0} // 60000, ({0} % 60000) / 1000.0)"
 ROLES_SQL = f"""WITH {C.SEGMENTS_SQL}, named AS (SELECT *, coalesce(speaker, 'UNKNOWN') AS sp,
   {' + '.join(f"contains(text, '{k}')::INT" for k in MANAGER)} + CASE WHEN {' OR '.join(f"suffix(trim(text), '{s}')" for s in SUFFIXES)} THEN 0.5 ELSE 0 END AS p FROM seg),
@@ -188,6 +195,13 @@ def speaker_baselines(spark, d):
     return C.measured(spark, d).groupBy("call_id", "speaker").agg(*(F.median(c).alias(f"base_{c}") for c in ("pitch", "std", "energy")))
 
 
+@query(f"WITH {C.MEASURED_SQL} SELECT call_id, speaker, median(pitch) AS base_pitch, median(std) AS base_std, median(energy) AS base_energy FROM mea GROUP BY 1, 2")
+def baseline_runs(spark, d):
+    """The same medians from the value counts of three runs, which are merged."""
+    rows = C.measured(spark, d)
+    return prosody.baselines(prosody.merged_counts(*(prosody.value_counts(rows.where(F.col("seg_idx") % 3 == k)) for k in range(3))))
+
+
 def _enriched(source: str, e_level: str, rate: str) -> str:
     """en: the measured rows of ``source`` beside their baselines and earlier segments."""
     return f"""bs AS (SELECT *, median(pitch) OVER (PARTITION BY call_id, speaker) AS bp, median(std) OVER (PARTITION BY call_id, speaker) AS bsd, median(energy) OVER (PARTITION BY call_id, speaker) AS be,
@@ -243,6 +257,16 @@ def keyword_hits(spark, d):
     return speakers.keyword_hits(C.segments(spark, d), DANGER)
 
 
+@query(f"""WITH {C.SEGMENTS_SQL}, lx AS (SELECT dense_rank() OVER (ORDER BY left(w, 1)) AS t, row_number() OVER (PARTITION BY left(w, 1) ORDER BY w) AS k, left(w, 1) AS type, w FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> '')
+SELECT call_id, seg_idx, CAST(t - 1 AS INT) AS type_ord, CAST(k - 1 AS INT) AS kw_ord, type, w AS keyword, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, text FROM seg JOIN lx ON contains(text, w)""")
+def lexicon_hits(spark, d):
+    """Keywords from a table: all words of the benchmark, those that begin alike as one type."""
+    words = C.table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("keyword")).where("keyword <> ''").distinct().withColumn("type", F.substring("keyword", 1, 1))
+    place = F.row_number().over(Window.partitionBy("type").orderBy("keyword")) - 1
+    types = words.select("type").distinct().withColumn("type_ord", F.row_number().over(Window.orderBy("type")) - 1)
+    return speakers.lexicon_hits(C.segments(spark, d), words.withColumn("kw_ord", place).join(types, "type"))
+
+
 KEYWORD_FLAGS = " UNION ALL ".join(f"SELECT call_id, '{t} 키워드 감지' AS flag, sum({' + '.join(f"contains(text, '{k}')::INT" for k in ks)}) AS n FROM seg GROUP BY 1" for t, ks in DANGER.items())
 
 
@@ -256,11 +280,11 @@ def danger_rollup(spark, d):
 
 def _emotions(spark, d):
     logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double") * 10)
-    rows = C.table(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("call_id"), F.concat(F.lit("S"), F.col("label") % 3).alias("speaker"), F.col("vec_id").alias("seg_idx"), logits.alias("logits"))
+    rows = C.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("call_id"), F.concat(F.lit("S"), F.col("label") % 3).alias("speaker"), F.col("vec_id").alias("seg_idx"), logits.alias("logits"))
     return rows.select("call_id", "speaker", "seg_idx", emotion.softmax(F.col("logits")).alias("probabilities"))
 
 
-PROBABILITIES_SQL = """e AS (SELECT vec_id % 20 AS call_id, 'S' || (label % 3) AS speaker, vec_id AS seg_idx, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE) * 10) AS l FROM embeddings),
+PROBABILITIES_SQL = """e AS (SELECT vec_id // 10 AS call_id, 'S' || (label % 3) AS speaker, vec_id AS seg_idx, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE) * 10) AS l FROM embeddings),
 x AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS p FROM e), pr AS (SELECT call_id, speaker, seg_idx, list_transform(p, lambda v: v / list_sum(p)) AS p FROM x)"""
 LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in emotion.EMOTIONS) + "]"
 
@@ -270,6 +294,13 @@ def emotion_softmax(spark, d):
     return _emotions(spark, d).select("call_id", "seg_idx", F.round(F.array_max("probabilities"), 6).alias("score"), emotion.best_label(F.col("probabilities")).alias("label"))
 
 
+@query(f"WITH {PROBABILITIES_SQL} SELECT call_id, seg_idx, {LABELS_SQL}[i] AS label, round(p[i], 6) AS score FROM pr, range(1, 7) r(i)")
+def emotion_scores(spark, d):
+    """Label to probability of each segment, as rows."""
+    rows = _emotions(spark, d).select("call_id", "seg_idx", F.explode(emotion.scores(F.col("probabilities"))).alias("label", "p"))
+    return rows.select("call_id", "seg_idx", "label", F.round("p", 6).alias("score"))
+
+
 MOODS_SQL = f"""{PROBABILITIES_SQL}, mt AS (SELECT call_id, speaker, i, sum(CAST(round(p[i] * 1e6) AS BIGINT)) AS s FROM pr, range(1, 7) r(i) GROUP BY ALL),
 mh AS (SELECT call_id, speaker, i, floor(s * 1000 / sum(s) OVER (PARTITION BY call_id, speaker) + 0.5) / 1000 AS share FROM mt),
 mk AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY share DESC, i) AS k, {LABELS_SQL}[i] AS label, {_words(X.TONES, LABELS_SQL + '[i]')} AS tone FROM mh),
@@ -311,6 +342,13 @@ def danger_flags(spark, d):
     return _found(spark, d).select("call_id", F.array_join("flags", ", ").alias("flags"), "detected")
 
 
+@query(f"{ENRICHED_SQL}, {C.SEGMENTS_SQL}, {SUMMARY_SQL}, {MOODS_SQL}, {FOUND_SQL} SELECT c_custkey AS call_id, c_name AS patient_name, fo.call_id IS NOT NULL AS urgent FROM customer LEFT JOIN fo ON fo.call_id = c_custkey AND c_custkey IN (SELECT call_id FROM seg)")
+def worklists(spark, d):
+    """Calls to look at first, and the others."""
+    urgent, others = speakers.worklists(_people(spark, d).select("call_id", "patient_name"), _found(spark, d))
+    return urgent.withColumn("urgent", F.lit(True)).unionByName(others.withColumn("urgent", F.lit(False)))
+
+
 def _found(spark, d):
     return workloads.danger_job(C.segments(spark, d), emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), DANGER, MOOD_RULES)
 
@@ -397,10 +435,30 @@ def explode_chunks(spark, d):
     return segments.explode_chunks(calls)
 
 
-@query(f"WITH {C.SEGMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) AS k FROM seg) SELECT call_id, count(*) AS num_segments, string_agg(seg_idx || ':' || text, chr(10) ORDER BY seg_idx) FILTER (k <= 3) AS sample FROM n GROUP BY 1")
+SHOWN_SQL = f"""rm AS (SELECT call_id, string_agg(role || '=' || speaker, ',' ORDER BY role || '=' || speaker) AS speaker_roles FROM ro GROUP BY 1),
+em AS (SELECT call_id, string_agg(dominant || '=' || speaker, ',' ORDER BY dominant || '=' || speaker) AS emotions FROM mo GROUP BY 1),
+vm AS (SELECT call_id, string_agg(voice_description || '=' || speaker, ',' ORDER BY voice_description || '=' || speaker) AS voices FROM vo GROUP BY 1)"""
+
+
+def _shown(name: str, field: str | None = None):
+    """A map of speakers as text: what the ``field`` of each is, with the speaker."""
+    told = F.transform(F.map_entries(name), lambda x: F.concat(x["value"][field] if field else x["value"], F.lit("="), x["key"]))
+    return F.array_join(F.array_sort(told), ",")
+
+
+def _by_call(spark, d):
+    """Roles, moods and voices of the speakers of each call, as maps."""
+    moods = report.speaker_map(emotion.emotion_by_speaker(_emotions(spark, d)), "emotions")
+    return report.role_map(role_ranks(spark, d)), moods, report.speaker_map(speaker_summary(spark, d), "voices")
+
+
+@query(f"""{TONES_SQL}, {SHOWN_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) AS k FROM seg),
+sn AS (SELECT call_id, count(*) AS num_segments, string_agg(seg_idx || ':' || text, chr(10) ORDER BY seg_idx) FILTER (k <= 3) AS sample FROM n GROUP BY 1)
+SELECT * FROM sn LEFT JOIN rm USING (call_id) LEFT JOIN em USING (call_id) LEFT JOIN vm USING (call_id)""")
 def run_report(spark, d):
-    out = segments.run_report(C.segments(spark, d), 3)
-    return out.select("call_id", "num_segments", F.array_join(F.transform("segments_sample", lambda x: F.concat(x["seg_idx"].cast("string"), F.lit(":"), x["text"])), "\n").alias("sample"))
+    out = segments.run_report(C.segments(spark, d), 3, *_by_call(spark, d))
+    sample = F.array_join(F.transform("segments_sample", lambda x: F.concat(x["seg_idx"].cast("string"), F.lit(":"), x["text"])), "\n")
+    return out.select("call_id", "num_segments", sample.alias("sample"), _shown("speaker_roles").alias("speaker_roles"), _shown("emotions", "dominant_emotion").alias("emotions"), _shown("voices", "voice_description").alias("voices"))
 
 
 @query(f"{ROLES_SQL} SELECT call_id, string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] [' || sp || '] ' || text, chr(10) ORDER BY seg_idx) AS transcript FROM named GROUP BY 1")
@@ -410,8 +468,11 @@ def transcript_speakers(spark, d):
 
 def _tagged(spark, d):
     """Measures of as many segments of each call as there are, in order."""
-    order = Window.partitionBy("call_id").orderBy("seg_idx")
-    return prosody.enriched(C.measured(spark, d)).withColumn("seg_idx", F.row_number().over(order) - 1)
+    return _numbered(prosody.enriched(C.measured(spark, d)))
+
+
+def _numbered(beside):
+    return beside.withColumn("seg_idx", F.row_number().over(Window.partitionBy("call_id").orderBy("seg_idx")) - 1)
 
 
 TAGS_SQL = f"""tg AS (SELECT call_id, seg_idx, {TAG_SQL} AS tag FROM (SELECT en.* EXCLUDE (seg_idx), k AS seg_idx
@@ -465,6 +526,28 @@ def _people(spark, d):
     )
 
 
+@query("""SELECT CASE WHEN c_custkey % 10 > 0 THEN CAST(c_custkey AS VARCHAR) ELSE substr(md5('{"admin_name":"","patient_name":"' || c_name || '","age":"' || c_nationkey || '","gender":"F","address":"{' || c_mktsegment || '} {address}"}'), 1, 8) END AS call_id,
+  c_name AS patient_name, CAST(c_nationkey AS VARCHAR) AS age, CAST(NULL AS VARCHAR) AS path FROM customer""")
+def calls_read(spark, d):
+    """Call metadata written and read again; each tenth call has no id of its own."""
+    path = new_folder(spark, "calls")
+    _people(spark, d).withColumn("call_id", F.when(F.col("call_id") % 10 > 0, F.col("call_id").cast("string"))).write.parquet(path)
+    return readers.read_calls(spark, path).select("call_id", "patient_name", "age", "path")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (c_custkey % 7 > 0) AS succeeded, count(*) FILTER (c_custkey % 7 = 0) AS rejected, strftime(DATE '2024-01-01' + CAST(c_custkey % 3 AS INT), '%Y-%m-%d') AS day FROM customer GROUP BY ALL""")
+def written_results(spark, d):
+    """Documents and rejected calls of each day, of a run that was written twice."""
+    path = new_folder(spark, "results")
+    rows = _people(spark, d).withColumn("error", F.when(F.col("call_id") % 7 == 0, "x"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("call_id") % 3).cast("int"))
+    for _ in range(2):
+        report.write_run(rows, path, day)
+    read = spark.read.text(f"{path}/results").groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.get_json_object("value", "$.success") == "true").alias("succeeded"))
+    bad = spark.read.schema("call_id long, error string, day date").json(f"{path}/rejected").groupBy("day").agg(F.count("*").alias("rejected"))
+    return read.join(bad, "day").select("n", "succeeded", "rejected", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 DETAILS_SQL = f"""hk AS ({" UNION ALL ".join(f"SELECT call_id, seg_idx, {i} AS ti, {j} AS ki, '{t}' AS type, '{k}' AS keyword, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms / 1000 AS time, text FROM seg WHERE contains(text, '{k}')" for i, (t, ks) in enumerate(DANGER.items()) for j, k in enumerate(ks))}),
 hd AS (SELECT call_id, list({{'type': type, 'keyword': keyword, 'speaker': speaker, 'time': time, 'text': text}} ORDER BY seg_idx, ti, ki) AS details FROM hk GROUP BY 1),
 hf AS (SELECT call_id, list(flag ORDER BY flag) AS flags FROM fl GROUP BY 1),
@@ -476,12 +559,14 @@ SELECT c_custkey AS call_id, 'Report {{}} of ' || c_name || ', ' || c_nationkey
   || chr(10) || coalesce(meta, '분석 데이터 없음') || chr(10) || chr(10) || coalesce(transcript, '') || chr(10) || coalesce(chr(10) || chr(10) || '## 위험요소 사전 감지 정보' || chr(10) || danger_info, '') AS prompt
 FROM customer LEFT JOIN cs ON cs.call_id = c_custkey LEFT JOIN ml ON ml.call_id = c_custkey LEFT JOIN il ON il.call_id = c_custkey LEFT JOIN di ON di.call_id = c_custkey AND cs.call_id IS NOT NULL""")
 def prompt_build(spark, d):
-    """Prompts of all calls, also of those without segments."""
-    seg = C.segments(spark, d)
+    """Prompts of all calls, also of those without segments. What several steps read is made once."""
+    seg, beside = settle(C.segments(spark, d), "segments"), settle(prosody.enriched(C.measured(spark, d)), "beside")
+    voices = settle(prosody.speaker_summary(beside), "voices")
+    found = settle(workloads.danger_job(seg, emotion.emotion_by_speaker(_emotions(spark, d)), voices, DANGER, MOOD_RULES), "found")
     calls = _people(spark, d).join(segments.call_spans(seg), "call_id", "left").withColumn("duration_sec", F.coalesce("seconds", F.lit(0)))
     start, end = report.visit_window(F.lit("2024-01-01 00:00:00"), F.col("duration_sec"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     calls = calls.select("*", start.alias("start_time"), end.alias("end_time"))
-    return workloads.prompt_job(calls, seg, _tagged(spark, d), speaker_summary(spark, d), _found(spark, d), TEMPLATE, keywords=MANAGER, suffixes=SUFFIXES)
+    return workloads.prompt_job(calls, seg, _numbered(beside), voices, found, TEMPLATE, keywords=MANAGER, suffixes=SUFFIXES)
 
 
 @query(f"""{ALL_SQL}, {DETAILS_SQL} SELECT call_id, danger_info IS NOT NULL AS detected, coalesce(CAST(danger_info AS VARCHAR), '') AS danger_info FROM (SELECT DISTINCT call_id FROM seg) LEFT JOIN di USING (call_id)""")
@@ -492,7 +577,7 @@ def danger_json(spark, d):
 
 @query(f"""WITH {C.SEGMENTS_SQL}, c AS (SELECT call_id, string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] ' || text, chr(10) ORDER BY seg_idx) AS transcript, arg_max(end_ms, seg_idx) // 1000 AS seconds FROM seg GROUP BY 1)
 SELECT call_id, CASE WHEN call_id % 7 = 0 THEN to_json({{'success': false, 'message': '오디오 처리 실패', 'data': NULL, 'error': CASE WHEN call_id % 14 = 0 THEN 'x' ELSE '알 수 없는 오류' END}})
-  ELSE to_json({{'success': true, 'message': '오디오 처리 완료 (v2)', 'data': {{{", ".join(f"'{c}': {dict(transcript='transcript', audio_duration='seconds').get(c, 'NULL')}" for c in RESULT_FIELDS)}}}}}) END AS document FROM c""")
+  ELSE to_json({{'success': true, 'message': '오디오 처리 완료 (v2)', 'data': {{{", ".join(f"'{c}': {dict(transcript='transcript', audio_duration='seconds').get(c) or json_default(x)}" for c, x in RESULT_DEFAULTS.items())}}}}}) END AS document FROM c""")
 def result_envelope(spark, d):
     rows = segments.call_spans(C.segments(spark, d)).withColumnRenamed("seconds", "audio_duration").join(transcript_plain(spark, d), "call_id")
     rows = rows.withColumn("success", F.when(F.col("call_id") % 7 == 0, False).when(F.col("call_id") % 7 == 1, True)).withColumn("error", F.when(F.col("call_id") % 14 == 0, "x"))
@@ -503,26 +588,32 @@ def _texts(source: str, name: str, who: str) -> str:
     return f"string_agg('[' || {CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')} || '] ' || {who} || text, chr(10) ORDER BY {source}.seg_idx) AS {name}"
 
 
-@query(f"""{ROLES_SQL}, tx AS (SELECT named.call_id, {_texts('named', 'transcript_labeled', "'[' || sp || '] '")}, {_texts('named', 'transcript_enriched', "'[' || role || '] '")},
-  string_agg(DISTINCT role || '=' || sp, ',' ORDER BY role || '=' || sp) AS speaker_roles FROM named JOIN ro ON named.call_id = ro.call_id AND sp = ro.speaker GROUP BY 1)
-SELECT call_id, call_id % 7 <> 0 AS success, CASE WHEN call_id % 7 <> 0 THEN transcript_labeled END AS transcript_labeled, CASE WHEN call_id % 7 <> 0 THEN transcript_enriched END AS transcript_enriched,
-  CASE WHEN call_id % 7 <> 0 THEN speaker_roles END AS speaker_roles, CASE WHEN call_id % 7 = 0 THEN 'x' END AS error FROM tx""")
+PARTS = ["transcript", "transcript_labeled", "transcript_enriched", "speaker_roles", "emotions", "voices", "flags", "n_segments", "n_speakers", "seconds"]
+
+
+@query(f"""{ALL_SQL}, {SHOWN_SQL}, tx AS (SELECT named.call_id, {_texts('named', 'transcript', "''")}, {_texts('named', 'transcript_labeled', "'[' || sp || '] '")}, {_texts('named', 'transcript_enriched', "'[' || role || '] '")},
+  count(*) AS n_segments, count(DISTINCT sp) AS n_speakers, arg_max(end_ms, seg_idx) // 1000 AS seconds FROM named JOIN ro ON named.call_id = ro.call_id AND sp = ro.speaker GROUP BY 1)
+SELECT tx.call_id, tx.call_id % 7 <> 0 AS success, {", ".join(f"CASE WHEN tx.call_id % 7 <> 0 THEN {'coalesce(flags, chr(39)||chr(39))' if c == 'flags' else c} END AS {c}" for c in PARTS)}, CASE WHEN tx.call_id % 7 = 0 THEN 'x' END AS error
+FROM tx LEFT JOIN rm USING (call_id) LEFT JOIN em USING (call_id) LEFT JOIN vm USING (call_id) LEFT JOIN fo USING (call_id)""".replace("chr(39)||chr(39)", "''"))
 def api_record(spark, d):
+    """All parts of each call's record; every seventh call failed."""
     seg = C.segments(spark, d)
     calls = seg.select("call_id").distinct().withColumn("error", F.when(F.col("call_id") % 7 == 0, "x"))
     named = lambda rows, name: rows.withColumnRenamed("transcript", name)
-    out = report.api_record(calls, named(transcript_speakers(spark, d), "transcript_labeled"), named(transcript_labeled(spark, d), "transcript_enriched"), report.role_map(role_ranks(spark, d)))
-    shown = F.array_join(F.array_sort(F.transform(F.map_entries("speaker_roles"), lambda x: F.concat(x["value"], F.lit("="), x["key"]))), ",")
-    return out.withColumn("speaker_roles", shown)
+    texts = transcript_plain(spark, d), named(transcript_speakers(spark, d), "transcript_labeled"), named(transcript_labeled(spark, d), "transcript_enriched")
+    flags = _found(spark, d).select("call_id", F.array_join("flags", ", ").alias("flags"))
+    out = report.api_record(calls, *texts, *_by_call(spark, d), flags, segments.call_spans(seg))
+    shown = {"speaker_roles": _shown("speaker_roles"), "emotions": _shown("emotions", "dominant_emotion"), "voices": _shown("voices", "voice_description")}
+    return out.select("call_id", "success", *(shown.get(c, F.col(c)).alias(c) for c in PARTS), "error")
 
 
-ANSWER = """CASE call_id % 4 WHEN 0 THEN concat('x {"대화요약": "', call_id, '", "시니어의 대화 분위기, 톤": "old", "위험요소": {"감지여부": true, "내용": ["a"]}}') WHEN 1 THEN '{"대화시간_초": 7, "매니저": {"이름": "m"}}' WHEN 2 THEN 'none' ELSE '{"매니저의 대화 분위기, 톤": "old"}' END"""
+ANSWER = """CASE call_id % 4 WHEN 0 THEN concat('x {"대화요약": "', call_id, '", "시니어의 대화 분위기, 톤": "old", "위험요소": {"감지여부": true, "내용": ["a"]}}') WHEN 1 THEN '{"대화시간_초": "7분", "매니저": {"이름": "m"}, "more": {"b": [1, null]}}' WHEN 2 THEN 'none' ELSE '{"매니저의 대화 분위기, 톤": "old"}' END"""
 SUMMED = "CASE WHEN call_id % 4 = {0} THEN {1} END"
 
 
 @query(f"""{TONES_SQL}, tn AS (SELECT ro.call_id, max(tone) FILTER (role = '매니저') AS mt, max(voice_description) FILTER (role = '매니저') AS mv, max(tone) FILTER (role = '시니어') AS st, max(voice_description) FILTER (role = '시니어') AS sv
   FROM ro LEFT JOIN mo USING (call_id, speaker) LEFT JOIN vo USING (call_id, speaker) GROUP BY 1), rs AS (SELECT *, CASE WHEN call_id % 4 = 3 THEN 'old' END AS mo_, CASE WHEN call_id % 4 = 0 THEN 'old' END AS so_ FROM tn)
-SELECT call_id, {SUMMED.format(0, 'CAST(call_id AS VARCHAR)')} AS summary, CAST({SUMMED.format(1, '7')} AS BIGINT) AS seconds, {SUMMED.format(1, "'m'")} AS manager, {SUMMED.format(2, "'none'")} AS raw_response,
+SELECT call_id, {SUMMED.format(0, 'CAST(call_id AS VARCHAR)')} AS summary, {SUMMED.format(1, "'7분'")} AS seconds, {SUMMED.format(1, "'" + '{"b":[1,null]}' + "'")} AS more, {SUMMED.format(1, "'m'")} AS manager, {SUMMED.format(2, "'none'")} AS raw_response,
   CASE WHEN mv IS NULL THEN coalesce(mt, mo_) ELSE coalesce(mt, mo_, '') || ' (' || mv || ')' END AS manager_tone, CASE WHEN sv IS NULL THEN coalesce(st, so_) ELSE coalesce(st, so_, '') || ' (' || sv || ')' END AS senior_tone,
   CASE WHEN call_id % 4 = 0 THEN 'a' ELSE 'known' END AS dangers FROM rs""")
 def report_fill(spark, d):
@@ -530,10 +621,10 @@ def report_fill(spark, d):
     calls = seg.select("call_id").distinct()
     known = calls.withColumn("danger_info", F.lit('{"감지여부": true, "내용": ["known"]}'))
     out = workloads.report_job(calls.withColumn("response", F.expr(ANSWER)), seg, emotion.emotion_by_speaker(_emotions(spark, d)), speaker_summary(spark, d), known, keywords=MANAGER, suffixes=SUFFIXES)
-    r = F.col("report")
+    at = lambda *path: F.try_variant_get("report", "$" + "".join(f"['{x}']" for x in path), "string")
     return out.select(
-        "call_id", r["대화요약"].alias("summary"), r["대화시간_초"].alias("seconds"), r["매니저"]["이름"].alias("manager"), r["raw_response"].alias("raw_response"),
-        r["매니저의 대화 분위기, 톤"].alias("manager_tone"), r["시니어의 대화 분위기, 톤"].alias("senior_tone"), F.array_join(r["위험요소"]["내용"], ",").alias("dangers"),
+        "call_id", at("대화요약").alias("summary"), at("대화시간_초").alias("seconds"), F.to_json(F.try_variant_get("report", "$.more", "variant")).alias("more"), at("매니저", "이름").alias("manager"), at("raw_response").alias("raw_response"),
+        at("매니저의 대화 분위기, 톤").alias("manager_tone"), at("시니어의 대화 분위기, 톤").alias("senior_tone"), F.array_join(F.try_variant_get("report", "$['위험요소']['내용']", "array<string>"), ",").alias("dangers"),
     )
 
 
@@ -562,6 +653,33 @@ def run_counters(spark, d):
     return segments.counters(cleaned, merged, segments.drop_repeats(merged))
 
 
+COUNTED = ["n_chunks", "n_cleaned", "n_merged", "n_removed", "n_segments", "n_speakers"]
+
+
+@query(f"SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTED)} FROM ({SQL['run_counters']})")
+def run_metrics(spark, d):
+    """Counters of the transcript job over all calls, observed while it runs."""
+    out, seen = workloads.watched_transcript_job(C.chunks(spark, d), C.turns(spark, d), keywords=MANAGER, suffixes=SUFFIXES)
+    out.write.format("noop").mode("overwrite").save()
+    found = seen.get()
+    return spark.createDataFrame([tuple(found[c] for c in COUNTED)], ", ".join(f"{c} long" for c in COUNTED))
+
+
+@query(SQL["job_transcripts"])
+def stream_transcripts(spark, d):
+    """The same of a stream of turns of speech, call by call as they arrive."""
+    raw = C.table(spark, d, "conversations")  # a pattern, as one file is no folder to watch
+    said = spark.readStream.schema(raw.schema).parquet(f"{d}/conversation[s].parquet").withColumn("call_id", F.col("conv_id"))
+
+    def job(rows, keep):
+        seg = C.segments_of(rows["said"])
+        return {"transcripts": workloads.transcript_job(C.chunks_of(seg), C.turns_of(seg), keywords=MANAGER, suffixes=SUFFIXES)}
+
+    folder = new_folder(spark, "stream")
+    stream_whole_calls(spark, {"said": said}, job, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return latest(spark, f"{folder}/out", "transcripts")
+
+
 W2_SQL = f"WITH {PROSODY_SQL}, sq AS (SELECT call_id, seg_idx, speaker, pitch_mean AS pitch, pitch_std AS std, energy_mean AS energy, energy_level AS el, speech_rate AS sr FROM sp WHERE pitch_level <> 'unknown'), {_enriched('sq', 'el', 'sr')}"
 
 

@@ -15,7 +15,8 @@ from .segments import at_least
 
 UNKNOWN = "unknown"
 MEASURES = ["pitch", "std", "energy"]
-MODES = ["relative_pitch", "pitch_var_level", "energy_level", "speech_rate"]
+VALUES = {"relative_pitch": list(RELATIVE_PITCH), "pitch_var_level": list(VARIABILITY), "energy_level": list(ENERGY_TONES), "speech_rate": list(RATES)}
+MODES = list(VALUES)
 
 
 def level(x: Column, low: float, high: float, names=("low", "normal", "high")) -> Column:
@@ -62,12 +63,50 @@ def with_baselines(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"base_{c}": F.median(c).over(own) for c in MEASURES})
 
 
-def enriched(rows: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_jump: float = 0.4) -> DataFrame:
+def value_counts(rows: DataFrame) -> DataFrame:
+    """(call_id, speaker, measure, value, n): how often each speaker's measured segments have a value.
+
+    Measures are rounded where they are taken, so a speaker has few values however long the calls.
+    Tables of several runs are added up by :func:`merged_counts`.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in MEASURES)))
+    out = rows.select("call_id", "speaker", each.alias("x")).where("x.value IS NOT NULL")
+    return out.groupBy("call_id", "speaker", "x.measure", "x.value").agg(F.count("*").alias("n"))
+
+
+def merged_counts(*runs: DataFrame) -> DataFrame:
+    """The value counts of all ``runs`` together."""
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("call_id", "speaker", "measure", "value").agg(F.sum("n").alias("n"))
+
+
+def baselines(counts: DataFrame) -> DataFrame:
+    """(call_id, speaker, base_pitch, base_std, base_energy): exact medians from value counts.
+
+    The middle values are those whose ranks, summed up in order, reach the middle; of an even
+    number the two in the middle are averaged. A speaker without a measure has no row.
+    """
+    own = Window.partitionBy("call_id", "speaker", "measure")
+    upto = F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.where("n > 0").withColumns({"upto": upto, "total": F.sum("n").over(own)})
+    holds = lambda rank: (rank > F.col("upto") - F.col("n")) & (rank <= F.col("upto"))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    rows = rows.where(holds(low) | holds(high))
+    out = rows.groupBy("call_id", "speaker", "measure").agg(((F.min("value") + F.max("value")) / 2).alias("middle"))
+    pick = lambda c: F.max(F.when(F.col("measure") == c, F.col("middle"))).alias(f"base_{c}")
+    return out.groupBy("call_id", "speaker").agg(*(pick(c) for c in MEASURES))
+
+
+def enriched(rows: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_jump: float = 0.4, table: DataFrame | None = None) -> DataFrame:
     """Segments against their baseline and the ``before`` earlier measured ones of the same speaker.
 
     ``rows`` has call_id, seg_idx, speaker, pitch, std, energy, and either energy_level and
     speech_rate or rate, the onsets a second. Segments whose pitch is null were not measured: they
-    come through with nulls, and are no reference of later ones.
+    come through with nulls, and are no reference of later ones. Baselines are those of the rows
+    themselves, or of a ``table`` of :func:`baselines`; measured segments of speakers that it
+    doesn't have come through as those that weren't measured, with their measures.
     """
     known = F.col("pitch").isNotNull()
     if "energy_level" not in rows.columns:
@@ -76,7 +115,11 @@ def enriched(rows: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_
         rows = rows.withColumn("speech_rate", level(F.col("rate"), 3, 7, ("slow", "normal", "fast")))
     # Measured segments are counted by themselves, so that the window skips the others.
     recent = Window.partitionBy("call_id", "speaker", "known").orderBy("seg_idx").rowsBetween(-before, -1)
-    m = with_baselines(rows).withColumn("known", known)
+    if table is None:
+        m = with_baselines(rows).withColumn("known", known)
+    else:
+        has = table.select("call_id", "speaker", *(f"base_{c}" for c in MEASURES), F.lit(True).alias("has"))
+        m = rows.join(has, ["call_id", "speaker"], "left").withColumn("known", known & F.coalesce("has", F.lit(False))).drop("has")
     m = m.withColumns({f"ref_{c}": F.coalesce(F.avg(c).over(recent), F.col(f"base_{c}")) for c in ("pitch", "energy")})
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(F.col(b), F.lit(0)))
     ratio, loud = F.coalesce(over("pitch", "base_pitch"), F.lit(1.0)), F.coalesce(over("energy", "base_energy"), F.lit(1.0))
@@ -92,7 +135,9 @@ def enriched(rows: DataFrame, before: int = 3, pitch_jump: float = 0.25, energy_
         "change_hint": F.concat_ws("+", jump("pitch", "피치", pitch_jump), jump("energy", "에너지", energy_jump)),
         "energy_level": F.col("energy_level"), "speech_rate": F.col("speech_rate"),
     }
-    m = m.withColumns({name: F.when(F.col("known"), value) for name, value in labels.items()})
+    # Without a baseline, what a segment has by itself stays.
+    own = lambda name: F.col("pitch").isNotNull() if name in ("energy_level", "speech_rate") else F.col("known")
+    m = m.withColumns({name: F.when(own(name), value) for name, value in labels.items()})
     return m.withColumn("sudden_change", F.col("change_hint") != "").drop("known")
 
 
@@ -100,18 +145,19 @@ def speaker_summary(segments: DataFrame) -> DataFrame:
     """Per speaker of an :func:`enriched`: baselines, means, number of sudden changes, modes and the voice in words.
 
     Only measured segments count; a speaker without any has no row. Of values that are as
-    frequent, the one seen first is the mode.
+    frequent, the one seen first is the mode. Levels other than those of VALUES aren't counted.
     """
     rows = segments.where("pitch IS NOT NULL")
-    counts = rows.select("call_id", "speaker", "seg_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in MODES))).alias("x"))
-    counts = counts.groupBy("call_id", "speaker", "x.field", "x.value").agg(F.count("*").alias("c"), F.min("seg_idx").alias("f"))
-    own = lambda c, x: F.when(F.col("field") == c, x)
-    modes = counts.groupBy("call_id", "speaker").agg(*(F.max_by(own(c, F.col("value")), own(c, F.struct("c", (-F.col("f")).alias("f")))).alias(c) for c in MODES))
+    # Fields have few values, so how often and where first each occurs are plain aggregates of one pass.
+    is_ = lambda c, v: F.col(c).isNull() if v is None else F.coalesce(F.col(c) == v, F.lit(False))
+    places = {(c, i): (v, f"_{c}{i}") for c in MODES for i, v in enumerate([*VALUES[c], None])}
+    seen = [x for (c, _), (v, name) in places.items() for x in (F.count_if(is_(c, v)).alias(f"{name}n"), F.min(F.when(is_(c, v), F.col("seg_idx"))).alias(f"{name}f"))]
+    most = lambda c: F.array_max(F.array(*(F.struct(F.col(f"{name}n").alias("n"), (-F.col(f"{name}f")).alias("f"), F.lit(v).cast("string").alias("value")) for (x, _), (v, name) in places.items() if x == c)))["value"]
     # Decimals add up to the same sum in any order.
     mean = lambda c, name, digits: F.bround(F.sum(F.col(c).cast("decimal(18,4)")) / F.count("*"), digits).cast("double").alias(name)
     first = lambda c, digits: F.bround(F.first(f"base_{c}").cast("decimal(18,4)"), digits).cast("double").alias(f"base_{c}")
-    means = rows.groupBy("call_id", "speaker").agg(first("pitch", 1), first("energy", 0), mean("pitch", "avg_pitch", 1), mean("std", "pitch_variability", 1), mean("energy", "avg_energy", 0), F.count_if("sudden_change").alias("sudden_change_count"))
-    out = means.join(modes, ["call_id", "speaker"])
+    means = rows.groupBy("call_id", "speaker").agg(first("pitch", 1), first("energy", 0), mean("pitch", "avg_pitch", 1), mean("std", "pitch_variability", 1), mean("energy", "avg_energy", 0), F.count_if("sudden_change").alias("sudden_change_count"), *seen)
+    out = means.select("call_id", "speaker", *(c for c in means.columns if c not in ("call_id", "speaker") and not c.startswith("_")), *(most(c).alias(c) for c in MODES))
     return out.withColumn("voice_description", voice_description())
 
 
@@ -141,11 +187,11 @@ def inline_tag() -> Column:
     return F.when(F.col("pitch").isNotNull(), F.concat_ws(", ", pitch, spread, energy, F.concat(F.lit("말속도="), "speech_rate"), sudden))
 
 
-def tagged_lines(segments: DataFrame, measures: DataFrame, name: str = "speaker") -> DataFrame:
+def tagged_lines(segments: DataFrame, measures: DataFrame, name: str = "speaker", *more: str) -> DataFrame:
     """(call_id, seg_idx, line): segments with clocks, the column ``name`` of who speaks, and the inline tag, if measured.
 
     ``measures`` is a result of :func:`enriched` for the same call_id and seg_idx; ``name`` is role
-    after ``with_roles``.
+    after ``with_roles``. Columns ``more`` of the segments come along.
     """
     tags = measures.select("call_id", "seg_idx", inline_tag().alias("tag"))
     told = F.when(F.col("tag").isNotNull(), F.concat(F.lit("  |운율: "), "tag", F.lit("|")))
@@ -153,7 +199,7 @@ def tagged_lines(segments: DataFrame, measures: DataFrame, name: str = "speaker"
         F.lit("["), clock(F.col("start_ms") / 1000, 1), F.lit("~"), clock(F.col("end_ms") / 1000, 1), F.lit("] ["), F.coalesce(F.col(name), F.lit("UNKNOWN")), F.lit("] "),
         F.coalesce(strip(F.col("text")), F.lit("")), F.coalesce(told, F.lit("")),
     )
-    return segments.join(tags, ["call_id", "seg_idx"], "left").select("call_id", "seg_idx", line.alias("line"))
+    return segments.join(tags, ["call_id", "seg_idx"], "left").select("call_id", "seg_idx", line.alias("line"), *more)
 
 
 def voice_description() -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
 from ..functions.text import parse_response
-from ..schemas import DANGER_FIELD, MAIN_ROLES, RESULT_FIELDS, TONE_FIELDS
+from ..schemas import DANGER_FIELD, MAIN_ROLES, RESULT_DEFAULTS, TONE_FIELDS
 
 FIELDS = ["admin_name", "admin_phone", "patient_name", "age", "gender", "address"]
 PLAIN = ["start_time", "end_time", "duration_sec"]
 NULLS = {"ignoreNullFields": "false"}
+VOICES_HEAD = "[화자별 운율 종합 (baseline 기준)]"
 
 
 def duration_gate(calls: DataFrame, most: float) -> DataFrame:
@@ -49,10 +51,25 @@ def meta_lines(roles: DataFrame, voices: DataFrame, flags: DataFrame) -> DataFra
 
     ``voices`` is a ``speaker_summary``, ``flags`` a ``danger``.
     """
-    pitch = F.format_string("%.0f", F.coalesce(F.bround("base_pitch", 0), F.lit(0.0)))
-    line = F.concat(F.lit("- "), "role", F.lit("("), "speaker", F.lit("): baseline "), pitch, F.lit("Hz, "), F.coalesce("voice_description", F.lit("분석 불가")))
+    line = _voice_line(*(F.col(c) for c in ("role", "speaker", "base_pitch", "voice_description")))
     rows = roles.join(voices.select("call_id", "speaker", "base_pitch", "voice_description"), ["call_id", "speaker"], "left")
-    return _meta("[화자별 운율 종합 (baseline 기준)]", line, rows, flags, "")
+    return _meta(VOICES_HEAD, line, rows, flags, "")
+
+
+def _voice_line(role: Column, speaker: Column, pitch: Column, words: Column) -> Column:
+    whole = F.format_string("%.0f", F.coalesce(F.bround(pitch, 0), F.lit(0.0)))
+    return F.concat(F.lit("- "), role, F.lit("("), speaker, F.lit("): baseline "), whole, F.lit("Hz, "), F.coalesce(words, F.lit("분석 불가")))
+
+
+def meta_text(roles: Column, voices: Column, flags: Column) -> Column:
+    """The meta of :func:`meta_lines` from one row a call: roles is an array of (rank, speaker, role), voices a map of speakers; null without roles."""
+
+    def line(r: Column) -> Column:
+        voice = F.element_at(voices, r["speaker"])
+        return _voice_line(r["role"], r["speaker"], voice["base_pitch"], voice["voice_description"])
+
+    told = F.when(F.size(flags) > 0, F.concat(F.lit("- 위험 플래그: "), F.array_join(flags, ", ")))
+    return F.when(roles.isNotNull(), F.concat_ws("\n", F.lit(VOICES_HEAD), F.array_join(F.transform(F.array_sort(roles), line), "\n"), told))
 
 
 def mood_lines(roles: DataFrame, moods: DataFrame, voices: DataFrame, flags: DataFrame) -> DataFrame:
@@ -113,22 +130,37 @@ def reports(responses: DataFrame) -> DataFrame:
     return rows.withColumn("raw_response", F.when(F.col("report").isNull(), F.col("response"))).drop("response", "error")
 
 
-def filled(rows: DataFrame, schema: str) -> DataFrame:
-    """``rows(call_id, report, raw_response, tones, danger_info)`` with report as a struct of ``schema``.
+def _variant(c: Column, kind: DataType) -> Column:
+    """A value as VARIANT: JSON text as what it says, other text as text."""
+    if isinstance(kind, StringType):
+        return F.coalesce(F.try_parse_json(c), c.cast("variant"))
+    return c if isinstance(kind, VariantType) else F.to_variant_object(c) if isinstance(kind, (StructType, MapType, ArrayType)) else c.cast("variant")
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """``rows(call_id, report, raw_response, tones, danger_info)`` with report as a VARIANT that keeps every field of the model.
 
     tones maps 매니저 and 시니어 to their tone and voice, a struct (tone, voice): a known tone replaces the
-    report's, a voice is added to it. Without the field 위험요소, danger_info fills it.
+    report's, a voice is added to it, and without either the field stays as it is, of whatever
+    type. Without the key 위험요소, danger_info (JSON) fills it. A response that was no JSON
+    object, or one that names a key twice, is kept whole in the field raw_response.
     """
-    rows = rows.withColumn("r", F.from_json("report", schema))
-    fields = [f.name for f in rows.schema["r"].dataType.fields]
-    put = {name: F.col("r").getField(name) for name in fields}
+    text = F.coalesce("raw_response", "report")
+    parsed = F.coalesce(F.try_parse_json("report"), F.try_parse_json(F.to_json(F.struct(text.alias("raw_response")))))
+    rows = rows.withColumn("v", parsed).withColumn("m", F.col("v").cast("map<string,variant>"))
+    put = []
     for role in MAIN_ROLES:
-        known = F.element_at("tones", role)
-        put[TONE_FIELDS[role]] = toned(known["tone"], known["voice"], put[TONE_FIELDS[role]])
-    caller = F.from_json("danger_info", rows.schema["r"].dataType[DANGER_FIELD].dataType)
-    put[DANGER_FIELD] = F.coalesce(put[DANGER_FIELD], caller)
-    put["raw_response"] = F.col("raw_response")
-    return rows.withColumn("report", F.struct(*(v.alias(k) for k, v in put.items()))).drop("r", "raw_response", "tones", "danger_info")
+        known, name = F.element_at("tones", role), TONE_FIELDS[role]
+        held = F.element_at("m", name)
+        # What isn't text is shown as its JSON.
+        existing = F.coalesce(F.try_variant_get(held, "$", "string"), F.to_json(held))
+        put.append((name, F.when(F.coalesce(known["tone"], known["voice"]).isNotNull(), toned(known["tone"], known["voice"], existing)).cast("variant")))
+    put.append((DANGER_FIELD, F.when(~F.map_contains_key("m", F.lit(DANGER_FIELD)), F.try_parse_json("danger_info"))))
+    new = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in put)), lambda x: x["value"].isNotNull())
+    rows = rows.withColumn("new", F.map_from_entries(new))
+    kept = F.map_filter("m", lambda k, _: ~F.array_contains(F.map_keys("new"), k))
+    whole = F.to_variant_object(F.map_concat(kept, F.col("new")))
+    return rows.withColumn("report", whole).drop("v", "m", "new", "raw_response", "tones", "danger_info")
 
 
 def toned(tone: Column, voice: Column, existing: Column) -> Column:
@@ -151,23 +183,66 @@ def tone_overrides(roles: DataFrame, moods: DataFrame, voices: DataFrame, existi
     return rows.select("call_id", "role", toned(F.col("known.tone"), F.col("known.voice"), F.lit(None).cast("string") if existing is None else existing).alias("tone"))
 
 
-def envelope(results: DataFrame, fields: list[str] = RESULT_FIELDS) -> DataFrame:
-    """(call_id, document): the result document of each call; a null ``success`` counts as success.
-
-    Fields that ``results`` lacks are null. A failed call has no data but its error.
-    """
+def _document(results: DataFrame, defaults: dict) -> Column:
     failed = F.coalesce(~F.col("success"), F.lit(False))
-    data = F.when(~failed, F.struct(*(F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in fields)))
+
+    def field(name: str, default) -> Column:
+        kind = results.schema[name].dataType if name in results.columns else None
+        if default == {}:
+            none = F.parse_json(F.lit("{}"))
+            return F.coalesce(_variant(F.col(name), kind), none) if kind else none
+        none = F.lit(default).cast("string") if default is None else F.lit(default)
+        return F.coalesce(F.col(name), none) if kind else none
+
+    data = F.when(~failed, F.struct(*(field(name, x).alias(name) for name, x in defaults.items())))
     message = F.when(failed, "오디오 처리 실패").otherwise("오디오 처리 완료 (v2)")
     good = [(~failed).alias("success"), message.alias("message"), data.alias("data")]
     error = F.coalesce("error", F.lit("알 수 없는 오류")) if "error" in results.columns else F.lit("알 수 없는 오류")
-    return results.select("call_id", F.when(failed, F.to_json(F.struct(*good, error.alias("error")), NULLS)).otherwise(F.to_json(F.struct(*good), NULLS)).alias("document"))
+    return F.when(failed, F.to_json(F.struct(*good, error.alias("error")), NULLS)).otherwise(F.to_json(F.struct(*good), NULLS))
 
 
-def write_results(results: DataFrame, path: str, day: Column, fields: list[str] = RESULT_FIELDS) -> None:
-    """Writes the envelopes of ``results`` as lines of JSON, in a folder for each ``day``."""
-    rows = envelope(results, fields).join(results.select("call_id", day.cast("date").alias("day")), "call_id")
-    rows.select(F.col("document").alias("value"), "day").write.partitionBy("day").mode("append").text(path)
+def envelope(results: DataFrame, defaults: dict = RESULT_DEFAULTS) -> DataFrame:
+    """(call_id, document): the result document of each call; a null ``success`` counts as success.
+
+    ``defaults`` has the fields of a document and what stands for those that ``results`` lacks, or
+    where they are null; where that is an object, text in a field is put in as the JSON it is. A
+    failed call has no data but its error.
+    """
+    return results.select("call_id", _document(results, defaults).alias("document"))
+
+
+def write_results(results: DataFrame, path: str, day: Column, defaults: dict = RESULT_DEFAULTS) -> None:
+    """Writes the envelopes of ``results`` as lines of JSON, in a folder for each ``day``.
+
+    Days that are written are replaced whole and others stay, so a run of the same days leaves one
+    line a call however often it is repeated.
+    """
+    rows = results.select(_document(results, defaults).alias("value"), day.cast("date").alias("day"))
+    rows.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def write_run(rows: DataFrame, path: str, day: Column, defaults: dict = RESULT_DEFAULTS) -> None:
+    """Writes the documents of all ``rows`` below results, and those with an error as they are below rejected.
+
+    ``rows`` may have error; without one a call has succeeded. Both folders have one for each day, and a
+    day that is written again loses what was rejected before. A failed call has a document too.
+    """
+    rows = rows.withColumn("day", day.cast("date"))
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    if "success" not in rows.columns:
+        rows = rows.withColumn("success", F.col("error").isNull())
+    write_results(rows, f"{path}/results", F.col("day"), defaults)
+    # Few: one row a day.
+    for (day_,) in rows.select("day").distinct().collect():
+        _delete(rows, f"{path}/rejected/day={'__HIVE_DEFAULT_PARTITION__' if day_ is None else day_}")
+    rows.where("error IS NOT NULL").write.partitionBy("day").mode("append").json(f"{path}/rejected")
+
+
+def _delete(rows: DataFrame, path: str) -> None:
+    context = rows.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def api_record(calls: DataFrame, *parts: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_to_duration, is_hallucination, strip, strip_phrases, words
 from .intervals import overlapping
 
+#: Segments that one inner fold merges, so that lists are copied in short pieces.
+LOT = 64
+
 
 def _in_order():
     return Window.partitionBy("call_id").orderBy("seg_idx")
@@ -42,29 +44,39 @@ def merge_adjacent(segments: DataFrame, gap_ms: int = 1500, short_ms: int = 2000
 
     ``segments`` has call_id (of any type), seg_idx, start_ms, end_ms, text and speaker. Texts that
     merge are stripped and joined by a space; null counts as empty. The rule reads the duration
-    merged so far, so a call is folded in order; calls are bounded by the duration gate and
-    handled one per group.
+    merged so far, so neighbours are folded in order. Segments never merge over a change of
+    speaker, so each run of one speaker is a group of its own, folded in lots of LOT.
     """
-    names = ["call_id", "seg_idx", "start_ms", "end_ms", "text", "speaker"]
-    rows = segments.select("call_id", *(F.col(c).cast("long").alias(c) for c in names[1:4]), F.col("text").cast("string").alias("text"), F.col("speaker").cast("string").alias("speaker"))
-
-    def fold(group: pa.Table) -> pa.Table:
-        out: list[list] = []
-        for r in group.sort_by("seg_idx").select(names[2:]).to_pylist():
-            last = out[-1] if out else None
-            near = last and (r["start_ms"] - last[1] < gap_ms or last[1] - last[0] < short_ms or r["end_ms"] - r["start_ms"] < short_ms)
-            if near and last[3] == r["speaker"]:
-                last[1] = r["end_ms"]
-                before, text = (last[2] or "").strip(), (r["text"] or "").strip()
-                if text and text != before:
-                    last[2] = f"{before} {text}" if before else text
-            else:
-                out.append([r["start_ms"], r["end_ms"], r["text"], r["speaker"]])
-        call = group["call_id"].combine_chunks().take(pa.array([0] * len(out)))
-        columns = [call, pa.array(range(len(out)), pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
-        return pa.table(columns, names)
-
-    return rows.groupBy("call_id").applyInArrow(fold, rows.schema)
+    rows = segments.select("call_id", *(F.col(c).cast("long").alias(c) for c in ("seg_idx", "start_ms", "end_ms")), F.col("text").cast("string").alias("text"), F.col("speaker").cast("string").alias("speaker"))
+    goes_on = F.lag("speaker").over(_in_order()).eqNullSafe(F.col("speaker")) & F.lag(F.lit(True)).over(_in_order()).isNotNull()
+    rows = rows.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(_in_order()))
+    item = F.struct("seg_idx", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("text").alias("t"), F.coalesce(strip(F.col("text")), F.lit("")).alias("u"))
+    runs = rows.groupBy("call_id", "run").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(item)).alias("items"))
+
+    def kept(x: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in "setu"))
+
+    def step(state: Column, x: Column) -> Column:
+        last = state["last"]
+        near = (x["s"] - last["e"] < gap_ms) | (last["e"] - last["s"] < short_ms) | (x["e"] - x["s"] < short_ms)
+        said = F.when(last["u"] == "", x["u"]).otherwise(F.concat(last["u"], F.lit(" "), x["u"]))
+        adds = (x["u"] != "") & (x["u"] != last["u"])
+        both = F.struct(last["s"].alias("s"), x["e"].alias("e"), F.when(adds, said).otherwise(last["t"]).alias("t"), F.when(adds, said).otherwise(last["u"]).alias("u"))
+        return F.struct(F.when(near, state["done"]).otherwise(F.concat(state["done"], F.array(last))).alias("done"), F.when(near, both).otherwise(kept(x)).alias("last"))
+
+    def lot(state: Column, k: Column) -> Column:
+        none = F.array().cast("array<struct<s:bigint,e:bigint,t:string,u:string>>")
+        found = F.aggregate(F.slice("items", k * LOT + 2, F.lit(LOT)), F.struct(none.alias("done"), state["last"].alias("last")), step)
+        # An array of one entry binds what was found once for both fields.
+        return F.get(F.transform(F.array(found), lambda x: F.struct(F.concat(state["done"], F.array(x["done"])).alias("done"), x["last"].alias("last"))), F.lit(0))
+
+    none = F.array().cast("array<array<struct<s:bigint,e:bigint,t:string,u:string>>>")
+    start = F.struct(none.alias("done"), kept(F.get("items", F.lit(0))).alias("last"))
+    lots = F.sequence(F.lit(0), F.floor((F.size("items") - 1) / LOT).cast("int"))
+    merged = F.aggregate(lots, start, lot, lambda x: F.concat(F.flatten(x["done"]), F.array(x["last"])))
+    out = runs.select("call_id", "run", "speaker", F.posexplode(merged).alias("place", "x"))
+    place = F.row_number().over(Window.partitionBy("call_id").orderBy("run", "place")) - 1
+    return out.select("call_id", place.cast("long").alias("seg_idx"), F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.t").alias("text"), "speaker")
 
 
 def drop_repeats(segments: DataFrame, likeness: float = 0.8, keep: int = 2) -> DataFrame:
@@ -123,11 +135,15 @@ def explode_chunks(results: DataFrame) -> DataFrame:
     return rows.select("call_id", "chunk_idx", *(F.coalesce(F.col(f"c.{x}"), F.lit(0.0)).alias(x) for x in ("start", "end")), strip(F.col("c.text")).alias("text"))
 
 
-def run_report(segments: DataFrame, first: int = 20) -> DataFrame:
-    """(call_id, num_segments, segments_sample): all segments counted, the ``first`` ones shown in order.
+def run_report(segments: DataFrame, first: int = 20, *parts: DataFrame) -> DataFrame:
+    """(call_id, num_segments, segments_sample): all segments counted, the ``first`` ones shown in order, beside the columns of ``parts``.
 
-    Later segments are nulled before they are gathered, so a call's sample stays bounded.
+    The rank is filtered before anything is gathered, so that a task sends ``first`` segments of a
+    call at most. ``parts`` are tables by call_id, such as roles, moods and voices of its speakers.
     """
-    place = F.row_number().over(_in_order())
-    shown = F.when(F.col("place") <= first, F.struct("seg_idx", "start_ms", "end_ms", "speaker", "text"))
-    return segments.withColumn("place", place).groupBy("call_id").agg(F.count("*").alias("num_segments"), F.array_sort(F.collect_list(shown)).alias("segments_sample"))
+    shown = segments.select("call_id", "seg_idx", "start_ms", "end_ms", "speaker", "text").withColumn("place", F.row_number().over(_in_order())).where(F.col("place") <= first)
+    shown = shown.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms", "speaker", "text"))).alias("segments_sample"))
+    out = segments.groupBy("call_id").agg(F.count("*").alias("num_segments")).join(shown, "call_id")
+    for part in parts:
+        out = out.join(part, "call_id", "left")
+    return out

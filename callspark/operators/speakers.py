@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import DANGER_KEYWORDS, MANAGER_KEYWORDS, POLITE_SUFFIXES
@@ -61,6 +61,41 @@ def keyword_hits(segments: DataFrame, lexicon: dict[str, list[str]] = DANGER_KEY
     return rows.select("call_id", "seg_idx", "hit.*", "speaker", "start_ms", "text")
 
 
+#: Characters of a keyword that it is looked up by; shorter keywords are looked up whole.
+SEED = 3
+
+
+def lexicon_table(spark: SparkSession, lexicon: dict[str, list[str]]) -> DataFrame:
+    """The rows of :func:`lexicon_hits` for a lexicon that is given as lists."""
+    rows = [(i, j, t, k) for i, (t, ks) in enumerate(lexicon.items()) for j, k in enumerate(ks)]
+    return spark.createDataFrame(rows, "type_ord int, kw_ord int, type string, keyword string")
+
+
+def lexicon_hits(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """As :func:`keyword_hits`, for a ``lexicon(type_ord, kw_ord, type, keyword)`` of any size.
+
+    A keyword is looked up by its first SEED characters in the distinct ones of each text, by an
+    equi-join, so a text meets the keywords that may be in it and no others; those in it are kept.
+    Null and empty keywords are in no text. A keyword that is listed twice is hit twice, once per
+    text that has it each time.
+    """
+    words = lexicon.where("keyword <> ''").withColumn("seed", F.substring("keyword", 1, SEED))
+    # Lengths of seeds that the lexicon has: at most SEED numbers.
+    sizes = words.agg(F.collect_set(F.length("seed"))).scalar()
+    rows = segments.where("text <> ''").select("call_id", "seg_idx", "text").withColumn("sizes", sizes)
+    # Pieces keep the work of a long text in proportion to its length.
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE + SEED - 1)))
+    seeds = lambda t, n: F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, n)), lambda x: F.length(x) == n)
+    found = F.flatten(F.transform(piece, lambda t: F.flatten(F.transform("sizes", lambda n: F.array_distinct(seeds(t, n))))))
+    met = rows.select("call_id", "seg_idx", F.explode(F.array_distinct(found)).alias("seed")).join(words, "seed").drop("seed")
+    told = segments.select("call_id", "seg_idx", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), "start_ms", "text")
+    hits = met.join(told, ["call_id", "seg_idx"]).where(F.contains("text", "keyword"))
+    return hits.select("call_id", "seg_idx", "type_ord", "kw_ord", "type", "keyword", "speaker", "start_ms", "text")
+
+
+#: Characters of a text that are looked through at a time.
+PIECE = 512
+
 DETAILS = "array<struct<seg_idx:bigint,type_ord:int,kw_ord:int,type:string,keyword:string,speaker:string,start_ms:bigint,text:string>>"
 
 
@@ -70,21 +105,34 @@ def danger(hits: DataFrame, *flags: DataFrame, calls: DataFrame | None = None) -
     Flags are distinct and sorted, details in order of segment, type and keyword. With ``calls``,
     each of its call_ids has a row, detected or not; else calls without any flag have none.
     """
-    own = hits.select("call_id", F.concat("type", F.lit(" 키워드 감지")).alias("flag"))
-    for more in flags:
-        own = own.unionByName(more)
-    found = own.groupBy("call_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
     detail = F.struct(F.col("seg_idx").cast("long").alias("seg_idx"), "type_ord", "kw_ord", "type", "keyword", "speaker", F.col("start_ms").cast("long").alias("start_ms"), "text")
-    told = hits.groupBy("call_id").agg(F.array_sort(F.collect_list(detail)).alias("details"))
-    found = found.join(told, "call_id", "left")
+    # One aggregate over all that is known: each row has a flag, a detail, both, or stands for a call.
+    rows = hits.select("call_id", F.concat("type", F.lit(" 키워드 감지")).alias("flag"), detail.cast(DETAILS[6:-1]).alias("detail"), F.lit(False).alias("asked"))
+    for more in flags:
+        rows = rows.unionByName(more.select("call_id", "flag", F.lit(None).cast(DETAILS[6:-1]).alias("detail"), F.lit(False).alias("asked")))
+    if calls is not None:
+        rows = rows.unionByName(calls.select("call_id", F.lit(None).cast("string").alias("flag"), F.lit(None).cast(DETAILS[6:-1]).alias("detail"), F.lit(True).alias("asked")))
+    found = rows.groupBy("call_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"), F.array_sort(F.collect_list("detail")).alias("details"), F.max("asked").alias("asked"))
     if calls is not None:
-        found = calls.select("call_id").distinct().join(found, "call_id", "left")
-    none = F.array().cast("array<string>"), F.array().cast(DETAILS)
-    found = found.select("call_id", F.coalesce("flags", none[0]).alias("flags"), F.coalesce("details", none[1]).alias("details"))
+        found = found.where("asked")
     return found.select("call_id", (F.size("flags") > 0).alias("detected"), "flags", "details")
 
 
 def danger_json(found: DataFrame) -> DataFrame:
     """(call_id, danger_info): what prompts and reports show of :func:`danger`; null where nothing was detected."""
+    return found.select("call_id", danger_text().alias("danger_info"))
+
+
+def danger_text() -> Column:
+    """The JSON of a row with detected, flags and details; null where nothing was detected."""
     told = F.transform("details", lambda d: F.struct(d["type"].alias("type"), d["keyword"].alias("keyword"), d["speaker"].alias("speaker"), (d["start_ms"] / 1000).alias("time"), d["text"].alias("text")))
-    return found.select("call_id", F.when(F.col("detected"), F.to_json(F.struct("detected", "flags", told.alias("details")))).alias("danger_info"))
+    return F.when(F.col("detected"), F.to_json(F.struct("detected", "flags", told.alias("details"))))
+
+
+def worklists(calls: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``calls`` with a detected danger, and all others: each call is in one of them.
+
+    ``found`` is a :func:`danger`; calls that it doesn't have, and those without an id, are others.
+    """
+    flagged = found.where("detected").select("call_id")
+    return calls.join(flagged, "call_id", "left_semi"), calls.join(flagged, "call_id", "left_anti")

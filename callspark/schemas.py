@@ -9,7 +9,11 @@ SEGMENTS = "call_id string, seg_idx long, start_ms long, end_ms long, text strin
 FRAMES = "call_id string, t_ms long, f0 double, rms double, onset boolean"
 
 # Fields of results and reports, which must equal the reference's.
-RESULT_FIELDS = ["transcript", "transcript_labeled", "summary", "speaker_roles", "emotion_data", "prosody_data", "danger_detection", "processing_time", "audio_duration", "timing", "audio_gcs_path", "input_gcs_path"]
+RESULT_DEFAULTS = {
+    "transcript": "", "transcript_labeled": "", "summary": {}, "speaker_roles": {}, "emotion_data": {}, "prosody_data": {}, "danger_detection": {},
+    "processing_time": 0, "audio_duration": 0, "timing": {}, "audio_gcs_path": None, "input_gcs_path": None,
+}
+RESULT_FIELDS = list(RESULT_DEFAULTS)
 MAIN_ROLES = ["매니저", "시니어"]
 TONE_FIELDS = {"매니저": "매니저의 대화 분위기, 톤", "시니어": "시니어의 대화 분위기, 톤"}
 DANGER_FIELD = "위험요소"

@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the conversations: call_id, seg_idx, start_ms, end_ms, text, speaker."""
-    rows = table(spark, sf_dir, "conversations").selectExpr(
+    return segments_of(table(spark, sf_dir, "conversations"))
+
+
+def segments_of(conversations: DataFrame) -> DataFrame:
+    """The same of given rows."""
+    rows = conversations.selectExpr(
         "conv_id AS call_id", "turn AS seg_idx", "text", "IF(conv_id % 10 = 0, NULL, concat('S', (conv_id + turn div 2) % 3)) AS speaker",
         "400 + (length(text) * 37 + conv_id * 131 + turn * 57) % 6000 AS dur", "((conv_id * 17 + turn * 29) % 3) * 900 AS gap",
     )
@@ -75,17 +80,17 @@ fr AS (SELECT user_id AS call_id, {SQL_AT} AS t_ms, CAST(round(value * 100) AS B
 
 
 def spans(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Intervals of the calls in events, one for each fourth (segments) or third (turns, with speaker) event."""
+    """Intervals of the calls in events, a segment and a turn (with speaker) for each event."""
     rows = table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS call_id", f"{AT} AS start_ms", f"{CENTS} AS v")
     if kind == "segments":
-        return rows.where("event_id % 4 = 0").selectExpr("call_id", "event_id AS seg_idx", "start_ms", "start_ms + 800 + v % 600 * 100 AS end_ms", "concat('S', event_id % 3) AS speaker")
-    return rows.where("event_id % 3 = 0").selectExpr("call_id", "start_ms - 900 AS start_ms", "start_ms + 1000 + v % 400 * 100 AS end_ms", "concat('S', v % 3) AS speaker")
+        return rows.selectExpr("call_id", "event_id AS seg_idx", "start_ms", "start_ms + 800 + v % 600 * 100 AS end_ms", "concat('S', event_id % 3) AS speaker")
+    return rows.selectExpr("call_id", "start_ms - 900 AS start_ms", "start_ms + 1000 + v % 400 * 100 AS end_ms", "concat('S', v % 3) AS speaker")
 
 
 SPANS_SQL = f"""
 ei AS (SELECT event_id, user_id AS call_id, {SQL_AT} AS start_ms, CAST(round(value * 100) AS BIGINT) AS v FROM events),
-sg AS (SELECT call_id, event_id AS seg_idx, start_ms, start_ms + 800 + v % 600 * 100 AS end_ms, 'S' || (event_id % 3) AS speaker FROM ei WHERE event_id % 4 = 0),
-tn AS (SELECT call_id, start_ms - 900 AS start_ms, start_ms + 1000 + v % 400 * 100 AS end_ms, 'S' || (v % 3) AS speaker FROM ei WHERE event_id % 3 = 0)
+sg AS (SELECT call_id, event_id AS seg_idx, start_ms, start_ms + 800 + v % 600 * 100 AS end_ms, 'S' || (event_id % 3) AS speaker FROM ei),
+tn AS (SELECT call_id, start_ms - 900 AS start_ms, start_ms + 1000 + v % 400 * 100 AS end_ms, 'S' || (v % 3) AS speaker FROM ei)
 """
 
 
@@ -95,9 +100,14 @@ SPOILED = {1: "'abcabcabcabcabcabc'", 2: "'no yes no yes no yes no'", 3: "' 구
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text chunks of the conversations: call_id, chunk_idx, start, end, text; many that cleaning drops or cuts."""
+    return chunks_of(segments(spark, sf_dir))
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """The same of given segments."""
     text = "CASE seg_idx % 9 " + " ".join(f"WHEN {k} THEN {x}" for k, x in SPOILED.items()) + " ELSE text END"
     end = "CASE seg_idx % 9 WHEN 5 THEN NULL WHEN 6 THEN start_ms / 1000 WHEN 7 THEN start_ms / 1000 + 0.1 ELSE end_ms / 1000 END"
-    return segments(spark, sf_dir).selectExpr("call_id", "seg_idx AS chunk_idx", "start_ms / 1000 AS start", f"{end} AS end", f"{text} AS text")
+    return rows.selectExpr("call_id", "seg_idx AS chunk_idx", "start_ms / 1000 AS start", f"{end} AS end", f"{text} AS text")
 
 
 CHUNKS_SQL = f"""
@@ -109,7 +119,12 @@ ch AS (SELECT call_id, seg_idx AS chunk_idx, start_ms / 1000 AS start,
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who speaks when in the conversations, a little beside their segments: call_id, start_ms, end_ms, speaker."""
-    return segments(spark, sf_dir).where("speaker IS NOT NULL").selectExpr("call_id", "start_ms - 300 AS start_ms", "end_ms - 150 AS end_ms", "speaker")
+    return turns_of(segments(spark, sf_dir))
+
+
+def turns_of(rows: DataFrame) -> DataFrame:
+    """The same of given segments."""
+    return rows.where("speaker IS NOT NULL").selectExpr("call_id", "start_ms - 300 AS start_ms", "end_ms - 150 AS end_ms", "speaker")
 
 
 TURNS_SQL = "tu AS (SELECT call_id, start_ms - 300 AS start_ms, end_ms - 150 AS end_ms, speaker FROM seg WHERE speaker IS NOT NULL)"
