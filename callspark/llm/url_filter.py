@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, unsettle
 
 #: Rules as (verdict, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -29,6 +29,8 @@ MISSED = 0.05
 #: Hex digits of the hash of a URL that hold it back for calibration.
 HELD = "012"
 START = "\x02"
+#: Characters of a URL that are taken apart at a time.
+PIECE = 1024
 #: Contexts up to this order are few and asked for by most grams: each is dealt to so many tasks.
 SHORT, SALTS = 2, 32
 
@@ -56,11 +58,19 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("*", rule.alias("rule"), decided.alias("decided"))
 
 
+def _named() -> list[Column]:
+    """A URL's name in other tables: 128 bits, however long the URL."""
+    told = F.coalesce("url", F.lit("")), F.col("url").isNull()
+    return [F.xxhash64(*told).alias("u1"), F.xxhash64(F.lit(1), *told).alias("u2")]
+
+
 def _grams(rows: DataFrame, *more: str) -> DataFrame:
-    """One row for each character of the URL and its end, with the ORDER characters before it."""
+    """One row for each character of the URL and its end, with the ORDER characters before it; URLs are cut into pieces first."""
     text = F.concat(F.lit(START * ORDER), F.coalesce("url", F.lit("")), F.lit("\x03"))
-    each = rows.select(*more, text.alias("text")).select(*more, "text", F.explode(F.sequence(F.lit(1), F.length("text") - ORDER)).alias("i"))
-    return each.select(*more, F.substring("text", F.col("i"), F.lit(ORDER + 1)).alias("gram"))
+    starts = F.sequence(F.lit(0), F.floor(F.length(F.coalesce("url", F.lit(""))) / PIECE).cast("int"))
+    pieces = rows.select(*more, F.explode(F.transform(starts, lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + ORDER)))).alias("piece"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("piece") - ORDER), lambda i: F.substring(F.col("piece"), i, F.lit(ORDER + 1)))
+    return pieces.select(*more, F.explode(grams).alias("gram"))
 
 
 def _keys(gram: str = "gram") -> Column:
@@ -103,21 +113,23 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = ruled(pages, rules)
     held = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1).isin(*HELD)
     # One row for each URL: copies count, but are scored once.
-    urls = settle(rows.groupBy("url", "decided").agg(F.count("*").alias("n")).withColumn("held", held), "urls")
+    urls = settle(rows.groupBy("url", "decided").agg(F.count("*").alias("n")).select("*", held.alias("held"), *_named()), "urls")
     learn = _grams(urls.where("decided is not null and not held"), "decided", "n")
     side = lambda d: F.sum(F.when(F.col("decided") == d, F.col("n")).otherwise(0)).alias(d)
     counts = learn.groupBy("gram").agg(side("allow"), side("block"))
     asked = urls.where("decided is null or held")
-    grams = settle(_grams(asked, "url"), "grams")
+    grams = settle(_grams(asked, "u1", "u2"), "grams")
     ratios = gram_scores(counts, grams.select("gram").distinct())
-    scores = grams.join(ratios, "gram").groupBy("url").agg((F.sum(F.round(F.col("ratio") * 1e6).cast("long")) / F.count("*") / 1e6).alias("score"))
+    scores = grams.join(ratios, "gram").groupBy("u1", "u2").agg((F.sum(F.round(F.col("ratio") * 1e6).cast("long")) / F.count("*") / 1e6).alias("score"))
     scores = settle(scores, "scores")
-    known = urls.where("held and decided is not null").join(scores, urls["url"].eqNullSafe(scores["url"]))
+    known = urls.where("held and decided is not null").join(scores, ["u1", "u2"])
     at = lambda d, p: F.percentile_approx(F.when(F.col("decided") == d, F.col("score")), p, 10_000)
     low, high = known.agg(at("allow", MISSED), at("block", 1 - MISSED)).first()
     line = 0.0 if low is None or high is None else (low + high) / 2
-    scores = scores.withColumnRenamed("url", "_url")
-    out = rows.join(scores, F.col("decided").isNull() & rows["url"].eqNullSafe(scores["_url"]), "left")
+    unsettle(urls, grams)
+    scores = scores.withColumnsRenamed({"u1": "s1", "u2": "s2"})
+    rows = rows.select("*", *_named())
+    out = rows.join(scores, F.col("decided").isNull() & (rows["u1"] == scores["s1"]) & (rows["u2"] == scores["s2"]), "left")
     verdict = F.coalesce("decided", F.when(F.col("score") >= line, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
