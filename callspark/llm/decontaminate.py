@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
 from .textops import ALNUM, LOWER, U, chunks, grams, hashes, text_bytes, words
 
 #: Characters of benchmark text that one block may hold, and bytes of text of a suffix array.
@@ -237,9 +238,12 @@ def verbatim_matches(docs: DataFrame, items: DataFrame, window: int = 13, block_
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         asked = spark.sparkContext.broadcast(vars(Suffixes([r[0] for r in rows], [r[1] for r in rows], window)))
-        found.append(_scan(docs, asked))
-    if blocks == 1:
-        return found[0]
+        if blocks == 1:
+            return _scan(docs, asked)
+        # A block is built, met with all documents, settled and released before the next one.
+        found.append(settle(_scan(docs, asked), "matches"))
+        asked.destroy()
+        del rows, asked
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
