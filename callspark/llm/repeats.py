@@ -1,11 +1,13 @@
-"""Substring dedup and line dedup by seed and extend over winnowed anchors.
+"""Substring dedup and line dedup by seeds over winnowed anchors.
 
 A unit is a word or a line. Each window of ``window`` units selects the smallest hash among its
 runs of ``seed`` units (the rightmost of ties), so equal windows select equal anchors: a repeat
 of ``window`` units can't be missed. Occurrences of an anchor that is in the corpus more than once
-meet by its hash. Each brings the units to its left and right that its windows reach, and is
-extended both ways as far as they agree, unit by unit, with an earlier one: its windows inside
-that match are repeats. Windows that overlap unite to the maximal repeats over the threshold.
+meet by its hash. Each brings the units to its left and right that its windows reach. For each
+way a window can lie about the anchor, occurrences whose units agree over it are found by a hash
+of them, and then unit by unit: of these, all but the first are repeats. So an occurrence is
+held against all earlier ones at once, and no pair of them is extended by itself. Windows that
+overlap or touch unite to the runs that go, which are the maximal repeats of ``window`` units or more.
 
 Occurrences that agree inside one Arrow batch are settled there, so a passage of every document
 sends few of them to its anchor's task. Anchors that are more than a small share of all are hot:
