@@ -17,6 +17,7 @@ left, by joins and grouped sums.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from operator import itemgetter
 
@@ -185,8 +186,8 @@ def _spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarra
 def candidates(docs: DataFrame, short, long) -> DataFrame:
     """(lang, phrase) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least.
 
-    A task sends what it has seen once, in one list for each of BUCKETS ranges of hashes; lists of
-    a range meet and are united.
+    A task sends what it has seen once, in a packed list for each language and each of BUCKETS
+    ranges of hashes; lists of a range meet and are united.
     """
 
     def run(batches):
@@ -208,25 +209,32 @@ def candidates(docs: DataFrame, short, long) -> DataFrame:
                         fresh.append(g[new])
                 keys += fresh[1:]
                 seen = np.sort(np.concatenate(fresh))
-        if keys:
-            bucket = (np.concatenate(keys) >> U(32)) % U(BUCKETS)
-            order = pa.array(np.argsort(bucket, kind="stable"))
-            bounds = pa.array(np.searchsorted(np.sort(bucket), np.arange(BUCKETS + 1, dtype=U)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.concat_arrays(x).take(order)) for x in (names, phrases)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), *lists], ["bucket", "lang", "phrase"])
+        if not keys:
+            return
+        codes = pa.concat_arrays(names).dictionary_encode()
+        phrases, langs = pa.concat_arrays(phrases), codes.dictionary
+        group = ((np.concatenate(keys) >> U(32)) % U(BUCKETS)).astype(np.int64) * len(langs) + codes.indices.to_numpy()
+        phrases = phrases.take(pa.array(np.argsort(group, kind="stable")))
+        kinds, n = np.unique(group, return_counts=True)
+        rows = []
+        for k, last, size in zip(kinds.tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
+            listed = "\n".join(sorted(phrases.slice(last - size, size).to_pylist()))
+            rows.append((k // len(langs), langs[k % len(langs)].as_py(), zlib.compress(listed.encode(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], ["bucket", "lang", "phrases"])
 
     def unite(batches):
         last, seen = None, set()
         for batch in batches:
-            for k, langs, phrases in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for k, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != last:
                     last, seen = k, set()
-                new = set(zip(langs.values.to_pylist(), phrases.values.to_pylist(), strict=True)) - seen
+                # No phrase has a line feed.
+                new = {(lang, x) for x in zlib.decompress(data).decode().split("\n")} - seen
                 seen |= new
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*new, strict=True)], ["lang", "phrase"])
 
-    sent = docs.select("lang", "text").mapInArrow(run, "bucket int, lang array<string>, phrase array<string>")
+    sent = docs.select("lang", "text").mapInArrow(run, "bucket int, lang string, phrases binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unite, "lang string, phrase string")
 
 
