@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .shared import settle
+from .shared import settle, unsettle
 from .textops import ALNUM, U, chunks, hashes, words
 
 #: Hash space of terms, and length of their vectors.
@@ -128,9 +128,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     labelled = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows, toxic = sum(labelled.values()), labelled.get(1, 0)
     if not 0 < toxic < rows:
+        unsettle(held)
         return _blank(_bias(toxic, rows))
     # At most SAMPLE rows of int hashes: the driver never sees a text.
     listed = held.orderBy("doc_id").toArrow().combine_chunks()
+    unsettle(held)
     terms = listed.column("terms").combine_chunks()
     return train(np.diff(terms.offsets.to_numpy()).astype(np.int64), terms.flatten().to_numpy(), listed.column("toxic").to_numpy().astype(float))
 
