@@ -8,13 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.segments import clean_chunks
 from ..operators.speakers import keyword_hits
+from ..schemas import CHUNKS
 
-SCHEMA = "call_id long, chunk_idx long, start double, end double, text string"
 
-
-def stream_alerts(spark: SparkSession, source: str, target: str, state: str, lexicon: dict) -> StreamingQuery:
-    """Cleans the chunk files of ``source`` and writes keyword hits to ``target``; ends with what is there."""
-    chunks = clean_chunks(spark.readStream.schema(SCHEMA).parquet(source)).where("reason IS NULL")
+def stream_alerts(spark: SparkSession, source: str, target: str, state: str, lexicon: dict, schema: str = CHUNKS) -> StreamingQuery:
+    """Cleans the chunk files of ``source``, of ``schema`` (call_id may be of any type), and writes keyword hits to ``target``; ends with what is there."""
+    chunks = clean_chunks(spark.readStream.schema(schema).parquet(source)).where("reason IS NULL")
     rows = chunks.select("call_id", F.col("chunk_idx").alias("seg_idx"), F.lit(None).cast("string").alias("speaker"), (F.col("start") * 1000).cast("long").alias("start_ms"), "text")
     hits = keyword_hits(rows, lexicon)
     return hits.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()

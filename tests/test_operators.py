@@ -13,7 +13,7 @@ from callspark import schemas
 from callspark.jobs import workloads
 from callspark.operators import emotion, prosody, report, segments, speakers
 from callspark.sources import readers
-from callspark.streaming.calls import SCHEMA, stream_alerts
+from callspark.streaming.calls import stream_alerts
 
 
 def one(spark, values, kind, f):
@@ -108,14 +108,16 @@ def test_sample_without_voice(spark):
     assert {tuple(r) for r in prosody.sample_averages(rows).collect()} == {(1, "A", 100.0, 5.0), (1, "B", 0.0, 0.0)}
 
 
-def test_stream_alerts(spark, tmp_path):
+@pytest.mark.parametrize(("kind", "one", "two"), [("string", "a", "b"), ("long", 1, 2)])
+def test_stream_alerts(spark, tmp_path, kind, one, two):
     source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    spark.createDataFrame([(1, 0, 0.0, 3.0, "어제 넘어졌어요 많이"), (1, 1, 3.0, 5.0, "날씨가 좋아요"), (1, 2, 5.0, None, "또 넘어졌어요")], SCHEMA).write.parquet(source)
-    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}).awaitTermination()
+    schema = schemas.CHUNKS.replace("call_id string", f"call_id {kind}")
+    spark.createDataFrame([(one, 0, 0.0, 3.0, "어제 넘어졌어요 많이"), (one, 1, 3.0, 5.0, "날씨가 좋아요"), (one, 2, 5.0, None, "또 넘어졌어요")], schema).write.parquet(source)
+    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}, schema).awaitTermination()
     assert [(r.seg_idx, r.keyword) for r in spark.read.parquet(target).collect()] == [(0, "넘어졌")]
-    spark.createDataFrame([(2, 0, 0.0, 3.0, "그만 넘어졌어요")], SCHEMA).write.mode("append").parquet(source)
-    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}).awaitTermination()
-    assert sorted(r.call_id for r in spark.read.parquet(target).collect()) == [1, 2]
+    spark.createDataFrame([(two, 0, 0.0, 3.0, "그만 넘어졌어요")], schema).write.mode("append").parquet(source)
+    stream_alerts(spark, source, target, state, {"낙상": ["넘어졌"]}, schema).awaitTermination()
+    assert sorted(r.call_id for r in spark.read.parquet(target).collect()) == [one, two]
 
 
 def test_merge_takes_any_call_id_and_null_texts(spark):
