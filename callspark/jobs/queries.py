@@ -653,6 +653,16 @@ def run_counters(spark, d):
     return segments.counters(cleaned, merged, segments.drop_repeats(merged))
 
 
+TEXTS = ["transcript_plain", "transcript_labeled", "transcript_enriched"]
+
+
+@query(f"SELECT call_id, error IS NULL AS success, {', '.join(f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in TEXTS)}, error FROM ({SQL['duration_gate']}) LEFT JOIN ({SQL['job_transcripts']}) USING (call_id)")
+def job_gated(spark, d):
+    """Transcripts of the calls that aren't too long, and the others' errors."""
+    calls = C.segments(spark, d).groupBy("call_id").agg((F.max("end_ms") / 1000).alias("duration_sec"))
+    return workloads.gated_transcript_job(calls, C.chunks(spark, d), C.turns(spark, d), 20, keywords=MANAGER, suffixes=SUFFIXES)
+
+
 COUNTED = ["n_chunks", "n_cleaned", "n_merged", "n_removed", "n_segments", "n_speakers"]
 
 

@@ -30,6 +30,17 @@ def transcript_job(chunks: DataFrame, turns: DataFrame, **lexicon) -> DataFrame:
     return transcripts_of(attributed(chunks, turns), **lexicon)
 
 
+def gated_transcript_job(calls: DataFrame, chunks: DataFrame, turns: DataFrame, most: float, **lexicon) -> DataFrame:
+    """A record (call_id, success, the three transcripts, error) of each of ``calls(call_id, duration_sec)``.
+
+    Calls longer than ``most`` seconds fail at once: none of their chunks and turns is looked at.
+    """
+    judged = report.duration_gate(calls, most)
+    ok, _ = report.split_failed(judged)
+    let = lambda rows: rows.join(ok.select("call_id"), "call_id", "left_semi")
+    return report.api_record(judged.select("call_id", "error"), transcript_job(let(chunks), let(turns), **lexicon))
+
+
 class Metrics:
     """Counters of a job from the pass that makes its result: ``watch`` observes rows, :meth:`get` waits for one action."""
 
