@@ -51,17 +51,18 @@ def ranked(turns: DataFrame) -> DataFrame:
     """
     order = [F.col("turn").asc_nulls_first(), F.col("h")]
     rows = turns.withColumn("tie", F.monotonically_increasing_id())
-    rows = settle(rows.repartitionByRange("conv_id", *order, "tie").withColumn("part", F.spark_partition_id()), "turns")
+    dealt = rows = settle(rows.repartitionByRange("conv_id", *order, "tie").withColumn("part", F.spark_partition_id()), "turns")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     parts = parts.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order, "tie")))
-    return rows.join(parts, ["conv_id", "part"]).select("conv_id", (F.col("place") + F.col("offset")).alias("place"), "h", "words")
+    out = settle(rows.join(parts, ["conv_id", "part"]).select("conv_id", (F.col("place") + F.col("offset")).alias("place"), "h", "words"), "ranked")
+    unsettle(dealt)
+    return out
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, depth, h, words) of the rebuilt conversations, and (conv_id, turns) of all, turnless ones too."""
-    turns = settle(ranked(turns), "ranked")
+    """(conv_id, depth, h, words) of the rebuilt conversations of :func:`ranked`, and (conv_id, turns) of all, turnless ones too."""
     asks = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (LENT + 1)
     convs = turns.groupBy("conv_id").agg(F.max("place").alias("own")).select("conv_id", "own", asks.alias("asks"), (F.col("conv_id") - F.col("conv_id") % EVERY).alias("base"))
     heads = turns.where((F.col("conv_id") % EVERY == 0) & (F.col("place") <= LENT))
@@ -71,7 +72,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     # At most LENT turns of a conversation are lent, to EVERY others at most.
     first = convs.where("lent > 0").select("conv_id", "base", "lent").join(heads.withColumnRenamed("conv_id", "base"), "base").where("place <= lent").select("conv_id", F.col("place").alias("depth"), "h", "words")
     rest = turns.join(convs.select("conv_id", "asks", "lent"), "conv_id").where("place > asks").select("conv_id", (F.col("place") - F.col("asks") + F.col("lent")).alias("depth"), "h", "words")
-    return first.unionByName(rest), convs.select("conv_id", "turns")
+    return first.unionByName(rest), convs
 
 
 def along(rows: DataFrame, key: str, depth: str, sums: dict[str, tuple[str, str]], down: bool = True) -> DataFrame:
@@ -162,20 +163,23 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     are in order of the MD5 of role and text, and rows that repeat count each. Null roles and texts
     are empty. Rows without conv_id are of no conversation. An empty table gives an empty table.
     """
-    turns, convs = rebuilt(turns_of(conversations))
+    given = ranked(turns_of(conversations))
+    turns, convs = rebuilt(given)
     own = {"tx": F.xxhash64("h", "depth"), "ty": F.xxhash64(F.lit(1), "depth", "h")}
     rows = along(turns.withColumns(own), "conv_id", "depth", {"x": ("bit_xor", "tx"), "y": ("bit_xor", "ty")})
     rows = rows.select("conv_id", F.col("depth").cast("long").alias("depth"), "x", "y", F.col("x").bitwiseXOR(F.col("tx")).alias("px"), F.col("y").bitwiseXOR(F.col("ty")).alias("py"), "words")
     none = F.lit(0).cast("long")
     root = convs.select("conv_id", *(none.alias(c) for c in ("depth", "x", "y", "px", "py", "words")))
     rows = settle(rows.unionByName(root), "members")
-    nodes = settle(merged_tries(rows), "nodes")
+    unsettle(given)
+    tries = nodes = settle(merged_tries(rows), "nodes")
 
     ends = rows.join(convs.select("conv_id", F.col("turns").alias("depth")), ["conv_id", "depth"]).select("conv_id", *NODE)
     children = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children, NODE, "left").join(end_hashes(ends), NODE, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     leaf, saved = F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), (F.col("n_convs") - 1) * F.col("words")
     nodes = settle(nodes.withColumns({"leaf": leaf, "saved": saved}), "nodes")
+    unsettle(rows, tries, convs)
 
     # The path of each smallest member, and the node of another path that it hangs on.
     top = F.struct("depth", "px", "py")
