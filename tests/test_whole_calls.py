@@ -69,6 +69,7 @@ def test_restart(spark, tmp_path):
     first = expected({name: parts(df, 0, 2) for name, df in rows.items()})
     same(spark, target, first)
     arrive(1)
+
     def broken(found, keep):
         out = JOB(found, keep)
         # Some tables of the batch are written, then it fails.
