@@ -279,12 +279,15 @@ def danger_rollup(spark, d):
 
 
 def _emotions(spark, d):
-    logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double") * 10)
+    """Logits are sums over every sixth dimension of a vector, ten times them, in whole 1e-3; ten vectors are a call's."""
+    part = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 6 == k), F.lit(0).cast("long"), lambda a, x: a + F.floor(x.cast("double") * 10_000)) / F.lit(1000.0)
+    logits = F.array(*(part(k) for k in range(6)))
     rows = C.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("call_id"), F.concat(F.lit("S"), F.col("label") % 3).alias("speaker"), F.col("vec_id").alias("seg_idx"), logits.alias("logits"))
     return rows.select("call_id", "speaker", "seg_idx", emotion.softmax(F.col("logits")).alias("probabilities"))
 
 
-PROBABILITIES_SQL = """e AS (SELECT vec_id // 10 AS call_id, 'S' || (label % 3) AS speaker, vec_id AS seg_idx, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE) * 10) AS l FROM embeddings),
+PROBABILITIES_SQL = """e AS (SELECT vec_id // 10 AS call_id, 'S' || (label % 3) AS speaker, vec_id AS seg_idx,
+  list_transform(range(6), lambda k: CAST(list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 6 = k), lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000) AS BIGINT))) AS DOUBLE) / CAST(1000 AS DOUBLE)) AS l FROM embeddings),
 x AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS p FROM e), pr AS (SELECT call_id, speaker, seg_idx, list_transform(p, lambda v: v / list_sum(p)) AS p FROM x)"""
 LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in emotion.EMOTIONS) + "]"
 
