@@ -62,7 +62,12 @@ def train(size: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 25, s
     The defaults were chosen on a split of the rows that may be learnt from, never on held-out ones.
     """
     bias, bias_seen = _bias(y.sum(), len(y)), 1e-2
-    known, term = np.unique(term, return_inverse=True)
+    # By a table of all terms: sorting millions of entries would take many times their memory.
+    place = np.zeros(SPACE, np.int32)
+    place[term] = 1
+    known = np.flatnonzero(place)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    term = place[term]
     random = np.random.default_rng(7)
     weight, vectors = np.zeros(len(known)), random.normal(0, 0.01, (len(known), RANK))
     weight_seen, vectors_seen = np.full(len(known), 1e-4), np.full(len(known), 1e-4)
@@ -131,10 +136,13 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
         unsettle(held)
         return _blank(_bias(toxic, rows))
     # At most SAMPLE rows of int hashes: the driver never sees a text.
-    listed = held.orderBy("doc_id").toArrow().combine_chunks()
+    listed = held.orderBy("doc_id").toArrow()
     unsettle(held)
-    terms = listed.column("terms").combine_chunks()
-    return train(np.diff(terms.offsets.to_numpy()).astype(np.int64), terms.flatten().to_numpy(), listed.column("toxic").to_numpy().astype(float))
+    size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in listed.column("terms").chunks]).astype(np.int64)
+    term = np.concatenate([x.flatten().to_numpy() for x in listed.column("terms").chunks])
+    y = listed.column("toxic").to_numpy().astype(float)
+    del listed
+    return train(size, term, y)
 
 
 def _listed(taken: DataFrame) -> DataFrame:
