@@ -63,6 +63,8 @@ def keyword_hits(segments: DataFrame, lexicon: dict[str, list[str]] = DANGER_KEY
 
 #: Characters of a keyword that it is looked up by; shorter keywords are looked up whole.
 SEED = 3
+#: Bytes of a lexicon that is sent to the executors whole.
+SENT = 1 << 20
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -71,26 +73,40 @@ def lexicon_table(spark: SparkSession, lexicon: dict[str, list[str]]) -> DataFra
     return spark.createDataFrame(rows, "type_ord int, kw_ord int, type string, keyword string")
 
 
-def lexicon_hits(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lexicon_hits(segments: DataFrame, lexicon: DataFrame, sent: int = SENT) -> DataFrame:
     """As :func:`keyword_hits`, for a ``lexicon(type_ord, kw_ord, type, keyword)`` of any size.
 
     A keyword is looked up by its first SEED characters in the distinct ones of each text, by an
     equi-join, so a text meets the keywords that may be in it and no others; those in it are kept.
     Null and empty keywords are in no text. A keyword that is listed twice is hit twice, once per
     text that has it each time.
+
+    Seeds are many times their texts, which Spark can't foresee, so how they are joined isn't left to
+    it: a lexicon of at most ``sent`` bytes goes to the executors, where segments meet it as they are
+    read; a larger one is sorted by seed, and what it meets by segment. Its size takes a job to know.
     """
     words = lexicon.where("keyword <> ''").withColumn("seed", F.substring("keyword", 1, SEED))
-    # Lengths of seeds that the lexicon has: at most SEED numbers.
+    told = segments.select("call_id", "seg_idx", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), "start_ms", "text")
+    if (words.agg(F.sum(F.octet_length("keyword") + F.octet_length("type") + 64)).first()[0] or 0) <= sent:
+        hits = _with_seeds(told, words).join(F.broadcast(words), "seed").where(F.contains("text", "keyword"))
+    else:
+        # Segments of one id, or of none, share their seeds; each is then looked through by itself.
+        seeds = _with_seeds(told, words).select(F.col("call_id").alias("call"), F.col("seg_idx").alias("seg"), "seed").distinct()
+        met = seeds.join(words.hint("merge"), "seed")
+        hits = met.join(told.hint("merge"), F.col("call").eqNullSafe(F.col("call_id")) & F.col("seg").eqNullSafe(F.col("seg_idx"))).where(F.contains("text", "keyword"))
+    return hits.select("call_id", "seg_idx", "type_ord", "kw_ord", "type", "keyword", "speaker", "start_ms", "text")
+
+
+def _with_seeds(told: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each distinct seed of a text, of the lengths that seeds of the lexicon have."""
+    # At most SEED numbers.
     sizes = words.agg(F.collect_set(F.length("seed"))).scalar()
-    rows = segments.where("text <> ''").select("call_id", "seg_idx", "text").withColumn("sizes", sizes)
+    rows = told.where("text <> ''").withColumn("sizes", sizes)
     # Pieces keep the work of a long text in proportion to its length.
     piece = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE + SEED - 1)))
     seeds = lambda t, n: F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, n)), lambda x: F.length(x) == n)
     found = F.flatten(F.transform(piece, lambda t: F.flatten(F.transform("sizes", lambda n: F.array_distinct(seeds(t, n))))))
-    met = rows.select("call_id", "seg_idx", F.explode(F.array_distinct(found)).alias("seed")).join(words, "seed").drop("seed")
-    told = segments.select("call_id", "seg_idx", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), "start_ms", "text")
-    hits = met.join(told, ["call_id", "seg_idx"]).where(F.contains("text", "keyword"))
-    return hits.select("call_id", "seg_idx", "type_ord", "kw_ord", "type", "keyword", "speaker", "start_ms", "text")
+    return rows.select(*told.columns, F.explode(F.array_distinct(found)).alias("seed"))
 
 
 #: Characters of a text that are looked through at a time.

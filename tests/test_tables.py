@@ -42,6 +42,24 @@ def test_lexicon_lists_and_tables_agree(spark):
     assert sorted(got.collect()) == sorted(speakers.keyword_hits(rows, lexicon).select(got.columns).collect())
 
 
+def test_lexicon_joins_send_no_segments(spark):
+    """Only a small lexicon goes through the driver, whatever Spark takes the segments' size to be."""
+    table = speakers.lexicon_table(spark, {"b": ["s", "one two", "two"], "a": ["two", "three"]})
+    rows = spark.createDataFrame(talk(3, 200, ["one", "two", "three", "s"]), SEGMENTS)
+    small, large = speakers.lexicon_hits(rows, table), speakers.lexicon_hits(rows, table, sent=0)
+    assert plan_of(small).count("BroadcastExchange") == 1 and "SortMergeJoin" not in plan_of(small)
+    assert "Broadcast" not in plan_of(large)
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
+@pytest.mark.parametrize("sent", [0, speakers.SENT])
+def test_lexicon_segments_of_one_id(spark, sent):
+    """Segments that share an id, or have none, are hit by what is in their own text, once."""
+    rows = [(1, 1, 0, 1, "one two", "A"), (1, 1, 0, 1, "one three", "B"), (None, 1, 0, 1, "two", "C"), (2, None, 0, 1, "two two", "D")]
+    hits = speakers.lexicon_hits(spark.createDataFrame(rows, SEGMENTS), speakers.lexicon_table(spark, {"a": ["one", "two", "three"]}), sent=sent)
+    assert sorted((r.speaker, r.keyword) for r in hits.collect()) == [("A", "one"), ("A", "two"), ("B", "one"), ("B", "three"), ("C", "two"), ("D", "two")]
+
+
 def measured(spark, seed=4, n=300):
     rng = random.Random(seed)
     value = lambda: rng.choice([None, 0.0, *(round(rng.uniform(60, 300), 1) for _ in range(4))])
