@@ -81,7 +81,7 @@ def strip_phrases(spark, d):
 r AS (SELECT *, CASE WHEN contains(h, ' ') THEN length(h) - strpos(reverse(h), ' ') ELSE -1 END AS sp FROM q)
 SELECT call_id, seg_idx, CASE WHEN sec > 0 AND length(replace(text, ' ', '')) / sec > 15 AND m < length(text) THEN CASE WHEN sp > m * 0.5 THEN left(h, sp) ELSE h END ELSE text END AS text FROM r""")
 def clip_to_duration(spark, d):
-    rows = C.segments(spark, d).withColumn("sec", (F.col("end_ms") - F.col("start_ms")).cast("decimal(18,3)") / 1000)
+    rows = C.segments(spark, d).withColumn("sec", (F.col("end_ms") - F.col("start_ms")) / 1000)
     return rows.select("call_id", "seg_idx", T.clip_to_duration(F.col("text"), F.col("sec")).alias("text"))
 
 

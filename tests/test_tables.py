@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from callspark import schemas
-from callspark.jobs import workloads
+from callspark.functions import text
+from callspark.jobs import queries, workloads
 from callspark.operators import prosody, report, segments, speakers
 
 SEGMENTS = "call_id long, seg_idx long, start_ms long, end_ms long, text string, speaker string"
@@ -60,6 +61,21 @@ def test_lexicon_segments_of_one_id(spark, sent):
     assert sorted((r.speaker, r.keyword) for r in hits.collect()) == [("A", "one"), ("A", "two"), ("B", "one"), ("B", "three"), ("C", "two"), ("D", "two")]
 
 
+def test_clipping_at_the_fastest_rate(spark, tmp_path):
+    """Texts of just the fastest rate: doubles decide, as in SQL, whatever type the seconds have."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.createDataFrame([("x" * 21, 1.4), ("x" * 24, 1.6)], "t string, s double")
+    for kind in ("double", "decimal(18,3)"):
+        assert [r[0] for r in rows.select(text.clip_to_duration(F.col("t"), F.col("s").cast(kind))).collect()] == ["x" * 14, "x" * 24]
+    # Texts of each duration that the conversations can have.
+    talks = [(6000 * i + c, 0, "user", "x" * n) for i, n in enumerate((21, 24, 42, 69, 84)) for c in range(6000)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["clip_to_duration"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["clip_to_duration"]).fetchall())
+
+
 def measured(spark, seed=4, n=300):
     rng = random.Random(seed)
     value = lambda: rng.choice([None, 0.0, *(round(rng.uniform(60, 300), 1) for _ in range(4))])
