@@ -13,8 +13,8 @@ from pyspark.sql.types import DoubleType, StringType
 from .lexicons import FOREIGN_PHRASES
 
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
-#: Code points that n-grams are counted over at a time.
-PIECE = 1 << 20
+#: Code points that n-grams are counted over at a time; sorts of so many stay in a core's cache.
+PIECE = 1 << 16
 
 
 def strip(text: Column) -> Column:
@@ -57,7 +57,8 @@ def bigram_share(text: Column) -> Column:
 def ngram_coverage(text: pd.Series) -> pd.Series:
     """Largest n * count / length over n-grams of 2 to 6 characters, of texts of over 12 without spaces.
 
-    Texts are joined to pieces of about PIECE code points; each n-gram length is one sort of a piece.
+    Texts are joined to pieces of about PIECE code points; each n-gram length is one sort of a piece's
+    n-grams as numbers: the text's place, then the symbols.
     """
     texts = [(t or "").replace(" ", "") for t in text]
     size = np.array([len(t) for t in texts])
@@ -75,17 +76,26 @@ def _coverage(texts: list[str], size: np.ndarray) -> np.ndarray:
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(code):
         return best
-    symbols = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    row, kinds, code = np.repeat(np.arange(len(texts)), size), int(symbols.max()) + 1, symbols
+    known = np.zeros(int(code.max()) + 1, bool)
+    known[code] = True
+    symbols = (np.cumsum(known) - 1)[code]
+    row, bits = np.repeat(np.arange(len(texts)), size), int(symbols.max()).bit_length()
+    gram, width = row << bits | symbols, len(texts).bit_length() + bits
     for n in range(2, 7):
-        if len(symbols) < n:
+        if width + bits > 63:  # too many symbols for one number: ranks are shorter, and in the same order
+            gram = np.unique(gram, return_inverse=True)[1].astype(np.int64)
+            width = len(gram).bit_length()
+        gram, width = gram[:-1] << bits | symbols[n - 1 :], width + bits
+        found = np.sort(gram[row[: len(gram)] == row[n - 1 :]])
+        if not len(found):
             break
-        code = np.unique(code[: len(symbols) - n + 1] * kinds + symbols[n - 1 :], return_inverse=True)[1].astype(np.int64)
-        inside = row[: len(code)] == row[n - 1 :]
-        key, count = np.unique(row[: len(code)][inside] * (int(code.max()) + 1) + code[inside], return_counts=True)
-        most = np.zeros(len(texts))
-        np.maximum.at(most, key // (int(code.max()) + 1), count)
-        best = np.maximum(best, most * n / np.maximum(size, 1))
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        count = np.diff(first, append=len(found))
+        # Sorted n-grams lie text by text.
+        held = np.maximum(size - n + 1, 0)
+        some = np.flatnonzero(held)
+        most = np.maximum.reduceat(count, np.searchsorted(first, (np.cumsum(held) - held)[some]))
+        best[some] = np.maximum(best[some], most * n / size[some])
     return np.where(size > 12, best, 0.0)
 
 

@@ -4,7 +4,11 @@ import contextlib
 import io
 import json
 import random
+import time
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +145,37 @@ def test_text_edges(spark):
     assert one(spark, ["[" * 20000, "{" * 5000 + "}" * 5000, '{"a":' * 20000 + "1" + "}" * 20000], "string", T.parse_response) == [None, None, None]
 
 
+def test_coverage_of_any_symbols():
+    """Against counting, for few and for so many symbols that n-grams don't fit one number."""
+    rng = random.Random(5)
+    letters = ["a", "ab", "abcdefghij", "한국어 말 ", [chr(0x4E00 + i) for i in range(9000)], ["a", "\U0001f600", "\U0010ffff", "\ud800"]]
+    texts = [None, "", " ", "a", *("".join(rng.choice(x) for _ in range(rng.choice([1, 5, 12, 13, 14, 60, 700]))) for x in letters for _ in range(60))]
+    rng.shuffle(texts)
+
+    def counted(t):
+        t = (t or "").replace(" ", "")
+        return max(Counter(t[i : i + n] for i in range(len(t) - n + 1)).most_common(1)[0][1] * n / len(t) for n in range(2, 7)) if len(t) > 12 else 0.0
+
+    assert T.ngram_coverage.func(pd.Series(texts)).tolist() == [counted(t) for t in texts]
+
+
+def test_coverage_is_cheap():
+    """Less than ranking twice; n-grams and their counts were ranked once each for every length."""
+    rng = random.Random(6)
+    texts = pd.Series(["".join(rng.choice("etaoinshrdlu cm") for _ in range(rng.randint(20, 600))) for _ in range(2000)])
+    numbers = np.random.default_rng(6).integers(0, 1 << 40, int(texts.str.len().sum()))
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: T.ngram_coverage.func(texts)) < 2 * seconds(lambda: np.unique(numbers, return_inverse=True))
+
+
 def test_coverage_by_hand(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab c한𝄞") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "a" * 5000]
