@@ -1,13 +1,16 @@
 """Phrase collocations: candidates by sketch upper bounds, counted exactly by Aho-Corasick automata.
 
-A count-min sketch bounds how often each phrase of a language occurs from above. Its cells only
-have to tell whether ``least`` is reached, so a task's cells stop at ``least`` (the sum over tasks
-reaches it in the same cases), and what is sent to tasks is one bit a cell, whatever the corpus.
+A count-min sketch bounds how often each phrase of a language occurs from above. It has a cell for so
+many words, so that it doesn't fill up as the corpus grows, and is kept in parts by hash: tasks
+send each part the hashes that they meet, with counts up to ``least``, and no task holds more
+than one part. What is sent back to tasks is one bit a cell: whether ``least`` is reached.
 Words and pairs are sketched first; longer phrases only where all pairs in them passed, in a
 sketch of their own. Phrases that pass are candidates: all with enough occurrences, and a few others.
+They are gathered from a part of the texts first; tasks on the rest don't spell those again.
 
-Candidates are dealt into lots of about LOT. For each lot, every task compiles an automaton from
-them and counts all matches in its texts, overlapping ones too. Texts and phrases are spelt in a
+Candidates are sorted and cut into lots of LOT. For each lot, every task compiles an automaton from
+them and counts all matches in its texts, overlapping ones too; texts of other languages than the
+lot's are left out. Texts and phrases are spelt in a
 short alphabet for that: each word of a candidate has a code of as many letters, the first of
 which starts no other place of a code and so delimits words, and all other words and the ends of
 pieces are a letter that no phrase has. Summed counts are exact (words are told apart by 64-bit
@@ -17,12 +20,15 @@ left, by joins and grouped sums.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +40,14 @@ DELIMITER = kinds(*((ord(c), ord(c)) for c in DELIMITERS))
 WORD = ~(DELIMITER | kinds((0x20, 0x20), (0x09, 0x09)))
 WORDS = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 LONGEST = 4
-#: Cells of each of the ROWS rows of a sketch, and cells that are sent and added up together.
-WIDTH, ROWS, BLOCK = 1 << 23, 4, 1 << 14
+#: Cells of each of the ROWS rows of a sketch, at least and at most, and those of a part of it (2^16 at most).
+WIDTH, WIDEST, ROWS, BLOCK = 1 << 23, 1 << 28, 4, 1 << 15
+#: Words for each cell, of ``least``: a word and the pair that it begins fill four fifths of it at most, on average.
+FILL = 0.4
+#: Hashes that a task gathers before it sends them, and phrases.
+HELD, SPELT = 1 << 21, 1 << 19
+#: The part of the texts that is searched for candidates first is one in EARLY; candidates found there that tasks on the rest are told of, at most.
+EARLY, KNOWN = 8, 1 << 22
 #: Phrases that the automaton of one pass over the texts holds.
 LOT = 1 << 20
 #: Ranges of hashes in which candidates of all tasks meet.
@@ -76,15 +88,24 @@ def _phrases(piece: np.ndarray, row: np.ndarray, h: np.ndarray, languages: np.nd
         yield mix(g[at] ^ languages[row[at]]), at
 
 
-def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return (mix(h + U(row)) & U(WIDTH - 1)).astype(np.int64) + row * WIDTH
+def _blocks(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the sketch of each hash; larger hashes have no smaller parts."""
+    return (h >> U(32)) * U(parts) >> U(32)
+
+
+def _cells(h: np.ndarray):
+    """For each row the cells of hashes within their part of the sketch, by their lower 32 bits."""
+    x = mix(h & U(0xFFFFFFFF))
+    for row in range(ROWS):
+        yield (x >> U(16 * row) & U(BLOCK - 1)).astype(np.int64) + row * BLOCK
 
 
 def _passed(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes' upper bounds reach the least."""
-    out = np.ones(len(h), bool)
-    for row in range(ROWS):
-        cell = _cells(h, row)
+    out, size = np.ones(len(h), bool), ROWS * BLOCK
+    first = _blocks(h, len(bits) * 8 // size).astype(np.int64) * size
+    for cell in _cells(h):
+        cell += first
         out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
@@ -105,6 +126,12 @@ def _longer(piece, row, h, languages, bits: np.ndarray):
         yield mix(mix(g + U(n)) ^ languages[row[at]]), at
 
 
+def _rows(batches):
+    """The rows of batches as tuples."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 CELLS = "block int, few boolean, cells binary"
 
 
@@ -121,53 +148,74 @@ def _sent(cells: np.ndarray):
 
 def _added(batches, kind: np.dtype):
     """(block, counts) of rows of CELLS in order of block, one row held at a time."""
-    last, total = None, np.zeros(BLOCK, np.int64)
-    for batch in batches:
-        for k, few, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != last:
-                if last is not None:
-                    yield last, total
-                last, total = k, np.zeros(BLOCK, np.int64)
+    for k, met in groupby(_rows(batches), itemgetter(0)):
+        total = np.zeros(BLOCK, np.int64)
+        for _, few, data in met:
             if few:
                 n = len(data) // (2 + kind.itemsize)
                 total[np.frombuffer(data[: 2 * n], np.uint16)] += np.frombuffer(data[2 * n :], kind)
             else:
                 part = np.frombuffer(data, kind)
                 total[: len(part)] += part
-    if last is not None:
-        yield last, total
+        yield k, total
+
 
+def _tallied(held: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts, ``least`` at most, of several such pairs."""
+    h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.minimum(np.add.reduceat(n[order], first, dtype=np.int64), least).astype(n.dtype)
 
-def sketched(docs: DataFrame, least: int, bits=None) -> np.ndarray:
-    """One bit for each cell of the count-min sketch of ``docs(lang, text)``: whether it reaches ``least``.
+
+def sketched(docs: DataFrame, least: int, parts: int, bits=None) -> np.ndarray:
+    """One bit for each cell of the count-min sketch, in ``parts``, of ``docs(lang, text)``: whether it reaches ``least``.
 
     Without ``bits`` the sketch is of words and pairs, else of longer phrases whose pairs pass them.
     """
-    # A cell stops at least; what one group of rows adds to it before that has room in the type.
-    kind, small = (np.uint16, np.dtype(np.uint8)) if least < 256 else (np.uint32, np.dtype(np.uint32))
+    kind = np.dtype(np.uint8) if least < 256 else np.dtype(np.uint32)
+
+    def send(h, n):
+        blocks = _blocks(h, parts)
+        first = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+        low = h.astype(np.uint32)
+        data = [low[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks[first].astype(np.int32)), pa.array(data, pa.binary())], ["block", "cells"])
 
     def run(batches):
-        cells = np.zeros(ROWS * WIDTH, kind)
+        held, size = [], 0
         for batch in batches:
             for _, _, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
                 for found, _ in _phrases(piece, row, h, languages, [1, 2]) if bits is None else _longer(piece, row, h, languages, bits.value):
                     found, n = np.unique(found, return_counts=True)
-                    n = np.minimum(n, least).astype(kind)
-                    for k in range(ROWS):
-                        at = _cells(found, k)
-                        np.add.at(cells, at, n)
-                        cells[at] = np.minimum(cells[at], least)
-        yield from _sent(cells.astype(small))
+                    held.append((found, np.minimum(n, least).astype(kind)))
+                    size += len(found)
+                if size > HELD:
+                    held = [_tallied(held, least)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield send(*held[0])
+                        held, size = [], 0
+        if size:
+            yield send(*_tallied(held, least))
 
     def add(batches):
-        for k, total in _added(batches, small):
+        for k, met in groupby(_rows(batches), itemgetter(0)):
+            total = np.zeros(ROWS * BLOCK, np.int64)
+            for _, data in met:
+                n = len(data) // (4 + kind.itemsize)
+                counts = np.frombuffer(data[4 * n :], kind).astype(np.int64)
+                for cell in _cells(np.frombuffer(data[: 4 * n], np.uint32).astype(U)):
+                    np.add.at(total, cell, counts)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-    sent = docs.select("lang", "text").mapInArrow(run, CELLS)
+    sent = docs.select("lang", "text").mapInArrow(run, "block int, cells binary")
     met = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary").toArrow()
-    out = np.zeros((ROWS * WIDTH // BLOCK, BLOCK // 8), np.uint8)
-    for k, data in zip(met.column("block").to_pylist(), met.column("bits").to_pylist(), strict=True):
-        out[k] = np.frombuffer(data, np.uint8)
+    out = np.zeros((parts, ROWS * BLOCK // 8), np.uint8)
+    for batch in met.to_batches():
+        for k, data in _rows([batch]):
+            out[k] = np.frombuffer(data, np.uint8)
     return out.reshape(-1)
 
 
@@ -183,13 +231,41 @@ def _spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarra
     return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
 
 
-def candidates(docs: DataFrame, short, long) -> DataFrame:
-    """(lang, phrase) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least.
+def _keys(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
+    """The hash of each phrase, as :func:`_phrases` has it."""
+    out = np.zeros(len(phrase), U)
+    for _, first, _, _, row, piece, h, languages in _words(lang, phrase):
+        size = np.bincount(row, minlength=len(languages))
+        for n, (g, at) in enumerate(_phrases(piece, row, h, languages, range(1, LONGEST + 1)), 1):
+            whole = size[row[at]] == n
+            out[first + row[at[whole]]] = g[whole]
+    return out
+
+
+def _within(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes are among sorted ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h if len(ordered) else np.zeros(len(h), bool)
+
+
+def candidates(docs: DataFrame, short, long, known=None) -> DataFrame:
+    """(lang, phrase, key, sent) of one to LONGEST words whose bounds, the bits ``short`` and ``long``, reach the least: its hash, and how often it was sent.
 
-    A task sends what it has seen once, in a packed list for each language and each of BUCKETS
-    ranges of hashes; lists of a range meet and are united.
+    A task sends what it has seen in packed lists of SPELT phrases or somewhat more, one for each language and
+    each of BUCKETS ranges of hashes; lists of a range meet and are united. Hashes in ``known`` are left out.
     """
 
+    def packed(names, phrases, keys):
+        codes = pa.concat_arrays(names).dictionary_encode()
+        phrases, langs = pa.concat_arrays(phrases), codes.dictionary
+        group = ((np.concatenate(keys) >> U(32)) % U(BUCKETS)).astype(np.int64) * len(langs) + codes.indices.to_numpy()
+        phrases = phrases.take(pa.array(np.argsort(group, kind="stable")))
+        kinds, n = np.unique(group, return_counts=True)
+        rows = []
+        for k, last, size in zip(kinds.tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
+            listed = "\n".join(sorted(phrases.slice(last - size, size).to_pylist()))
+            rows.append((k // len(langs), langs[k % len(langs)].as_py(), zlib.compress(listed.encode(), 1)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], ["bucket", "lang", "phrases"])
+
     def run(batches):
         seen, names, phrases, keys = np.zeros(0, U), [], [], []
         for batch in batches:
@@ -199,9 +275,10 @@ def candidates(docs: DataFrame, short, long) -> DataFrame:
                 found = [*_phrases(piece, row, h, languages, [1, 2]), *_longer(piece, row, h, languages, short.value)]
                 for n, (g, at) in enumerate(found, 1):
                     g, one = np.unique(g, return_index=True)
-                    k = np.searchsorted(seen, g)
-                    new = seen[np.minimum(k, len(seen) - 1)] != g if len(seen) else np.ones(len(g), bool)
+                    new = ~_within(seen, g)
                     new[new] = _passed((short if n < 3 else long).value, g[new])
+                    if known is not None:
+                        new[new] = ~_within(known.value, g[new])
                     if new.any():
                         at = at[one[new]]
                         names.append(langs.take(pa.array(first + row[at])))
@@ -209,33 +286,34 @@ def candidates(docs: DataFrame, short, long) -> DataFrame:
                         fresh.append(g[new])
                 keys += fresh[1:]
                 seen = np.sort(np.concatenate(fresh))
-        if not keys:
-            return
-        codes = pa.concat_arrays(names).dictionary_encode()
-        phrases, langs = pa.concat_arrays(phrases), codes.dictionary
-        group = ((np.concatenate(keys) >> U(32)) % U(BUCKETS)).astype(np.int64) * len(langs) + codes.indices.to_numpy()
-        phrases = phrases.take(pa.array(np.argsort(group, kind="stable")))
-        kinds, n = np.unique(group, return_counts=True)
-        rows = []
-        for k, last, size in zip(kinds.tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
-            listed = "\n".join(sorted(phrases.slice(last - size, size).to_pylist()))
-            rows.append((k // len(langs), langs[k % len(langs)].as_py(), zlib.compress(listed.encode(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], ["bucket", "lang", "phrases"])
+                if len(seen) > SPELT:
+                    yield packed(names, phrases, keys)
+                    seen, names, phrases, keys = np.zeros(0, U), [], [], []
+        if keys:
+            yield packed(names, phrases, keys)
 
     def unite(batches):
-        last, seen = None, set()
-        for batch in batches:
-            for k, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != last:
-                    last, seen = k, set()
+        for _, met in groupby(_rows(batches), itemgetter(0)):
+            times = Counter()
+            for _, lang, data in met:
                 # No phrase has a line feed.
-                new = {(lang, x) for x in zlib.decompress(data).decode().split("\n")} - seen
-                seen |= new
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*new, strict=True)], ["lang", "phrase"])
+                times.update(zip(repeat(lang), zlib.decompress(data).decode().split("\n")))
+            langs, phrases = (pa.array(x, pa.string()) for x in zip(*times, strict=True))
+            yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(_keys(langs, phrases).view(np.int64)), pa.array(times.values(), pa.int64())], ["lang", "phrase", "key", "sent"])
 
     sent = docs.select("lang", "text").mapInArrow(run, "bucket int, lang string, phrases binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unite, "lang string, phrase string")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unite, "lang string, phrase string, key long, sent long")
+
+
+def most_sent(found: DataFrame) -> np.ndarray:
+    """The sorted hashes of KNOWN :func:`candidates` at most, those that were sent most often."""
+    often, size = 1, 0
+    for sent, n in found.groupBy("sent").count().orderBy(F.col("sent").desc()).toLocalIterator():
+        size += n
+        if size > KNOWN:
+            often = sent + 1
+            break
+    return np.sort(found.where(F.col("sent") >= often).select("key").toArrow().column("key").to_numpy().view(U))
 
 
 def _letters(ids: np.ndarray, places: int) -> np.ndarray:
@@ -266,6 +344,7 @@ def _automaton(lot: dict):
             automaton.add_word(letters[a:b], place)
         automaton.make_automaton()
         lot["built"] = known, places, automaton
+        del lot["lang"], lot["phrase"]
     return lot["built"]
 
 
@@ -273,7 +352,7 @@ def counted(docs: DataFrame, lot) -> DataFrame:
     """(id, n): occurrences of the phrases of a broadcast ``lot``; a task sends an array of its counts."""
 
     def run(batches):
-        found = Counter()
+        counts = np.zeros(len(lot.value["id"]), np.int64)
         for batch in batches:
             known, places, automaton = _automaton(lot.value)
             for _, _, _, _, row, piece, h, languages in _words(batch.column(0), batch.column(1)):
@@ -285,9 +364,8 @@ def counted(docs: DataFrame, lot) -> DataFrame:
                 # A delimiter where a piece ends, and no more than one where several words are unknown.
                 ids = np.insert(ids, np.flatnonzero(np.diff(piece)) + 1, -1)
                 ids = ids[np.concatenate(([True], (ids[1:] >= 0) | (ids[:-1] >= 0)))]
-                found.update(map(itemgetter(1), automaton.iter(_letters(ids, places).tobytes().decode("utf-32-le"))))
-        counts = np.zeros(len(lot.value["id"]), np.int64)
-        counts[np.fromiter(found.keys(), np.int64, len(found))] = np.fromiter(found.values(), np.int64, len(found))
+                found = map(itemgetter(1), automaton.iter(_letters(ids, places).tobytes().decode("utf-32-le")))
+                np.add.at(counts, np.fromiter(found, np.int64), 1)
         yield from _sent(counts)
 
     def add(batches):
@@ -304,27 +382,45 @@ def word_totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORDS))).cast("long").alias("n"))
 
 
+def lots(listed: DataFrame) -> list[int]:
+    """The first id of each LOT rows of ``listed``, of which monotonically_increasing_id has numbered the rows, and one beyond all."""
+    bounds, place = [], 0
+    for part, n in listed.groupBy(F.shiftright("id", 33).alias("part")).count().orderBy("part").toLocalIterator():
+        bounds += [(part << 33) + k - place for k in range(-(-place // LOT) * LOT, place + n, LOT)]
+        place += n
+    return [*(bounds or [0]), (1 << 63) - 1]
+
+
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of one to LONGEST words that occur ``least`` times or more, and (lang, n) of all words."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
-    short = send(sketched(docs, least))
-    long = send(sketched(docs, least, short))
-    listed = settle(candidates(docs, short, long).select(F.monotonically_increasing_id().alias("id"), "lang", "phrase"), "candidates")
-    lots, counts = max(1, -(-listed.count() // LOT)), []
-    for k in range(lots):
-        rows = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(lots)) == k).toArrow()
+    totals = settle(word_totals(docs), "totals")
+    parts = math.ceil(min(max(WIDTH, (totals.agg(F.sum("n")).first()[0] or 0) / (FILL * least)), WIDEST) / BLOCK)
+    short = send(sketched(docs, least, parts))
+    long = send(sketched(docs, least, parts, short))
+    turn = F.pmod(F.xxhash64("text"), F.lit(EARLY))
+    early = settle(candidates(docs.where(turn == 0), short, long), "candidates")
+    known = send(most_sent(early))
+    both = early.unionByName(candidates(docs.where(turn != 0), short, long, known)).select("lang", "phrase").distinct()
+    listed = settle(both.orderBy("lang", "phrase").select(F.monotonically_increasing_id().alias("id"), "lang", "phrase"), "candidates")
+    short.destroy(), long.destroy(), known.destroy()
+    unsettle(early)
+    counts, bounds = [], lots(listed)
+    for first, after in zip(bounds[:-1], bounds[1:], strict=True):
+        rows = listed.where((F.col("id") >= first) & (F.col("id") < after)).toArrow()
         lot = send({"id": rows.column("id").to_numpy(), "lang": rows.column("lang").combine_chunks(), "phrase": rows.column("phrase").combine_chunks()})
-        counts.append(settle(counted(docs, lot), "counts"))
+        # Candidates are in order of their languages' bytes, as strings are compared.
+        low, high = (pc.min_max(rows.column("lang"))[x].as_py() for x in ("min", "max"))
+        counts.append(settle(counted(docs.where(F.col("lang").between(low, high)), lot), "counts"))
         lot.destroy()
-    short.destroy(), long.destroy()
     met = counts[0]
     for more in counts[1:]:
         met = met.unionByName(more)
     found = listed.join(met.where(F.col("n") >= least).withColumnRenamed("n", "f"), "id")
     found = settle(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases")
     unsettle(listed, *counts)
-    return found, word_totals(docs)
+    return found, totals
 
 
 def collocations(docs: DataFrame, least: int = 30, percent: int = 80, top: int = 2000) -> DataFrame:

@@ -111,6 +111,37 @@ def test_sketch_is_an_upper_bound(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(by_hand(texts(9, 400), 6, 80, 2000))
 
 
+def lots_of(monkeypatch):
+    """Sizes of the lots that are counted from now on."""
+    sizes, counted = [], collocations.counted
+    monkeypatch.setattr(collocations, "counted", lambda frame, lot: sizes.append(len(lot.value["id"])) or counted(frame, lot))
+    return sizes
+
+
+def test_sketch_grows_with_the_words(spark, monkeypatch):
+    """However many words a corpus has, few phrases are candidates that don't count."""
+    monkeypatch.setattr(collocations, "WIDTH", 1 << 10)
+    monkeypatch.setattr(collocations, "BLOCK", 1 << 8)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["one two three", *(f"w{rng.randrange(10**9)}" for _ in range(1000))]), "en") for i in range(40)]
+    sizes = lots_of(monkeypatch)
+    got = collocations.collocations(docs(spark, rows).repartition(3), 30).collect()
+    assert sorted(map(tuple, got)) == sorted(by_hand(rows, 30, 80, 2000)) and len(got) == 1
+    assert sum(sizes) < 2000  # of 160,000
+
+
+def test_little_is_held(spark, monkeypatch):
+    """What tasks gather goes in many pieces, lots stay small, and nothing is lost or counted twice."""
+    for name, most in (("HELD", 60), ("SPELT", 40), ("LOT", 70), ("KNOWN", 30), ("BUCKETS", 3)):
+        monkeypatch.setattr(collocations, name, most)
+    sizes = lots_of(monkeypatch)
+    for copies in (1, 6):
+        rows = texts(4, 300) * copies
+        got = collocations.collocations(docs(spark, rows).repartition(5), 5 * copies).collect()
+        assert sorted(map(tuple, got)) == sorted(by_hand(rows, 5 * copies, 80, 2000))
+    assert max(sizes) == 70
+
+
 def trie_by_hand(rows):
     """Nodes by walking every conversation, sums by walking up from every node."""
     h = lambda r: hashlib.md5(f"{len((r[2] or '').encode())}:{r[2] or ''}{r[3] or ''}".encode()).hexdigest()
